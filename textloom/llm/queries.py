@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import simhash
+from textloom.llm import decontaminate, packing, sharding, simhash, urlrules
 from textloom.llm.common import table
 
 
@@ -15,5 +17,76 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id as doc_id", f"{simhash.hex16('fp')} as fingerprint", "component as component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash}
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+    return rows.selectExpr("id as doc_id", "size", "crc as text_crc32", "'bytes' as law", "shard", "place as slot", "cast(null as int) as grown_shard")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
+    return found.selectExpr("id as doc_id", "piece", "start", "length", "ids_crc32", "sequence as sequence_id", "offset")
+
+
+URL_RULES = [
+    urlrules.Rule("block", "com", "/en/"),
+    urlrules.Rule("allow", "example.com", "/en/7"),
+    urlrules.Rule("allow", "net", "/de/"),
+    urlrules.Rule("block", "example.net", "/de/8"),
+    urlrules.Rule("block", "org", "/es/"),
+]
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.selectExpr("id as page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op3_sharding": op3_sharding,
+    "op5_decontamination": op5_decontamination,
+    "op8_packing": op8_packing,
+    "op10_url_rules": op10_url_rules,
+}
 ORACLE: dict[str, str] = {}
+
+ORACLE["op10_url_rules"] = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), r(action, rhost, rpath) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), d AS (
+  SELECT p.*, (SELECT struct_pack(rule := rhost || rpath, action := action) FROM r
+               WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) ORDER BY length(rhost || rpath) DESC LIMIT 1) AS best FROM p
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, 'allow') AS verdict FROM d
+"""
+
+ORACLE["op5_decontamination"] = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), iwin AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM iw WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM iwin), dwin AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)
+), hits AS (SELECT doc_id, item_id, i, dwin.n FROM dwin JOIN iwin ON dwin.n = iwin.n AND dwin.win = iwin.win),
+hit_words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
