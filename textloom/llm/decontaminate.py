@@ -50,17 +50,16 @@ class Items:
         self.ids, self.window = ids, window
         words = [words_of(t) for t in texts]
         self.vocabulary = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
-        #: By length of window: the items and the places in them, and the windows as big-endian keys.
+        #: By length of window: the items, the places in them, and the words of the windows.
         self.suffixes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         found: dict[int, list[tuple[int, int, np.ndarray]]] = {}
         for k, ws in enumerate(words):
-            numbers = np.array([self.vocabulary[w] for w in ws], ">u4")
+            numbers = np.array([self.vocabulary[w] for w in ws], np.int64)
             size = min(window, len(ws))
             for i in range(len(ws) - size + 1 if size else 0):
                 found.setdefault(size, []).append((k, i, numbers[i : i + size]))
         for size, rows in found.items():
-            keys = np.ascontiguousarray(np.stack([r[2] for r in rows])).view(f"V{4 * size}").ravel()
-            self.suffixes[size] = (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), keys)
+            self.suffixes[size] = (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.stack([r[2] for r in rows]))
 
     def matches(self, numbers: np.ndarray) -> np.ndarray:
         """Rows (item, place in the item, place in the shard, words) of all maximal matches of a window or more.
@@ -71,16 +70,16 @@ class Items:
         known = numbers != 0
         stops = np.flatnonzero(~np.append(known, False))
         run = stops[np.searchsorted(stops, np.arange(len(numbers)))] - np.arange(len(numbers))
-        for size, (items, places, keys) in self.suffixes.items():
+        for size, (items, places, windows) in self.suffixes.items():
             first = np.zeros(len(self.vocabulary) + 1, bool)
-            first[keys.view(">u4").reshape(-1, size)[:, 0]] = True
+            first[windows[:, 0]] = True
             at = np.flatnonzero((run >= size) & first[numbers])
             if not len(at):
                 continue
-            heads = numbers.astype(">u4")[at[:, None] + np.arange(size)]
+            heads = numbers[at[:, None] + np.arange(size)]
             order = np.lexsort(heads.T[::-1])
             array = text_keys(heads[order])
-            probes = text_keys(keys.view(">u4").reshape(-1, size))
+            probes = text_keys(windows)
             low, high = np.searchsorted(array, probes, "left"), np.searchsorted(array, probes, "right")
             n = high - low
             if not n.sum():
@@ -100,7 +99,7 @@ class Items:
 
 
 def text_keys(rows: np.ndarray) -> np.ndarray:
-    """Rows of big-endian numbers as strings that sort alike; a leading 1 in each number keeps zero bytes off the end."""
+    """Rows of numbers as strings that sort alike; a leading 1 in each number keeps zero bytes off the end."""
     wide = (rows.astype(np.uint64) << np.uint64(8)) | np.uint64(1)
     return np.ascontiguousarray(wide.astype(">u8")).view(f"S{8 * rows.shape[1]}").ravel()
 
