@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, packing, sharding, simhash, urlrules
+from textloom.llm import decontaminate, packing, quality, secrets, sharding, simhash, urlrules
 from textloom.llm.common import table
 
 
@@ -29,11 +29,22 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.report(table(spark, sf_dir, "documents"))
+    return found.selectExpr("id as doc_id", "start", "length", "secret", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
     return found.selectExpr("id as doc_id", "piece", "start", "length", "ids_crc32", "sequence as sequence_id", "offset")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents kept; what is not here is rejected."""
+    kept, weight = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep_columns=False)
+    return kept.select("doc_id", F.col(weight).alias("log_weight"))
+
+
 URL_RULES = [
     urlrules.Rule("block", "com", "/en/"),
     urlrules.Rule("allow", "example.com", "/en/7"),
@@ -52,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_sharding": op3_sharding,
     "op5_decontamination": op5_decontamination,
+    "op7_secrets": op7_secrets,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
     "op10_url_rules": op10_url_rules,
 }
 ORACLE: dict[str, str] = {}

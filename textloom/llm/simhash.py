@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_map, as_bytes, components, stash
+from textloom.llm.common import arrow_map, as_bytes, components, free_name, stash
 
 SEED, BLOCK = 42, 1 << 14
 #: A segment value that more fingerprints share is split by the other segment.
@@ -110,3 +110,27 @@ def hex16(fp: str) -> str:
     return f"lower(lpad(hex({fp}), 16, '0'))"
 
 
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, hot: int = HOT_BUCKET) -> DataFrame:
+    """``docs`` with one row of each component: one with the smallest id, of rows with that id and fingerprint any one.
+    A null id comes after all others."""
+    name, at, schema = free_name(docs, "fp"), docs.columns.index(text_col), docs.schema
+    names = [f"c{i}" for i in range(len(schema) + 1)]
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.array([fingerprint(t, size) for t in as_bytes(b.column(at).cast(pa.string()))], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], names)
+
+    types = [f.dataType.simpleString() for f in schema] + ["long"]
+    rows = stash(arrow_map(docs.toDF(*names[:-1]), batch, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))).toDF(*docs.columns, name), "prints")
+    prints = rows.select(F.col(name).alias("fp"), F.col(id_col).alias("id"))
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    roots = components(links(distinct, hot), name="simhash").selectExpr("node as fp", "component as root")
+    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("fp"))).alias("best"))
+    chosen = chosen.select(F.col("best.fp").alias("__fp"), F.coalesce(F.col("best.first").cast("string"), F.lit("")).alias("__key"))
+    key = free_name(rows, "id_key")
+    rows = rows.withColumn(key, F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    kept = rows.join(chosen, (F.col(name) == F.col("__fp")) & (F.col(key) == F.col("__key")), "left_semi")
+    return kept.dropDuplicates([name, key]).drop(name, key)
