@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, packing, quality, secrets, sharding, simhash, urlrules
+from textloom.llm import ann, decontaminate, htmltext, packing, quality, secrets, sharding, simhash, urlrules
 from textloom.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id as doc_id", f"{simhash.hex16('fp')} as fingerprint", "component as component_id")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.main_text(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
     return rows.selectExpr("id as doc_id", "size", "crc as text_crc32", "'bytes' as law", "shard", "place as slot", "cast(null as int) as grown_shard")
@@ -29,6 +34,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.report(table(spark, sf_dir, "documents"))
     return found.selectExpr("id as doc_id", "start", "length", "secret", "score")
@@ -61,8 +71,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_html_text": op2_html_text,
     "op3_sharding": op3_sharding,
     "op5_decontamination": op5_decontamination,
+    "op6_nearest": op6_nearest,
     "op7_secrets": op7_secrets,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
