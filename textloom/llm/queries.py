@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, decontaminate, htmltext, packing, quality, secrets, sharding, simhash, urlrules
+from textloom.llm import ann, decontaminate, htmltext, packing, quality, secrets, sharding, simhash, substrings, urlrules
 from textloom.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("id as doc_id", "size", "crc as text_crc32", "'bytes' as law", "shard", "place as slot", "cast(null as int) as grown_shard")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "start", "words", "floating", F.col("class").alias("class_id"), "keep")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html_text": op2_html_text,
     "op3_sharding": op3_sharding,
+    "op4_repeats": op4_repeats,
     "op5_decontamination": op5_decontamination,
     "op6_nearest": op6_nearest,
     "op7_secrets": op7_secrets,
