@@ -3,8 +3,9 @@
 A text is the set of its hashed n-grams: words, pairs of neighbouring words, beginnings of words, and coarse shares of
 capitals, repetitions, signs and different words. Generative models over these features are counted: one for the
 target (labelled good and harmless), one for each kind of reject (labelled poor; labelled toxic), and one for all raw
-text, counted over every document. A labelled model departs from the raw one only where the counts are significant, so
-what it has not seen often says nothing.
+text, counted over every document. A reject's model departs from the raw one only where it has a feature significantly
+more often, and many times as often as the target; the target's departs at those features. So what the labels have not shown says nothing, and
+a document is not rejected for being unlike the labelled ones.
 
 Raw text is a mixture of the labelled kinds in their labelled proportions, so the importance weight of a text x is
 p_target(x) / sum of share_k * p_k(x). Texts are sampled without replacement by Gumbel top-k on log weight / temperature;
@@ -19,6 +20,7 @@ with null ids are judged by their text; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -38,6 +40,8 @@ BUCKETS = sum(SPACES)
 LABELLED = 40_000
 #: How many standard deviations a count must be off the raw model's to matter.
 SIGNIFICANT = 5.0
+#: And how many times the target's rate a reject's must be.
+TIMES = 60.0
 PRIOR_DOCS = 4.0
 TEMPERATURE = 0.1
 THRESHOLD = -5.0
@@ -69,13 +73,8 @@ class Vocabulary(dict):
 WORDS = Vocabulary()
 
 
-def longest_run(same: np.ndarray) -> int:
-    ends = np.flatnonzero(~np.concatenate(([False], same, [False])))
-    return int(np.diff(ends).max()) - 1
-
-
 def features(text: bytes | None) -> np.ndarray:
-    """The different buckets of a text."""
+    """The buckets of a text, some repeated."""
     pieces = (text or b"").split()
     n = len(pieces)
     if len(WORDS) + n > KEPT_WORDS:
@@ -85,11 +84,11 @@ def features(text: bytes | None) -> np.ndarray:
     table = WORDS.rows[np.fromiter(map(WORDS.__getitem__, pieces), np.int64, n)]
     words, starts = table[:, 0], table[:, 1]
     pairs = (words[:-1] * 0x9E3779B1 + words[1:] * 0x85EBCA77 >> 11) % SPACES[2]
-    different = np.unique(words)
-    most = max([longest_run(words[p:] == words[:-p]) for p in range(1, 9) if n > p], default=0)
-    shares = [(1, 8 * int(table[:, 2].sum()) // max(n, 1)), (2, 8 * int(table[:, 3].sum()) // max(n, 1)), (3, most.bit_length()), (5, 8 * int((words[1:] == words[:-1]).sum()) // max(n, 1)), (4, 100 * n.bit_length() + 10 * len(different) // max(n, 1))]
+    most = max([int((words[p:] == words[:-p]).sum()) for p in range(1, 9) if n > p], default=0)
+    different = len(np.unique(words))
+    shares = [(1, 8 * int(table[:, 2].sum()) // max(n, 1)), (2, 8 * int(table[:, 3].sum()) // max(n, 1)), (3, 16 * most // max(n, 1)), (4, 100 * n.bit_length() + 10 * different // max(n, 1))]
     shape = np.array([zlib.crc32(b"%d %d" % s, 2) % SPACES[3] for s in shares])
-    return np.concatenate([different, np.unique(starts) + SPACES[0], np.unique(pairs) + sum(SPACES[:2]), np.unique(shape) + sum(SPACES[:3])])
+    return np.concatenate([words, starts + SPACES[0], pairs + sum(SPACES[:2]), shape + sum(SPACES[:3])])
 
 
 KINDS = ("target", "poor", "toxic")
@@ -125,29 +124,16 @@ def counted(texts: DataFrame) -> DataFrame:
 class Model:
     """Log ratios of the labelled models to the raw one, for the buckets where they differ, and the shares of the kinds."""
 
-    def __init__(self, raw: np.ndarray, kinds: dict[int, np.ndarray]):
-        base = (raw[:-1] + 0.5) / (max(1, raw[-1]) + 1)
-        total = sum(k[-1] for k in kinds.values())
-        self.use = 0 in kinds and len(kinds) > 1
-        self.logs, ratios = [], []
-        for kind in sorted(kinds):
-            own, n = kinds[kind][:-1], kinds[kind][-1]
-            expected = n * base
-            matters = np.abs(own - expected) > SIGNIFICANT * np.sqrt(expected * (1 - base) + 1)
-            rate = (own + PRIOR_DOCS * base) / (n + PRIOR_DOCS)
-            if kind:  # rejects are of many kinds: what one of them lacks, another has
-                matters &= own > expected
-            ratios.append(np.where(matters, np.log(rate / base), 0.0))
-            self.logs.append(math.log(n / total))
-        rows = np.stack(ratios) if ratios else np.zeros((1, BUCKETS))
-        known = np.flatnonzero(rows.any(0))
-        self.at = np.zeros(BUCKETS, np.uint16 if len(known) < 65535 else np.uint32)  # 0: the bucket says nothing
-        self.at[known] = np.arange(1, len(known) + 1)
-        self.rows = np.concatenate([np.zeros((len(rows), 1)), rows[:, known]], axis=1)
+    def __init__(self, shares: list[float], buckets: np.ndarray, rows: np.ndarray):
+        self.use = bool(shares) and shares[0] > 0 and sum(x > 0 for x in shares) > 1
+        self.logs = np.array([math.log(x) if x else -math.inf for x in shares or [0.0]])
+        self.at = np.zeros(BUCKETS, np.uint16 if len(buckets) < 65535 else np.uint32)  # 0: the bucket says nothing
+        self.at[buckets] = np.arange(1, len(buckets) + 1)
+        self.rows = np.concatenate([np.zeros((len(rows), 1)), rows], axis=1)
 
     def ratios(self, found: np.ndarray) -> np.ndarray:
         """By kind, the log ratio of a text with these buckets."""
-        return self.rows[:, self.at[found]].sum(axis=1)
+        return self.rows[:, np.unique(self.at[found])].sum(axis=1)
 
     def log_weight(self, found: np.ndarray) -> float:
         ratios = self.ratios(found)
@@ -155,14 +141,22 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> Model:
-    """The models; what reaches the driver is one count a kind and bucket, whatever the input."""
+    """The models. Significance is judged where the counts are; only the buckets that matter reach the driver."""
     known = labelled(docs, labels, id_col, text_col, most)
-    rows = counted(known.unionByName(docs.select(F.col(text_col).cast("string").alias("text"), F.lit(-1).alias("kind")))).toPandas()
-    tables = {}
-    for kind, part in rows.groupby("kind"):
-        tables[int(kind)] = own = np.zeros(BUCKETS + 1, np.int64)
-        own[part["bucket"].to_numpy()] = part["n"].to_numpy()  # -1 is the last
-    return Model(tables.pop(-1, np.zeros(BUCKETS + 1, np.int64)), tables)
+    found = counted(known.unionByName(docs.select(F.col(text_col).cast("string").alias("text"), F.lit(-1).alias("kind"))))
+    names = ["raw", *KINDS]
+    wide = stash(found.groupBy("bucket").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k - 1, F.col("n"))), F.lit(0)).alias(name) for k, name in enumerate(names)]), "counts")
+    totals = wide.where("bucket = -1").first()
+    if totals is None:
+        return Model([], np.empty(0, np.int64), np.zeros((1, 0)))
+    base = (F.col("raw") + 0.5) / F.lit(totals["raw"] + 1.0)
+    rate = {k: (F.col(k) + PRIOR_DOCS * base) / (totals[k] + PRIOR_DOCS) for k in KINDS}
+    excess = {k: (F.col(k) - totals[k] * base > SIGNIFICANT * F.sqrt(totals[k] * base * (1 - base) + 1)) & (rate[k] > TIMES * rate[KINDS[0]]) for k in KINDS[1:]}
+    matters = excess | {KINDS[0]: functools.reduce(Column.__or__, excess.values())}
+    ratios = [F.when(matters[k], F.log(rate[k] / base)).otherwise(0.0).alias(f"r_{k}") for k in KINDS]
+    rows = wide.where("bucket >= 0").select("bucket", *ratios).where(" or ".join(f"r_{k} <> 0" for k in KINDS)).orderBy("bucket").collect()
+    taught = sum(totals[k] for k in KINDS)
+    return Model([totals[k] / taught for k in KINDS] if taught else [], np.array([r[0] for r in rows], np.int64), np.array([r[1:] for r in rows], float).reshape(-1, len(KINDS)).T)
 
 
 def weighed(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, str]:
