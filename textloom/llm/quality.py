@@ -42,9 +42,9 @@ LABELLED = 40_000
 SIGNIFICANT = 5.0
 #: And how many times the target's rate a reject's must be.
 TIMES = 60.0
-PRIOR_DOCS = 4.0
+PRIOR_DOCS = 2.0
 TEMPERATURE = 0.1
-THRESHOLD = -5.0
+THRESHOLD = -4.5
 KEPT_WORDS = 300_000
 
 SIGNS = re.compile(rb"[^\w\x80-\xff]+$|^[^\w\x80-\xff]+")
