@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -47,26 +46,23 @@ TEMPERATURE = 0.1
 THRESHOLD = -4.5
 KEPT_WORDS = 300_000
 
-SIGNS = re.compile(rb"[^\w\x80-\xff]+$|^[^\w\x80-\xff]+")
-DIGITS = re.compile(rb"[0-9]+")
+#: Bytes as features see them: digits are 0, ASCII signs are spaces; and all but capitals, all but odd signs.
+FLAT = bytes(48 if 48 <= b <= 57 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+NOT_CAPITAL = bytes(b for b in range(256) if not 65 <= b <= 90)
+NOT_ODD = bytes(b for b in range(256) if b not in b"!|%&#$*~^<>{}[]\\/=+@_")
 
 
 class Vocabulary(dict):
-    """A number for each piece between white space, and by number: the buckets of its word and of the word's beginning,
-    and flags for capitals and for odd signs."""
+    """A number for each word, and by number the buckets of the word and of its beginning."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.rows = np.zeros((KEPT_WORDS, 4), np.int64)
+        self.rows = np.zeros((KEPT_WORDS, 2), np.int64)
 
-    def __missing__(self, piece: bytes) -> int:
-        text = piece.decode("utf-8", "replace")
-        word = DIGITS.sub(b"0", SIGNS.sub(b"", piece).decode("utf-8", "replace").lower().encode())
-        start = word.decode("utf-8", "replace")[:4].encode()
-        odd = piece[-1] < 128 and not piece[-1:].isalnum() and piece[-1:] not in b".,;:?\"'"
+    def __missing__(self, word: bytes) -> int:
         number = len(self)
-        self.rows[number] = zlib.crc32(word) % SPACES[0], zlib.crc32(start, 1) % SPACES[1], len(text) > 3 and text.upper() == text and text.lower() != text, odd
-        self[piece] = number
+        self.rows[number] = zlib.crc32(word) % SPACES[0], zlib.crc32(word[:5], 1) % SPACES[1]
+        self[word] = number
         return number
 
 
@@ -75,18 +71,20 @@ WORDS = Vocabulary()
 
 def features(text: bytes | None) -> np.ndarray:
     """The buckets of a text, some repeated."""
-    pieces = (text or b"").split()
+    raw = text or b""
+    pieces = raw.lower().translate(FLAT).split()
     n = len(pieces)
     if len(WORDS) + n > KEPT_WORDS:
         WORDS.clear()
         if n > KEPT_WORDS:
-            WORDS.rows = np.zeros((n, 4), np.int64)
+            WORDS.rows = np.zeros((n, 2), np.int64)
     table = WORDS.rows[np.fromiter(map(WORDS.__getitem__, pieces), np.int64, n)]
     words, starts = table[:, 0], table[:, 1]
     pairs = (words[:-1] * 0x9E3779B1 + words[1:] * 0x85EBCA77 >> 11) % SPACES[2]
     most = max([int((words[p:] == words[:-p]).sum()) for p in range(1, 9) if n > p], default=0)
     different = len(np.unique(words))
-    shares = [(1, 8 * int(table[:, 2].sum()) // max(n, 1)), (2, 8 * int(table[:, 3].sum()) // max(n, 1)), (3, 16 * most // max(n, 1)), (4, 100 * n.bit_length() + 10 * different // max(n, 1))]
+    capitals, odd = len(raw.translate(None, NOT_CAPITAL)), len(raw.translate(None, NOT_ODD))
+    shares = [(1, 10 * capitals // max(len(raw), 1)), (2, min(12, 4 * odd // max(n, 1))), (3, 16 * most // max(n, 1)), (4, 100 * n.bit_length() + 10 * different // max(n, 1))]
     shape = np.array([zlib.crc32(b"%d %d" % s, 2) % SPACES[3] for s in shares])
     return np.concatenate([words, starts + SPACES[0], pairs + sum(SPACES[:2]), shape + sum(SPACES[:3])])
 
@@ -95,15 +93,18 @@ KINDS = ("target", "poor", "toxic")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """Rows (text, kind): at most ``most`` labelled documents. Repeated labels of an id count once, rejects first."""
+    """Rows (text, kind) for every document; kind is -1 but for at most ``most`` labelled ones. Repeated labels of an id
+    count once, rejects first. The labels kept are few, by ``most``, and so are broadcast."""
     kind = F.expr("case when quality = 0 then 1 when toxic = 1 then 2 when quality = 1 and toxic = 0 then 0 end")
     known = labels.select(F.col("doc_id").alias("__id"), kind.alias("kind")).where("kind is not null and __id is not null")
     known = known.groupBy("__id").agg(F.max("kind").alias("kind")).orderBy(F.xxhash64("__id"), "__id").limit(most)
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(known, "__id").select("text", "kind")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "__id", "left")
+    return rows.select("text", F.coalesce("kind", F.lit(-1)).alias("kind"))
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """Document counts of the buckets by kind, over all rows of (text, kind): rows (kind, bucket, n); bucket -1 counts the documents."""
+    """Document counts of the buckets by kind, over all rows of (text, kind): rows (kind, bucket, n); bucket -1 counts the
+    documents. A task adds up all it reads before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
@@ -118,7 +119,7 @@ def counted(texts: DataFrame) -> DataFrame:
 
     ship(texts.sparkSession)
     found = texts.select(F.col("text").cast("string").alias("text"), F.col("kind").cast("int").alias("kind")).mapInArrow(run, "kind int, bucket int, n long")
-    return found.groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+    return found
 
 
 class Model:
@@ -142,10 +143,9 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> Model:
     """The models. Significance is judged where the counts are; only the buckets that matter reach the driver."""
-    known = labelled(docs, labels, id_col, text_col, most)
-    found = counted(known.unionByName(docs.select(F.col(text_col).cast("string").alias("text"), F.lit(-1).alias("kind"))))
-    names = ["raw", *KINDS]
-    wide = stash(found.groupBy("bucket").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k - 1, F.col("n"))), F.lit(0)).alias(name) for k, name in enumerate(names)]), "counts")
+    found = counted(labelled(docs, labels, id_col, text_col, most))
+    by_kind = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in enumerate(KINDS)]
+    wide = stash(found.groupBy("bucket").agg(F.sum("n").alias("raw"), *by_kind), "counts")
     totals = wide.where("bucket = -1").first()
     if totals is None:
         return Model([], np.empty(0, np.int64), np.zeros((1, 0)))
