@@ -84,8 +84,9 @@ def features(text: bytes | None) -> np.ndarray:
     most = max([int((words[p:] == words[:-p]).sum()) for p in range(1, 9) if n > p], default=0)
     different = len(np.unique(words))
     capitals, odd = len(raw.translate(None, NOT_CAPITAL)), len(raw.translate(None, NOT_ODD))
-    shares = [(1, 10 * capitals // max(len(raw), 1)), (2, min(12, 4 * odd // max(n, 1))), (3, 16 * most // max(n, 1)), (4, 100 * n.bit_length() + 10 * different // max(n, 1))]
-    shape = np.array([zlib.crc32(b"%d %d" % s, 2) % SPACES[3] for s in shares])
+    # shares of capitals, odd signs, repetitions, and the share of different words by size: each has numbers of its own
+    shares = [10 * capitals // max(len(raw), 1), 20 + min(12, 4 * odd // max(n, 1)), 40 + 16 * most // max(n, 1), 64 + 100 * n.bit_length() + 10 * different // max(n, 1)]
+    shape = np.minimum(shares, SPACES[3] - 1)
     return np.concatenate([words, starts + SPACES[0], pairs + sum(SPACES[:2]), shape + sum(SPACES[:3])])
 
 
