@@ -1,10 +1,522 @@
-"""The queries of the library's own operators over the driver's tables, and their DuckDB counterparts."""
+"""The queries of the library's own operators over the driver's tables, and their DuckDB counterparts.
+
+Rules for Chinese text find little in the driver's Latin-script tables, so they run on fixtures as well: the same rows
+are a DataFrame here and VALUES in the SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom import fixtures as fx
+from textloom.functions import language, text
+from textloom.operators import discovery, entities, metrics, relations, sentences, similarity, summary, tags
+from textloom.streaming.streams import busy_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+LATIN = "a-zA-Z"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql.strip()
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+
+
+# --- sentences and text ----------------------------------------------------------------------------------------
+
+UNREFERENCED = "regexp_replace({c}, '</?[a-zA-Z][^>]*>', '', 'g')"
+for _name, _char in text.REFERENCES:
+    UNREFERENCED = f"replace({UNREFERENCED}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(f"SELECT page_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n_chars FROM (SELECT page_id, {UNREFERENCED.format(c='html')} AS t FROM pages)")
+def clean_html_pages(spark, sf_dir):
+    t = text.clean_html(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(t).alias("digest"), F.length(t).cast("long").alias("n_chars"))
+
+
+SENTENCES = r"""
+parts AS (
+  SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([。！？；\n])\s*', '\1' || chr(31), 'g'), '([.!?])\s+([A-Z])', '\1' || chr(31) || '\2', 'g'), chr(31))) AS p,
+         generate_subscripts(string_split(regexp_replace(regexp_replace(text, '([。！？；\n])\s*', '\1' || chr(31), 'g'), '([.!?])\s+([A-Z])', '\1' || chr(31) || '\2', 'g'), chr(31)), 1) AS k FROM {source}
+), sents AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS sent_idx, regexp_replace(p, '^\s+|\s+$', '', 'g') AS text
+  FROM parts WHERE regexp_replace(p, '^\s+|\s+$', '', 'g') <> ''
+)"""
+
+
+@query(f"WITH {SENTENCES.format(source='documents')} SELECT doc_id, sent_idx, text, CAST(length(text) AS BIGINT) AS n FROM sents")
+def sentences_documents(spark, sf_dir):
+    s = sentences.sentences(docs(spark, sf_dir))
+    return s.select("doc_id", "sent_idx", "text", (F.col("end") - F.col("start")).cast("long").alias("n"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS wrong, count(*) AS checked FROM (SELECT 1 FROM documents)")
+def sentence_spans_hold(spark, sf_dir):
+    """Every span cuts its sentence out of the text; counted by document."""
+    d = docs(spark, sf_dir)
+    cut = F.exists(text.split_sentences(F.col("text")), lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]) != s["text"])
+    return d.agg(F.count_if(cut).alias("wrong"), F.count(F.lit(1)).alias("checked"))
+
+
+@query(
+    f"""WITH {SENTENCES.format(source='documents')}
+SELECT doc_id, sent_idx, CASE WHEN right(text, 1) = '？' THEN 'interrogative' WHEN right(text, 1) = '！' THEN 'exclamatory' ELSE 'declarative' END AS sentence_type,
+       CASE WHEN length(text) <= 10 THEN 'short' WHEN length(text) <= 30 THEN 'medium' ELSE 'long' END AS length_tier,
+       CAST(greatest(1, length(text) - length(replace(text, ',', '')) + 1) AS INTEGER) AS clause_count FROM sents"""
+)
+def sentence_shapes(spark, sf_dir):
+    c = F.col("text")
+    return sentences.sentences(docs(spark, sf_dir)).select("doc_id", "sent_idx", text.sentence_type(c).alias("sentence_type"), text.length_tier(c).alias("length_tier"), text.clause_count(c, ",").cast("int").alias("clause_count"))
+
+
+@query(
+    r"""SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, array_to_string(w[1:5], ' ') AS head, regexp_replace(text[1:200], '\p{Nd}', '0', 'g') AS zeroed,
+CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 39) || '…' END AS short FROM (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+') AS w FROM documents)"""
+)
+def word_projections(spark, sf_dir):
+    w = text.words(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", F.size(w).alias("n_words"), F.array_join(F.slice(w, 1, 5), " ").alias("head"), text.digits_to_zero(F.substring("text", 1, 200)).alias("zeroed"), text.truncate(F.col("text"), 40).alias("short"))
+
+
+# --- language ----------------------------------------------------------------------------------------------------
+
+STOP = ", ".join(f"'{w}'" for w in sorted(set(language.STOP_WORDS)))
+DETECT = rf"""
+counted AS (
+  SELECT {{keys}}, trim(text) AS t, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(text, '[^\p{{{{L}}}}]', '', 'g')) AS letters,
+         len(list_filter(list_transform(regexp_split_to_array(lower(trim(text)), '\s+'), lambda w: regexp_replace(w, '^[.,!?;:''"()\[\]]+|[.,!?;:''"()\[\]]+$', '', 'g')), lambda w: w IN ({STOP}))) AS hits FROM {{source}}
+)"""
+# on text without any CJK character the classical score is the punctuation bonus alone, far from its threshold
+LABEL = "CASE WHEN length(t) < 3 THEN 'modern' WHEN letters > 0 AND latin / letters >= 0.6 AND hits >= 1 THEN 'english' WHEN letters > 0 AND latin / letters >= 0.85 THEN 'english' ELSE 'modern' END"
+
+
+def _detect(keys: str, source: str) -> str:
+    return DETECT.format(keys=keys, source=source).replace("{{", "{").replace("}}", "}")
+
+
+@query(f"WITH {_detect('doc_id', 'documents')} SELECT doc_id, {LABEL} AS label, CASE WHEN {LABEL} = 'english' THEN round(CAST(CASE WHEN hits >= 1 THEN least(0.5 + hits * 0.05, 0.95) ELSE 0.6 END AS DOUBLE), 6) END AS confidence FROM counted")
+def language_documents(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", language.detect(F.col("text")).alias("d"))
+    return d.select("doc_id", "d.label", F.when(F.col("d.label") == "english", F.round("d.confidence", 6)).alias("confidence"))
+
+
+@query(
+    f"""WITH {SENTENCES.format(source='documents')}, {_detect('doc_id, sent_idx', 'sents')}, labelled AS (SELECT doc_id, sent_idx, {LABEL} AS label FROM counted),
+c AS (SELECT doc_id, label, count(*) AS n, min(sent_idx) AS f FROM labelled GROUP BY ALL)
+SELECT doc_id, label, n AS sentences FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) = 1"""
+)
+def dominant_language(spark, sf_dir):
+    return sentences.dominant_language(summary.detected_sentences(docs(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {SENTENCES.format(source='documents')}, {_detect('doc_id, sent_idx', 'sents')}, labelled AS (SELECT doc_id, sent_idx, {LABEL} AS label FROM counted),
+ch AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY doc_id ORDER BY sent_idx) IS NOT DISTINCT FROM label THEN 0 ELSE 1 END AS c FROM labelled),
+s AS (SELECT *, CAST(sum(c) OVER (PARTITION BY doc_id ORDER BY sent_idx) - 1 AS INTEGER) AS segment FROM ch)
+SELECT doc_id, segment, label, count(*) AS sentences FROM s GROUP BY ALL"""
+)
+def language_segments(spark, sf_dir):
+    rows = sentences.labelled_sentences(docs(spark, sf_dir))
+    return sentences.segments(rows).select("doc_id", "segment", "label", "sentences")
+
+
+@query()
+def language_fixture(spark, sf_dir):
+    d = fx.frame(spark, "texts").select("doc_id", language.detect(F.col("text")).alias("d"))
+    return d.select("doc_id", "d.label", F.round("d.confidence", 6).alias("confidence"))
+
+
+# --- ranking and summaries ---------------------------------------------------------------------------------------
+
+
+@query()
+def summary_documents(spark, sf_dir):
+    return summary.summarize_text(docs(spark, sf_dir), target_chars=200)
+
+
+def _rank_sql(source: str) -> str:
+    steps = []
+    for i in range(1, summary.ITERATIONS + 1):
+        steps.append(
+            f"""n{i} AS MATERIALIZED (SELECT s.doc_id, s.i, CASE WHEN s.done THEN s.score ELSE {1 - summary.DAMPING!r} + {summary.DAMPING!r} * coalesce(x.flow, 0) END AS score, s.score AS was, s.done
+  FROM r{i - 1} s LEFT JOIN (SELECT e.doc_id, e.i, sum(e.sim / o.total * p.score) AS flow FROM edges e JOIN outs o ON e.doc_id = o.doc_id AND e.j = o.i JOIN r{i - 1} p ON e.doc_id = p.doc_id AND e.j = p.i GROUP BY ALL) x
+  ON s.doc_id = x.doc_id AND s.i = x.i),
+r{i} AS MATERIALIZED (SELECT doc_id, i, score, done OR sum(abs(score - was)) OVER (PARTITION BY doc_id) < {summary.TOLERANCE!r} AS done FROM n{i})"""
+        )
+    return f"""WITH {SENTENCES.format(source=source)},
+words AS (SELECT DISTINCT doc_id, sent_idx AS i, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM sents),
+sizes AS (SELECT doc_id, i, count(*) AS n FROM words GROUP BY ALL),
+edges AS MATERIALIZED (SELECT a.doc_id, a.i, b.i AS j, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS sim FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.w = b.w AND a.i <> b.i
+  JOIN sizes x ON x.doc_id = a.doc_id AND x.i = a.i JOIN sizes y ON y.doc_id = b.doc_id AND y.i = b.i GROUP BY a.doc_id, a.i, b.i),
+outs AS MATERIALIZED (SELECT doc_id, i, sum(sim) AS total FROM edges GROUP BY ALL),
+r0 AS MATERIALIZED (SELECT doc_id, sent_idx AS i, 1.0 / count(*) OVER (PARTITION BY doc_id) AS score, count(*) OVER (PARTITION BY doc_id) = 1 AS done FROM sents),
+{', '.join(steps)},
+ranked AS (SELECT doc_id, i AS sent_idx, round(score / max(score) OVER (PARTITION BY doc_id), 6) AS textrank FROM r{summary.ITERATIONS})"""
+
+
+BENCH_DOCS = "(SELECT item_id AS doc_id, text FROM benchmark)"
+
+
+@query(_rank_sql(BENCH_DOCS) + " SELECT doc_id, sent_idx, textrank FROM ranked")
+def textrank_benchmark(spark, sf_dir):
+    return summary.ranked(bench(spark, sf_dir)).select("doc_id", "sent_idx", F.round("textrank", 6).alias("textrank"))
+
+
+@query(
+    _rank_sql(BENCH_DOCS)
+    + """, scored AS (SELECT s.doc_id, s.sent_idx, s.text, least(1.0, textrank + CASE WHEN s.sent_idx = 0 THEN 0.15 WHEN s.sent_idx = max(s.sent_idx) OVER (PARTITION BY s.doc_id) THEN 0.10 ELSE 0 END) AS score FROM sents s JOIN ranked USING (doc_id, sent_idx)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, sent_idx) = 1)
+SELECT doc_id, CASE WHEN length(text) <= 30 THEN text ELSE substr(text, 1, 29) || '…' END AS title_text, sent_idx AS source_sentence_index FROM best"""
+)
+def title_benchmark(spark, sf_dir):
+    return summary.title_text(bench(spark, sf_dir)).select("doc_id", "title_text", "source_sentence_index")
+
+
+@query()
+def summary_benchmark(spark, sf_dir):
+    return summary.summarize_text(bench(spark, sf_dir), target_chars=120)
+
+
+# --- discovery ---------------------------------------------------------------------------------------------------
+
+CLAUSES = r"""clauses AS (SELECT doc_id, regexp_replace(p, '[^a-zA-Z]', '', 'g') AS c FROM (SELECT doc_id, unnest(string_split_regex(text, '[。！？；\n]')) AS p FROM {source}) WHERE length(regexp_replace(p, '[^a-zA-Z]', '', 'g')) >= 2),
+places AS (SELECT doc_id, c, n, unnest(range(1, length(c) - n + 2)) AS i FROM clauses, (SELECT unnest(range({lo}, {hi} + 1)) AS n) WHERE length(c) >= n),
+grams AS (SELECT doc_id, substr(c, i, n) AS gram, CASE WHEN i > 1 THEN substr(c, i - 1, 1) END AS prev, CASE WHEN i + n <= length(c) THEN substr(c, i + n, 1) END AS next FROM places),
+counts AS (SELECT doc_id, gram, count(*) AS freq FROM grams GROUP BY ALL)"""
+
+
+@query(f"WITH {CLAUSES.format(source=BENCH_DOCS, lo=2, hi=6)} SELECT doc_id, gram, freq FROM counts")
+def ngram_counts(spark, sf_dir):
+    return discovery.ngram_counts(discovery.clauses(bench(spark, sf_dir), LATIN))
+
+
+@query(
+    f"""WITH {CLAUSES.format(source=BENCH_DOCS, lo=2, hi=3)}, c AS (SELECT doc_id, gram, prev, count(*) AS c FROM grams WHERE prev IS NOT NULL GROUP BY ALL)
+SELECT doc_id, gram, round(greatest(0.0, log2(sum(c)) - sum(c * log2(c)) / sum(c)), 6) AS prev_entropy FROM c GROUP BY ALL"""
+)
+def branching_entropy(spark, sf_dir):
+    rows = discovery.gram_rows(discovery.clauses(bench(spark, sf_dir), LATIN), 2, 3)
+    return discovery.branching_entropy(rows, "prev").withColumn("prev_entropy", F.round("prev_entropy", 6))
+
+
+DISCOVERED = f"""WITH {CLAUSES.format(source=BENCH_DOCS, lo=2, hi=4)},
+totals AS (SELECT doc_id, sum(length(c)) AS total FROM clauses GROUP BY ALL HAVING sum(length(c)) >= 30),
+ch AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(string_split(c, '')) AS x FROM clauses) GROUP BY ALL),
+inf AS (SELECT doc_id, x, sum(freq) AS n FROM (SELECT doc_id, freq, unnest(string_split(gram, '')) AS x FROM counts) GROUP BY ALL),
+cand AS (SELECT c.*, total, length(gram) AS n FROM counts c JOIN totals USING (doc_id) WHERE freq >= CASE WHEN total < 200 THEN 1 ELSE 2 END),
+cuts AS (SELECT *, unnest(range(1, n)) AS k FROM cand),
+parts AS (SELECT s.doc_id, s.gram, s.freq / greatest(total - n + 1, 1) AS pj, l.freq AS lf, r.freq AS rf, greatest(total - k + 1, 1) AS ld, greatest(total - (n - k) + 1, 1) AS rd
+  FROM (SELECT *, substr(gram, 1, k) AS h, substr(gram, k + 1) AS t FROM cuts) s LEFT JOIN counts l ON l.doc_id = s.doc_id AND l.gram = h LEFT JOIN counts r ON r.doc_id = s.doc_id AND r.gram = t),
+sp AS (SELECT doc_id, gram, avg(log2(pj / (coalesce(lf, 1) / ld * coalesce(rf, 1) / rd))) AS split_pmi, 1 / (1 + exp(-avg(CASE WHEN lf IS NULL OR rf IS NULL THEN 0 ELSE log2(pj / (lf / ld * rf / rd)) END))) AS cohesion FROM parts GROUP BY ALL),
+le AS (SELECT c.doc_id, gram, sum(ln(ch.n / total)) AS lp, sum(log2(inf.n / total)) AS l2 FROM (SELECT doc_id, gram, total, unnest(string_split(gram, '')) AS x FROM cand) c JOIN ch USING (doc_id, x) JOIN inf USING (doc_id, x) GROUP BY ALL),
+pe AS (SELECT doc_id, gram, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM (SELECT doc_id, gram, prev, count(*) AS c FROM grams WHERE prev IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+ne AS (SELECT doc_id, gram, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM (SELECT doc_id, gram, next, count(*) AS c FROM grams WHERE next IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+st AS (SELECT cand.*, CASE WHEN n = 2 THEN log2(freq / (total - 1)) - l2 ELSE split_pmi END AS pmi, cohesion, exp(lp) * (total - n + 1) AS ex, total - n + 1 AS pl, greatest(0, coalesce(pe.e, 0)) AS lent, greatest(0, coalesce(ne.e, 0)) AS rent
+  FROM cand JOIN sp USING (doc_id, gram) JOIN le USING (doc_id, gram) LEFT JOIN pe USING (doc_id, gram) LEFT JOIN ne USING (doc_id, gram)),
+sc AS (SELECT *, CASE WHEN ex < 0.001 OR pl - freq <= 0 OR pl - ex <= 0 THEN 0 ELSE 2 * (freq * ln(freq / ex) + (pl - freq) * ln((pl - freq) / (pl - ex))) END AS llr FROM st),
+fin AS (SELECT doc_id, gram AS word, freq AS frequency, pmi, llr, lent, rent, cohesion, pmi * 0.3 + llr * 0.3 + least(lent, rent) * 0.2 + cohesion * 0.2 AS score, total FROM sc)
+SELECT doc_id, word, frequency, round(pmi, 4) AS pmi, round(llr, 4) AS llr, round(lent, 4) AS left_entropy, round(rent, 4) AS right_entropy, round(cohesion, 4) AS cohesion, round(score, 4) AS score
+FROM fin WHERE score >= CASE WHEN total < 50 THEN 0.3 WHEN total < 100 THEN 0.3 ELSE 0.5 END"""
+
+
+@query(DISCOVERED)
+def discovered_words(spark, sf_dir):
+    found = discovery.discover(bench(spark, sf_dir), 2, 4, keep=LATIN)
+    return found.select("doc_id", "word", "frequency", *[F.round(c, 4).alias(c) for c in ("pmi", "llr", "left_entropy", "right_entropy", "cohesion", "score")])
+
+
+@query()
+def discovered_without_parts(spark, sf_dir):
+    found = discovery.without_parts(discovery.discover(bench(spark, sf_dir), 2, 4, keep=LATIN))
+    return found.select("doc_id", "rank", "word", "frequency", F.round("score", 4).alias("score"))
+
+
+# --- entities ----------------------------------------------------------------------------------------------------
+
+
+@query(fx.with_values("dates") + r"""SELECT id, CASE WHEN regexp_matches(text, '^\d{4}年\d{1,2}月\d{1,2}日') THEN regexp_extract(text, '^(\d{4})', 1) || '-' || lpad(regexp_extract(text, '年(\d{1,2})月', 1), 2, '0') || '-' || lpad(regexp_extract(text, '月(\d{1,2})日', 1), 2, '0')
+ WHEN regexp_matches(text, '^\d{4}年\d{1,2}月') THEN regexp_extract(text, '^(\d{4})', 1) || '-' || lpad(regexp_extract(text, '年(\d{1,2})月', 1), 2, '0') WHEN regexp_matches(text, '^\d{4}年') THEN substr(text, 1, 4)
+ WHEN regexp_matches(text, '^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}') AND (regexp_matches(text, '^\d{4}-\d{1,2}-') OR regexp_matches(text, '^\d{4}[/.]\d{1,2}[/.]')) THEN substr(text, 1, 4) || '-' || lpad(regexp_extract(text, '^\d{4}[-/.](\d{1,2})', 1), 2, '0') || '-' || lpad(regexp_extract(text, '^\d{4}[-/.]\d{1,2}[-/.](\d{1,2})', 1), 2, '0')
+ WHEN regexp_matches(text, '^\d{8}') AND CAST(substr(text, 5, 2) AS INT) BETWEEN 1 AND 12 AND CAST(substr(text, 7, 2) AS INT) BETWEEN 1 AND 31 THEN substr(text, 1, 4) || '-' || substr(text, 5, 2) || '-' || substr(text, 7, 2) ELSE text END AS normalized FROM dates""")
+def normal_dates(spark, sf_dir):
+    return fx.frame(spark, "dates").select("id", text.normal_date(F.col("text")).alias("normalized"))
+
+
+@query(
+    r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\d+(?:\.\d+)?%')) AS text FROM documents) SELECT doc_id, text, count(*) AS n FROM m GROUP BY ALL"""
+)
+def percentages_documents(spark, sf_dir):
+    found = entities.numbers(docs(spark, sf_dir), patterns=[("numeric/percentage", r"\d+(?:\.\d+)?%")])
+    return found.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def numbers_fixture(spark, sf_dir):
+    return entities.numbers(fx.frame(spark, "texts")).select("doc_id", "text", "start", "end", "source", "normalized")
+
+
+QUALITY_SQL = r"""t AS (SELECT *, CASE WHEN category IN ('NUMBER', 'STANDARD', 'PARAMETER', 'UNKNOWN') AND regexp_matches(text, '\d+\.\d+|第\s*\d+|\d+\s*章|\d+\s*节|\d+\s*条') THEN 'SECTION_REF' ELSE category END AS cat,
+  regexp_matches(trim(text), '^\d') AND length(regexp_replace(trim(text), '^[\d.,\s\-+]+', '')) > 0 AS unit, regexp_matches(trim(text), '(?i)^(GB|GB/T|ISO|IEC|ASTM|DIN|JIS|EN|ANSI|IEEE|HG|SH|DL|Q/|T/|JB)') AS code FROM {source})
+SELECT entity_id, cat AS category, CASE WHEN cat = 'NUMBER' AND regexp_matches(trim(text), '^\d{{1,4}}$') THEN 'F1_shape' WHEN starts_with(source, 'keyword') THEN 'F2_confidence' WHEN cat NOT IN ('NUMBER', 'STANDARD', 'PRODUCT', 'UNKNOWN') THEN NULL
+ WHEN cat = 'NUMBER' AND NOT (unit OR (starts_with(source, 'numeric/') AND source <> 'numeric/date')) THEN 'F2_confidence' WHEN cat = 'STANDARD' AND NOT code THEN 'F2_confidence' WHEN cat = 'PRODUCT' AND confidence < 0.85 THEN 'F2_confidence'
+ WHEN cat = 'UNKNOWN' AND NOT (unit OR code OR confidence >= 0.75) THEN 'F2_confidence' WHEN unit OR code THEN NULL WHEN confidence < 0.6 THEN 'F2_confidence' END AS filter FROM t"""
+
+
+@query(fx.with_values("entities") + ", " + QUALITY_SQL.format(source="entities").replace("{{", "{").replace("}}", "}"))
+def entity_quality(spark, sf_dir):
+    return entities.with_quality(fx.frame(spark, "entities")).select("entity_id", "category", "filter")
+
+
+PART_ENTITIES = "(SELECT p_partkey AS doc_id, 'p' || p_partkey AS entity_id, p_name AS text, CASE p_size % 5 WHEN 0 THEN 'NUMBER' WHEN 1 THEN 'PRODUCT' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'STANDARD' ELSE 'PERSON' END AS category, 0 AS start, length(p_name) AS \"end\", CASE p_size % 3 WHEN 0 THEN 'keyword' WHEN 1 THEN 'ner' ELSE 'numeric/quantity' END AS source, (p_size % 10) / 10.0 AS confidence FROM part)"
+
+
+@query("WITH " + QUALITY_SQL.format(source=PART_ENTITIES).replace("{{", "{").replace("}}", "}"))
+def entity_quality_parts(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    kinds = F.element_at(F.array(*map(F.lit, ["NUMBER", "PRODUCT", "UNKNOWN", "STANDARD", "PERSON"])), F.col("p_size") % 5 + 1)
+    source = F.element_at(F.array(*map(F.lit, ["keyword", "ner", "numeric/quantity"])), F.col("p_size") % 3 + 1)
+    rows = p.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("p"), "p_partkey").alias("entity_id"), F.col("p_name").alias("text"), kinds.alias("category"), F.lit(0).alias("start"), F.length("p_name").alias("end"), source.alias("source"), (F.col("p_size") % 10 / 10.0).alias("confidence"))
+    return entities.with_quality(rows).select("entity_id", "category", "filter")
+
+
+@query(
+    fx.with_values("entities") + """ SELECT c.doc_id, c.entity_id, p.entity_id AS parent_entity_id FROM entities c LEFT JOIN LATERAL (SELECT entity_id FROM entities p WHERE p.doc_id = c.doc_id AND p.category = c.category AND p.entity_id <> c.entity_id
+ AND p.start <= c.start AND p."end" >= c."end" AND p."end" - p.start > c."end" - c.start ORDER BY p."end" - p.start, entity_id LIMIT 1) p ON true"""
+)
+def entity_hierarchy(spark, sf_dir):
+    return entities.hierarchy(fx.frame(spark, "entities")).select("doc_id", "entity_id", "parent_entity_id")
+
+
+@query()
+def entity_conflicts(spark, sf_dir):
+    return entities.resolve_conflicts(fx.frame(spark, "candidates")).select("doc_id", "entity_id", "category", "ner_disputed")
+
+
+@query(fx.with_values("entities") + """ SELECT doc_id, text, category, first(entity_id ORDER BY confidence DESC, start, entity_id) AS entity_id, count(*) - 1 AS merged FROM entities GROUP BY ALL""")
+def entity_collapse(spark, sf_dir):
+    return entities.collapse_same_text(fx.frame(spark, "entities")).select("doc_id", "text", "category", "entity_id", F.size("merged_from").cast("long").alias("merged"))
+
+
+@query()
+def entity_overlaps(spark, sf_dir):
+    return entities.without_crossings(fx.frame(spark, "entities"))
+
+
+@query()
+def entity_merge(spark, sf_dir):
+    return entities.merge_touching(fx.frame(spark, "entities"))
+
+
+@query(
+    r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, 'and|the|with')) AS w FROM documents) SELECT doc_id, w AS text, count(*) AS n FROM m GROUP BY ALL"""
+)
+def longest_dictionary_matches(spark, sf_dir):
+    return entities.longest_prefix_matches(docs(spark, sf_dir), ["and", "the", "with"]).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT lower(split_part(r_name, ' ', 1)) AS keyword, 'LOCATION' AS category FROM region UNION ALL SELECT * FROM (VALUES ('th', 'X'), ('the', 'Y'), ('he', 'Z')))
+SELECT doc_id, keyword AS text, category, sum(CAST((length(text) - length(replace(text, keyword, ''))) / length(keyword) AS BIGINT)) AS n FROM (SELECT item_id AS doc_id, text FROM benchmark), d WHERE contains(text, keyword) GROUP BY ALL"""
+)
+def all_dictionary_matches(spark, sf_dir):
+    d = table(spark, sf_dir, "region").select(F.lower(F.split("r_name", " ")[0]).alias("keyword"), F.lit("LOCATION").alias("category")).distinct().unionByName(spark.createDataFrame([("th", "X"), ("the", "Y"), ("he", "Z")], "keyword string, category string"))
+    return entities.all_matches(bench(spark, sf_dir), d, 12).groupBy("doc_id", "text", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    r"""WITH d(keyword, category, layer) AS (VALUES ('the', 'A', 0), ('the', 'B', 1), ('of', 'C', 0), ('and', 'UNKNOWN', 0)), t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')) AS text FROM documents),
+best AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY layer DESC) = 1) SELECT doc_id, t.text, category, count(*) AS n FROM t JOIN best ON t.text = keyword WHERE category <> 'UNKNOWN' GROUP BY ALL"""
+)
+def keyword_lookup(spark, sf_dir):
+    d = spark.createDataFrame([("the", "A", 0), ("the", "B", 1), ("of", "C", 0), ("and", "UNKNOWN", 0)], "keyword string, category string, layer int")
+    t = docs(spark, sf_dir).select("doc_id", F.explode(text.words(F.col("text"))).alias("text"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    return entities.keywords(t, d).groupBy("doc_id", "text", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def negated_numbers(spark, sf_dir):
+    t = fx.frame(spark, "texts")
+    return entities.with_negation(entities.numbers(t), entities.negations(t)).select("doc_id", "text", "start", "is_negated", F.round("confidence", 6).alias("confidence"))
+
+
+# --- relations, events, graphs -----------------------------------------------------------------------------------
+
+
+@query()
+def frame_relations(spark, sf_dir):
+    verbs = spark.createDataFrame([("发布", "PRODUCES", "create")], "verb string, predicate string, semantic_class string")
+    roles = spark.createDataFrame([("argm-loc", "LOCATED_AT", "space"), ("argm-tmp", "TEMPORAL_AT", "time")], "role string, predicate string, semantic_class string")
+    found = relations.with_predicates(relations.from_frames(fx.frame(spark, "frames")), verbs, roles)
+    return found.select("doc_id", "frame_idx", "pair", "subject", "predicate", "predicate_verb", "object", "start", "end")
+
+
+@query(fx.with_values("relations") + """ SELECT doc_id, rel_id, s AS subject, o AS object FROM (SELECT doc_id, rel_id, s, unnest(string_split(replace(object, '和', chr(31)), chr(31))) AS o FROM (SELECT *, unnest(string_split(replace(subject, '和', chr(31)), chr(31))) AS s FROM relations))""")
+def conjunctions(spark, sf_dir):
+    return relations.split_conjunctions(fx.frame(spark, "relations"), ["和"]).select("doc_id", "rel_id", "subject", "object")
+
+
+@query(fx.with_values("relations") + """ SELECT doc_id, sentence_index, predicate_verb AS trigger, subject AS agent, count(*) AS n, string_agg(rel_id, ',' ORDER BY rel_id) AS relation_ids, 'evt_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sentence_index, predicate_verb, subject) AS VARCHAR), 3, '0') AS event_id
+ FROM relations WHERE predicate_verb <> '' AND subject <> object GROUP BY doc_id, sentence_index, predicate_verb, subject""")
+def event_clusters(spark, sf_dir):
+    found = relations.events(fx.frame(spark, "relations"))
+    return found.select("doc_id", "sentence_index", "trigger", "agent", F.size("relation_ids").cast("long").alias("n"), F.array_join("relation_ids", ",").alias("relation_ids"), "event_id")
+
+
+@query()
+def event_hierarchy(spark, sf_dir):
+    e = relations.event_confidence(fx.frame(spark, "events"), fx.frame(spark, "arguments"))
+    return relations.sub_events(relations.distinct_events(e)).select("doc_id", "event_id", F.round("confidence", 6).alias("confidence"), "is_main_event", "sub_events")
+
+
+@query()
+def noun_signals(spark, sf_dir):
+    return relations.noun_signals(fx.frame(spark, "tokens"), fx.frame(spark, "deps"))
+
+
+@query(fx.with_values("deps", "tokens") + """ SELECT s.doc_id, ts.text AS subject, tv.text AS predicate_verb, o_.text AS object FROM deps s JOIN deps o ON s.doc_id = o.doc_id AND s.head = o.head AND s.rel = 'nsubj' AND o.rel = 'dobj'
+ JOIN tokens ts ON ts.doc_id = s.doc_id AND ts.tok_idx = s.child JOIN tokens tv ON tv.doc_id = s.doc_id AND tv.tok_idx = s.head JOIN tokens o_ ON o_.doc_id = o.doc_id AND o_.tok_idx = o.child""")
+def subject_object_bridges(spark, sf_dir):
+    return relations.bridges(fx.frame(spark, "deps"), fx.frame(spark, "tokens")).drop("confidence")
+
+
+@query(
+    """WITH c AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), p AS (SELECT source AS doc, k AS m, k * 10 AS s, k % 3 AS kind FROM c WHERE k % 2 = 0), a AS (SELECT source AS doc, k AS n, k * 10 - 5 AS e, k % 3 AS kind FROM c WHERE k % 2 = 1)
+SELECT p.doc AS doc_id, m AS mention_id, max(n) AS anchor_id FROM p LEFT JOIN a ON p.doc = a.doc AND p.kind = a.kind AND a.e <= p.s GROUP BY ALL"""
+)
+def nearest_antecedents(spark, sf_dir):
+    from pyspark.sql import Window
+
+    c = docs(spark, sf_dir).select(F.col("source").alias("doc_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("k"))
+    p = c.where("k % 2 = 0").select("doc_id", F.col("k").alias("mention_id"), (F.col("k") * 10).alias("start"), (F.col("k") % 3).alias("kind"))
+    a = c.where("k % 2 = 1").select("doc_id", F.col("k").alias("anchor_id"), (F.col("k") * 10 - 5).alias("end"), (F.col("k") % 3).alias("kind"))
+    return relations.nearest_before(p, a).select("doc_id", "mention_id", "anchor_id")
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(w) AS text, generate_subscripts(w, 1) AS k FROM (SELECT item_id AS doc_id, regexp_extract_all(text, '[A-Z][\p{L}]+') AS w FROM benchmark)), g AS (SELECT doc_id, text, count(*) AS mentions, min(k) AS f FROM w GROUP BY ALL HAVING count(*) >= 2)
+SELECT doc_id, 'coref_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY f, text) AS VARCHAR), 4, '0') AS chain_id, text AS representative, mentions FROM g"""
+)
+def coreference_chains(spark, sf_dir):
+    m = bench(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[A-Z][\p{L}]+"), F.lit(0))).alias("start", "text"))
+    return relations.chains(m).select("doc_id", "chain_id", "representative", "mentions")
+
+
+# --- metrics, tags, vectors, streams -----------------------------------------------------------------------------
+
+
+@query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
+def label_confusion(spark, sf_dir):
+    return metrics.confusion(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query("""SELECT avg(CASE WHEN quality = 1 - toxic THEN 1 ELSE 0 END) AS accuracy, count(*) AS n FROM labels""")
+def label_accuracy(spark, sf_dir):
+    return metrics.accuracy(table(spark, sf_dir, "labels").withColumn("guess", 1 - F.col("toxic")), "quality", "guess")
+
+
+@query(
+    """WITH g AS (SELECT doc_id, lang AS label, n_chars // 100 AS s FROM documents), p AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'en' ELSE lang END AS label, n_chars // 100 AS s FROM documents WHERE doc_id % 5 <> 0),
+b AS (SELECT coalesce(g.label, p.label) AS label, CAST(g.doc_id IS NOT NULL AS INT) AS g, CAST(p.doc_id IS NOT NULL AS INT) AS p FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.label = p.label AND g.s = p.s)
+SELECT label, CAST(sum(g * p) AS BIGINT) AS tp, CAST(sum(p) AS BIGINT) AS pred, CAST(sum(g) AS BIGINT) AS gold, round(2.0 * sum(g * p) / (sum(p) + sum(g)), 6) AS f1 FROM b GROUP BY ROLLUP (label)"""
+)
+def span_scores(spark, sf_dir):
+    d = docs(spark, sf_dir).withColumn("s", F.floor(F.col("n_chars") / 100))
+    g = d.select("doc_id", F.col("lang").alias("label"), "s")
+    p = d.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "en").otherwise(F.col("lang")).alias("label"), "s")
+    return metrics.span_f1(g, p, ["doc_id", "label", "s"]).select("label", "tp", "pred", "gold", F.round("f1", 6).alias("f1"))
+
+
+@query(fx.with_values("deps") + """ SELECT avg(CASE WHEN head = h2 THEN 1 ELSE 0 END) AS uas, avg(CASE WHEN head = h2 AND rel = r2 THEN 1 ELSE 0 END) AS las, count(*) AS n FROM (SELECT *, CASE WHEN child % 3 = 0 THEN 0 ELSE head END AS h2, CASE WHEN child % 2 = 0 THEN 'dep' ELSE rel END AS r2 FROM deps)""")
+def attachment_scores(spark, sf_dir):
+    gold = fx.frame(spark, "deps")
+    pred = gold.select("doc_id", "child", F.when(F.col("child") % 3 == 0, 0).otherwise(F.col("head")).alias("head"), F.when(F.col("child") % 2 == 0, "dep").otherwise(F.col("rel")).alias("rel"))
+    return metrics.attachment(gold, pred)
+
+
+@query(
+    """WITH r AS (SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS a, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS b FROM orders)
+SELECT round(1 - 6 * sum(CAST((a - b) * (a - b) AS DOUBLE)) / (CAST(count(*) AS DOUBLE) * (CAST(count(*) AS DOUBLE) * count(*) - 1)), 8) AS spearman, count(*) AS n FROM r"""
+)
+def rank_correlation(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("o_custkey", F.col("o_custkey").cast("double"))
+    return metrics.spearman(rows, "o_totalprice", "o_custkey", "o_orderkey").withColumn("spearman", F.round("spearman", 8))
+
+
+@query(
+    r"""WITH t AS (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')) AS token FROM documents), c AS (SELECT token, count(*) AS freq FROM t GROUP BY ALL HAVING count(*) >= 2) SELECT token, freq, row_number() OVER (ORDER BY freq DESC, encode(token)) - 1 AS idx FROM c"""
+)
+def vocabulary(spark, sf_dir):
+    t = docs(spark, sf_dir).select(F.explode(text.words(F.col("text"))).alias("text"))
+    return metrics.vocabulary(t, least=2)
+
+
+@query()
+def tag_spans(spark, sf_dir):
+    rows = fx.frame(spark, "tags").withColumn("tags", F.split("tags", " "))
+    return rows.select("id", F.to_json(tags.tags_to_spans(F.col("tags"))).alias("spans"))
+
+
+@query(
+    r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[\p{L}]+') AS w FROM benchmark) SELECT item_id, array_to_string(list_transform(w, lambda x: CASE WHEN length(x) = 1 THEN 'S' ELSE 'B' || repeat('M', length(x) - 2) || 'E' END), '') AS tags, array_to_string(w, ' ') AS words FROM w"""
+)
+def word_tags(spark, sf_dir):
+    w = F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", w.alias("w")).withColumn("t", tags.words_to_bmes(F.col("w")))
+    back = tags.bmes_to_words(text.chars(F.array_join("w", "")), F.col("t"))
+    return rows.select("item_id", F.array_join("t", "").alias("tags"), F.array_join(back, " ").alias("words"))
+
+
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id < 20), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)) AS c FROM q, v WHERE q.vec_id <> v.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS INTEGER) AS rank, vec_id, round(c, 6) AS similarity FROM s QUALIFY rank <= 10"""
+)
+def most_similar(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return similarity.most_similar(v, v.where("vec_id < 20"), 10).select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    """SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS requests FROM events GROUP BY ALL HAVING count(*) >= 3"""
+)
+def busy_hours(spark, sf_dir):
+    return busy_windows(table(spark, sf_dir, "events"), length="1 hour", least=3)
+
+
+@query(
+    """WITH r AS (SELECT role, length(text) AS n FROM conversations) SELECT role, count(*) AS turns, CAST(sum(n) AS BIGINT) AS chars FROM r GROUP BY ROLLUP (role)"""
+)
+def corpus_counts(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").rollup("role").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(
+    """WITH f AS (SELECT doc_id, source, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 5 AS INTEGER) AS fold FROM documents) SELECT source, fold, count(*) AS n FROM f GROUP BY ALL"""
+)
+def folds_by_source(spark, sf_dir):
+    from pyspark.sql import Window
+
+    r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return docs(spark, sf_dir).withColumn("fold", ((r - 1) % 5).cast("int")).groupBy("source", "fold").agg(F.count(F.lit(1)).alias("n"))
