@@ -65,59 +65,95 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(max(n - 1, 0), base, np.uint64), dtype=np.uint64)))[:n]
-
-
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+class Powers:
+    """Powers of a number modulo 2^64, as many as were asked for."""
+
+    def __init__(self, base: int):
+        self.base, self.known = base, np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> np.ndarray:
+        if len(self.known) < n:
+            rest = np.full(2 * n - 1, self.base, np.uint64)
+            self.known = np.concatenate((np.ones(1, np.uint64), np.cumprod(rest, dtype=np.uint64)))
+        return self.known[:n]
+
+
+UP, DOWN = Powers(BASE), Powers(INVERSE)
+
+
+def running(words: np.ndarray) -> np.ndarray:
+    """Sums from the first word up to each place, every word times a power of its place."""
+    out = np.zeros(len(words) + 1, np.uint64)
+    np.multiply(words, UP(len(words)), out=out[1:], casting="unsafe")
+    return np.cumsum(out, out=out)
+
+
+def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the words from each start to its end, by differences of running sums."""
+    return mixed((sums[ends] - sums[starts]) * DOWN(len(sums))[starts] + (ends - starts).astype(np.uint64))
+
+
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` words, by differences of running sums; of all words, if there are fewer."""
-    n = len(words)
-    size = min(size, n)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers(n, BASE), dtype=np.uint64)))
-    return mixed((sums[size:] - sums[: n - size + 1]) * powers(n - size + 1, INVERSE) + np.uint64(size))
+    """A hash of each run of ``size`` words; of all words, if there are fewer."""
+    starts = np.arange(max(1, len(words) - size + 1))
+    return spans_hash(running(words), starts, np.minimum(starts + size, len(words)))
 
 
 def windows(words: np.ndarray, least: int = LEAST, step: int = STEP) -> np.ndarray:
     """Starts of the floating paragraphs: the smallest hash (the last of equals) of each ``step`` windows in a row."""
-    if len(words) < least:
-        return np.empty(0, np.int64)
-    grams = gram_hashes(words, least)
-    step = min(step, len(grams))
-    view = np.lib.stride_tricks.sliding_window_view(grams[::-1], step)
-    starts = len(grams) - 1 - (np.arange(len(view)) + view.argmin(axis=1))
-    return np.unique(starts)
-
-
-def lines_of(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
-    """Number of words before each line, and its words."""
-    before = 0
-    for line in text.lower().split(b"\n"):
-        words = line.split()
-        yield before, words
-        before += len(words)
+    return floating(gram_hashes(words, least), step) if len(words) >= least else np.empty(0, np.int64)
+
 
+def floating(grams: np.ndarray, step: int = STEP) -> np.ndarray:
+    n = len(grams)
+    view = np.lib.stride_tricks.sliding_window_view(grams[::-1], min(step, n))
+    found = np.zeros(n, bool)
+    found[n - 1 - (np.arange(len(view)) + view.argmin(axis=1))] = True
+    return np.flatnonzero(found)
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Band hashes of a set of shingle hashes."""
-    low = np.full(len(SEEDS), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for k in range(0, len(shingles), 4096):
-        low = np.minimum(low, mixed(shingles[k : k + 4096][None, :] * SEEDS[:, None]).min(axis=1))
-    out = np.zeros(BANDS, np.uint64)
+
+def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Band hashes of sets of shingle hashes that lie one after the other, each from its start on: a row a set."""
+    low = np.empty((len(SEEDS), len(starts)), np.uint64)
+    for i, seed in enumerate(SEEDS):
+        low[i] = np.minimum.reduceat(shingles * seed, starts)  # the hashes are well mixed, so a product permutes them well
+    out = np.zeros((BANDS, len(starts)), np.uint64)
     for i in range(ROWS):
         out = mixed(out + low[i::ROWS] + np.uint64(i + 1))
-    return out.view(np.int64)
+    return out.T.view(np.int64)
+
 
+def long_lines(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Running sums of the word hashes of a text, and the starts and ends in words of its natural paragraphs."""
+    words, sizes = [], []
+    for line in text.lower().split(b"\n"):
+        own = line.split()
+        words += own
+        sizes.append(len(own))
+    ends = np.cumsum(sizes)
+    sizes = np.array(sizes)
+    long = sizes >= LEAST
+    return running(word_hashes(words)), (ends - sizes)[long], ends[long]
+
+
+def line_shingles(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles within each paragraph, one paragraph after the other, and where each begins."""
+    n = ends - starts - SHINGLE + 1
+    first = np.cumsum(n) - n
+    at = np.repeat(starts - first, n) + np.arange(n.sum())
+    return spans_hash(sums, at, at + SHINGLE), first
 
-KIND = "id long, start int, words int, floating boolean, content long, bands array<long>, shingles array<int>"
+
+KIND = "id long, start int, words int, floating boolean, content long, bands array<long>"
 
 
 def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The paragraphs: rows (id, start, words, floating, content, bands, shingles); start and words count words, content
-    is a hash of the words; natural paragraphs have their band hashes and the set of their shingles, as 32-bit hashes."""
+    """The paragraphs: rows (id, start, words, floating, content, bands); start and words count words, content is a hash
+    of the words; natural paragraphs have their band hashes, floating ones have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,45 +161,122 @@ def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield cut(part)
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows, starts, sizes, floating, content, bands, shingles = [], [], [], [], [], [], []
+        none = np.empty(0, np.int64)
+        rows, starts, sizes, floats, content, bands = [none], [none], [none], [none.astype(bool)], [none], [np.empty((0, BANDS), np.int64)]
         for k, text in enumerate(as_bytes(b.column(1))):
-            every = []
-            for before, words in lines_of(text or b""):
-                own = word_hashes(words)
-                every.append(own)
-                if len(own) >= LEAST:
-                    grams = np.unique(gram_hashes(own, SHINGLE))
-                    rows.append(k)
-                    starts.append(before)
-                    sizes.append(len(own))
-                    floating.append(False)
-                    content.append(int(gram_hashes(own, len(own))[0]))
-                    bands.append(signature(grams))
-                    shingles.append(np.unique((grams >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            own = np.concatenate(every) if every else np.empty(0, np.uint64)
-            at = windows(own)
-            if len(at):
-                rows += [k] * len(at)
-                starts += at.tolist()
-                sizes += [LEAST] * len(at)
-                floating += [True] * len(at)
-                content += gram_hashes(own, LEAST)[at].tolist()
-                bands += [None] * len(at)
-                shingles += [None] * len(at)
-        columns = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(floating, pa.bool_()), pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(shingles, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(columns, ["id", "start", "words", "floating", "content", "bands", "shingles"])
+            sums, begin, end = long_lines(text or b"")
+            if len(begin):
+                shingles, first = line_shingles(sums, begin, end)
+                starts.append(begin)
+                sizes.append(end - begin)
+                content.append(spans_hash(sums, begin, end).view(np.int64))
+                bands.append(signatures(shingles, first))
+            n = len(sums) - LEAST
+            at = none
+            if n > 0:
+                every = np.arange(n)
+                grams = spans_hash(sums, every, every + LEAST)
+                at = floating(grams)
+                starts.append(at)
+                sizes.append(np.full(len(at), LEAST))
+                content.append(grams[at].view(np.int64))
+            rows.append(np.full(len(begin) + len(at), k))
+            floats.append(np.arange(len(begin) + len(at)) >= len(begin))
+        join = np.concatenate
+        is_float = join(floats)
+        offsets = np.concatenate(([0], np.cumsum(np.where(is_float, 0, BANDS)))).astype(np.int32)
+        columns = [
+            b.column(0).take(pa.array(join(rows))),
+            pa.array(join(starts).astype(np.int32)),
+            pa.array(join(sizes).astype(np.int32)),
+            pa.array(is_float),
+            pa.array(join(content)),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(join(bands).ravel())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["id", "start", "words", "floating", "content", "bands"])
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     return rows.mapInArrow(run, KIND)
 
 
-def similar(signatures: DataFrame, least: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
-    """Links (a, b) between different paragraphs of exact similarity ``least`` or more, from rows (content, bands, shingles) with repeats."""
-    one = signatures.select("content", F.posexplode("bands").alias("band", "key"))
+#: Bits of the map that thins rows out before a join.
+MAP_BITS = 1 << 24
+
+
+def bit_map(wanted: DataFrame, key: str) -> np.ndarray:
+    """A bit for each key, by its low bits; of fixed size, so it can be broadcast. Where it fills up it lets more through,
+    and the join that follows is exact in any case."""
+    slot = f"({key} & {MAP_BITS - 1})"
+    words = wanted.groupBy(F.expr(f"cast(shiftright({slot}, 5) as int)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 31 as int)))").alias("bits")).toPandas()
+    out = np.zeros(MAP_BITS // 32, np.uint32)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def maybe(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return bits[keys & (MAP_BITS - 1)]
+
+
+def thinned(rows: DataFrame, key: str, bits) -> DataFrame:
+    """Rows whose key may be wanted."""
+    at = rows.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(maybe(b.column(at).to_numpy(), bits.value)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def band_rows(natural: DataFrame, bits=None) -> DataFrame:
+    """Rows (content, band, key) of the bands of paragraphs (content, bands); with a map only those that may be shared."""
+    if bits is None:
+        return natural.select("content", F.posexplode("bands").alias("band", "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(1).flatten().to_numpy()
+            at = np.flatnonzero(maybe(keys, bits.value))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at // BANDS)), pa.array((at % BANDS).astype(np.int32)), pa.array(keys[at])], ["content", "band", "key"])
+
+    return natural.mapInArrow(run, "content long, band int, key long")
+
+
+def shingled(docs: DataFrame, text_col: str, bits) -> DataFrame:
+    """Rows (content, bands, shingles) of the natural paragraphs that may be wanted, shingles as a set of 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            content, bands, shingles = [], [], []
+            for text in as_bytes(b.column(0)):
+                sums, begin, end = long_lines(text or b"")
+                if not len(begin):
+                    continue
+                own = spans_hash(sums, begin, end).view(np.int64)
+                hit = maybe(own, bits.value)
+                if hit.any():
+                    begin, end = begin[hit], end[hit]
+                    grams, first = line_shingles(sums, begin, end)
+                    content += own[hit].tolist()
+                    bands += list(signatures(grams, first))
+                    shingles += [np.unique((g >> np.uint64(32)).astype(np.uint32).view(np.int32)) for g in np.split(grams, first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(shingles, pa.list_(pa.int32()))], ["content", "bands", "shingles"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "content long, bands array<long>, shingles array<int>")
+
+
+def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
+    """Links (a, b) between different paragraphs of exact similarity ``least`` or more, from rows (content, bands) with
+    repeats, and the documents they come from."""
+    context = natural.sparkSession.sparkContext
+    one = band_rows(natural)
     shared = one.groupBy("band", "key").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("band", "key")
-    members = stash(one.join(shared, ["band", "key"]).distinct(), "bands")
-    texts = stash(signatures.join(members.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"]).select("content", "bands", "shingles"), "shingles")
+    shared = stash(shared, "shared")
+    members = stash(band_rows(natural, context.broadcast(bit_map(shared, "key"))).join(shared, ["band", "key"]).distinct(), "bands")
+    wanted = members.select("content").distinct()
+    texts = shingled(docs, text_col, context.broadcast(bit_map(wanted, "content")))
+    texts = stash(texts.join(wanted, "content", "left_semi").dropDuplicates(["content"]), "shingles")
     found = []
     for turn in range(rounds):
         if turn:
@@ -194,14 +307,17 @@ def similar(signatures: DataFrame, least: float = SIMILAR, rounds: int = ROUNDS)
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (id, start, words, floating, class, keep) for each paragraph of a class that two or more documents share."""
     rows = stash(units(docs, id_col, text_col), "units")
-    # equal paragraphs of two or more documents
+    known = docs.where(F.col(id_col).isNotNull())
+    links = similar(rows.where("not floating").select("content", "bands"), known, text_col)
+    named = stash(components(links, name="paragraphs").select(F.col("node").alias("content"), "component"), "named")
+    # equal paragraphs of two or more documents, and all that are linked
     spread = rows.groupBy("floating", "content").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    links = similar(rows.where("not floating").select("content", "bands", "shingles"))
-    named = components(links, name="paragraphs").select(F.col("node").alias("content"), "component")
-    classes = spread.join(named.withColumn("floating", F.lit(False)), ["floating", "content"], "left").withColumn("class", F.coalesce("component", "content"))
+    classes = spread.join(named.withColumn("floating", F.lit(False)), ["floating", "content"], "left").where("lo < hi or component is not null")
+    classes = stash(classes.withColumn("class", F.coalesce("component", "content")), "spread")
     shared = classes.groupBy("floating", "class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("floating", "class")
     wanted = stash(classes.join(shared, ["floating", "class"], "left_semi").select("floating", "content", "class"), "classes")
-    members = rows.select("id", "start", "words", "floating", "content").join(wanted, ["floating", "content"])
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "content"))
+    members = thinned(rows.select("id", "start", "words", "floating", "content"), "content", bits).join(wanted, ["floating", "content"])
     first = members.groupBy("floating", "class").agg(F.min(F.struct("id", "start")).alias("first"))
     marked = members.join(first, ["floating", "class"])
     return marked.select("id", "start", "words", "floating", "class", (F.struct("id", "start") == F.col("first")).alias("keep"))
