@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import functools
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import arrow_map, as_bytes, free_name, ship, stash
+from textloom.llm.substrings import running, spans_hash
 
 #: Features are hashed into a space of their own for each kind: words, beginnings of words, pairs of words, shape.
 SPACES = (1 << 19, 1 << 17, 1 << 15, 1 << 12)
@@ -44,7 +44,6 @@ TIMES = 60.0
 PRIOR_DOCS = 2.0
 TEMPERATURE = 0.1
 THRESHOLD = -4.5
-KEPT_WORDS = 300_000
 
 #: Bytes as features see them: digits are 0, ASCII signs are spaces; and all but capitals, all but odd signs.
 FLAT = bytes(48 if 48 <= b <= 57 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -52,35 +51,38 @@ NOT_CAPITAL = bytes(b for b in range(256) if not 65 <= b <= 90)
 NOT_ODD = bytes(b for b in range(256) if b not in b"!|%&#$*~^<>{}[]\\/=+@_")
 
 
-class Vocabulary(dict):
-    """A number for each word, and by number the buckets of the word and of its beginning."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.rows = np.zeros((KEPT_WORDS, 2), np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        number = len(self)
-        self.rows[number] = zlib.crc32(word) % SPACES[0], zlib.crc32(word[:5], 1) % SPACES[1]
-        self[word] = number
-        return number
-
-
-WORDS = Vocabulary()
+def pieces_of(flat: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """Parts of about ``most`` bytes, cut at spaces; a longer word stays whole."""
+    at = 0
+    while at < len(flat):
+        cut = flat.find(b" ", at + most)
+        cut = len(flat) if cut < 0 else cut
+        yield flat[at:cut]
+        at = cut
+
+
+def word_buckets(flat: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words between spaces and of their first five bytes: hashes of stretches of bytes, by differences of
+    running sums, for all words at once."""
+    words, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for piece in pieces_of(flat):
+        a = np.frombuffer(piece, np.uint8)
+        inside = np.zeros(len(a) + 2, bool)
+        inside[1:-1] = a != 32
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, end = edges[::2], edges[1::2]
+        sums = running(a)
+        words.append((spans_hash(sums, begin, end) & np.uint64(SPACES[0] - 1)).view(np.int64))
+        starts.append((spans_hash(sums, begin, np.minimum(begin + 5, end)) & np.uint64(SPACES[1] - 1)).view(np.int64))
+    return np.concatenate(words), np.concatenate(starts)
 
 
 def features(text: bytes | None) -> np.ndarray:
     """The buckets of a text, some repeated."""
     raw = text or b""
-    pieces = raw.lower().translate(FLAT).split()
-    n = len(pieces)
-    if len(WORDS) + n > KEPT_WORDS:
-        WORDS.clear()
-        if n > KEPT_WORDS:
-            WORDS.rows = np.zeros((n, 2), np.int64)
-    table = WORDS.rows[np.fromiter(map(WORDS.__getitem__, pieces), np.int64, n)]
-    words, starts = table[:, 0], table[:, 1]
-    pairs = (words[:-1] * 0x9E3779B1 + words[1:] * 0x85EBCA77 >> 11) % SPACES[2]
+    words, starts = word_buckets(raw.lower().translate(FLAT))
+    n = len(words)
+    pairs = (words[:-1] * 0x9E3779B1 + words[1:] * 0x85EBCA77 >> 11) & SPACES[2] - 1
     most = max([int((words[p:] == words[:-p]).sum()) for p in range(1, 9) if n > p], default=0)
     different = len(np.unique(words))
     capitals, odd = len(raw.translate(None, NOT_CAPITAL)), len(raw.translate(None, NOT_ODD))
@@ -135,7 +137,8 @@ class Model:
 
     def ratios(self, found: np.ndarray) -> np.ndarray:
         """By kind, the log ratio of a text with these buckets."""
-        return self.rows[:, np.unique(self.at[found])].sum(axis=1)
+        at = self.at[found]
+        return self.rows[:, np.unique(at[at > 0])].sum(axis=1)
 
     def log_weight(self, found: np.ndarray) -> float:
         ratios = self.ratios(found)
