@@ -112,7 +112,8 @@ def token_counts(urls: DataFrame, url_col: str, wanted: Sequence[str]) -> dict[s
     found = urls.select(bare.alias("bare"), F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"))
     found = found.select(F.explode(F.array_distinct(F.concat(F.split("host", r"\."), path))).alias("token"))
     wanted_table = spark.createDataFrame([(t,) for t in wanted], "token string")
-    return dict(found.join(wanted_table, "token", "left_semi").groupBy("token").count().collect())  # bounded by the block
+    counts = found.groupBy("token").count()
+    return dict(counts.join(wanted_table, "token", "left_semi").collect())  # bounded by the block
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow", block_rules: int = BLOCK_RULES) -> DataFrame:
