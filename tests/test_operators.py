@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom import fixtures as fx
 from textloom.functions import language, spans, text
-from textloom.operators import discovery, entities, relations, sentences, summary, tags
+from textloom.operators import discovery, entities, relations, sentences, summary, tags, titles
 from textloom.plans.analyze import analyze
 from textloom.sources import readers, writers
 from textloom.streaming.streams import busy_windows, by_batch
@@ -144,6 +144,20 @@ def test_relations_and_events(spark):
     assert ok == {1: True, 2: True}
 
 
+def test_entity_titles(spark):
+    got = {r.doc_id: (r.title_text, r.parts, r.location) for r in titles.entity_titles(fx.frame(spark, "entities"), fx.frame(spark, "facts")).collect()}
+    assert got[1] == ("北京大学——大学、著名", ["大学", "著名"], "北京")
+    assert got[2] == ("gadget——widget", ["widget"], "Paris")
+
+
+def test_token_functions(spark):
+    row = spark.range(1).select(
+        text.token_windows(F.array(*map(F.lit, "abcdefg")), 4, 2).alias("w"), text.prepend_space(F.array(F.lit("ab"), F.lit("c"), F.lit("d")), F.lit("ab c" + "d")).alias("p"),
+        text.mapped(F.array(F.lit("x"), F.lit("y")), {"x": "z"}).alias("m"), text.translate_chars(F.lit("漢語a"), {"漢": "汉", "語": "语"}).alias("c"),
+    ).first()
+    assert ["".join(w) for w in row.w] == ["abcd", "cdef", "efg"] and row.p == ["ab", " c", "d"] and row.m == ["z", "y"] and row.c == "汉语a"
+
+
 def test_discovery_finds_a_repeated_word(spark):
     d = spark.createDataFrame([(1, "碳钢很硬。碳钢很强。他买碳钢了。我有碳钢吗。碳钢可用。这是碳钢。那是碳钢。看碳钢吧")], "doc_id long, text string")
     found = discovery.discover(d)

@@ -83,6 +83,16 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         "doc_id long, event_id string, role string, text string, disputed boolean",
         [(1, "evt_001", "Agent", "公司", False), (1, "evt_001", "Patient", "产品", None), (1, "evt_002", "Patient", "很长很长很长很长很长很长很长很长的东西。", True), (1, "evt_004", "Agent", "公司", None), (1, "evt_004", "Patient", "产品", None)],
     ),
+    "facts": (
+        "doc_id long, subject_id string, subject string, predicate string, object_id string, object string",
+        [
+            (1, "ent_001", "北京大学", "IS_A", None, "大学"),
+            (1, "ent_001", "北京大学", "LOCATED_AT", "ent_002", "北京"),
+            (1, "ent_001", "北京大学", "HAS_PROPERTY", None, "著名"),
+            (2, "ent_002", "gadget", "LOCATED_AT", None, "Paris"),
+            (2, "ent_001", "widget", "PRODUCES", "ent_002", "gadget"),
+        ],
+    ),
     "tags": ("id long, tags string", [(1, "B-PER I-PER O B-LOC B-LOC"), (2, "I-PER I-LOC I-LOC O"), (3, "S-PER B-LOC I-LOC E-LOC E-LOC"), (4, "U-A B-B L-B O"), (5, "B-A M-A E-A S-B"), (6, "O O")]),
 }
 

@@ -280,3 +280,34 @@ def has_unit(c: Column) -> Column:
 
 def is_standard_code(c: Column) -> Column:
     return strip(c).rlike(r"(?i)^(GB|GB/T|ISO|IEC|ASTM|DIN|JIS|EN|ANSI|IEEE|HG|SH|DL|Q/|T/|JB)")
+
+
+# --- tokens ------------------------------------------------------------------------------------------------------
+
+
+def translate_chars(c: Column, table: dict[str, str]) -> Column:
+    """Each character by a table of characters, e.g. traditional to simplified."""
+    return F.translate(c, "".join(table), "".join(table.values()))
+
+
+def mapped(tokens: Column, table: dict[str, str]) -> Column:
+    """Tokens by a table; others stay."""
+    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(pairs, t), t))
+
+
+def punctuation_mask(tokens: Column) -> Column:
+    return F.transform(tokens, is_punctuation)
+
+
+def prepend_space(tokens: Column, text: Column) -> Column:
+    """Tokens with a space in front where the text has white space before them."""
+    at = located(tokens, text)
+    return F.transform(at, lambda s: F.when((s["start"] > 0) & F.substring(text, s["start"], F.lit(1)).rlike(r"^\s$"), F.concat(F.lit(" "), s["text"])).otherwise(s["text"]))
+
+
+def token_windows(tokens: Column, size: int, step: int) -> Column:
+    """Overlapping windows of tokens; the last one ends with the tokens."""
+    n = F.size(tokens)
+    last = F.greatest(F.ceil((n - size) / F.lit(step)).cast("int"), F.lit(0))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(tokens, i * step + 1, size)))

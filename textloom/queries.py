@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom import fixtures as fx
 from textloom.functions import language, text
-from textloom.operators import discovery, entities, metrics, relations, sentences, similarity, summary, tags
+from textloom.operators import discovery, entities, metrics, relations, sentences, similarity, summary, tags, titles
 from textloom.streaming.streams import busy_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -424,6 +424,29 @@ def coreference_chains(spark, sf_dir):
     return relations.chains(m).select("doc_id", "chain_id", "representative", "mentions")
 
 
+@query(
+    fx.with_values("entities", "facts")
+    + """, u AS (SELECT doc_id, subject_id AS e FROM facts UNION ALL SELECT doc_id, object_id FROM facts WHERE object_id IS NOT NULL), c AS (SELECT doc_id, e AS entity_id, count(*) AS n FROM u GROUP BY ALL),
+w(category, k) AS (VALUES ('PERSON', 3.0), ('ORGANIZATION', 2.5), ('LOCATION', 2.0), ('PRODUCT', 1.5)) SELECT doc_id, entity_id, CAST(n AS BIGINT) AS uses, CAST(n * coalesce(k, 1.0) AS DOUBLE) AS score FROM c JOIN entities USING (doc_id, entity_id) LEFT JOIN w USING (category)
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n * coalesce(k, 1.0) DESC, entity_id) = 1"""
+)
+def central_entities(spark, sf_dir):
+    return titles.central_entities(fx.frame(spark, "entities"), fx.frame(spark, "facts")).select("doc_id", "entity_id", "uses", "score")
+
+
+@query()
+def entity_titles(spark, sf_dir):
+    return titles.entity_titles(fx.frame(spark, "entities"), fx.frame(spark, "facts"))
+
+
+@query(r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]') AS w FROM benchmark) SELECT item_id, CAST(len(w) AS INTEGER) AS n, CAST(len(list_filter(w, lambda x: regexp_matches(x, '^\p{P}*$'))) AS INTEGER) AS signs,
+CAST(greatest(ceil((len(w) - 16) / 8.0), 0) + 1 AS INTEGER) AS windows FROM w""")
+def token_windows(spark, sf_dir):
+    t = text.symbol_tokens(F.col("text"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", t.alias("t"))
+    return rows.select("item_id", F.size("t").alias("n"), F.size(F.filter(text.punctuation_mask(F.col("t")), lambda x: x)).alias("signs"), F.size(text.token_windows(F.col("t"), 16, 8)).alias("windows"))
+
+
 # --- metrics, tags, vectors, streams -----------------------------------------------------------------------------
 
 
