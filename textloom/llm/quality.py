@@ -204,9 +204,11 @@ def top_k(rows: DataFrame, key: str, k: int, bins: int = 4096) -> DataFrame:
                 if (counts[b]["low"], counts[b]["high"]) == (low, high) and len(counts) == 1:
                     width = 0
                 low, high = counts[b]["low"], counts[b]["high"]
+                if counts[b]["n"] == need:
+                    return rows.where(F.col(key) >= low)
                 break
             need -= counts[b]["n"]
-        if width == 0 or counts[b]["n"] == need:
+        if width == 0:
             break
     if low == high:
         return rows.where(F.col(key) > low).unionByName(rows.where(F.col(key) == low).limit(need))
