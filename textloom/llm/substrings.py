@@ -208,14 +208,15 @@ def bit_map(wanted: DataFrame, key: str) -> np.ndarray:
     """A bit for each key, by its low bits; of fixed size, so it can be broadcast. Where it fills up it lets more through,
     and the join that follows is exact in any case."""
     slot = f"({key} & {MAP_BITS - 1})"
-    words = wanted.groupBy(F.expr(f"cast(shiftright({slot}, 5) as int)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 31 as int)))").alias("bits")).toPandas()
+    words = wanted.groupBy(F.expr(f"cast(shiftright({slot}, 5) as int)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 31 as int)))").alias("bits")).toArrow()
     out = np.zeros(MAP_BITS // 32, np.uint32)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return out
 
 
 def maybe(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return bits[keys & (MAP_BITS - 1)]
+    low = keys & (MAP_BITS - 1)
+    return (bits[low >> 5] >> (low & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
 
 
 def thinned(rows: DataFrame, key: str, bits) -> DataFrame:
