@@ -312,16 +312,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = similar(rows.where("not floating").select("content", "bands"), known, text_col)
     named = stash(components(links, name="paragraphs").select(F.col("node").alias("content"), "component"), "named")
     # equal paragraphs of two or more documents, and all that are linked
-    spread = rows.groupBy("floating", "content").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    classes = spread.join(named.withColumn("floating", F.lit(False)), ["floating", "content"], "left").where("lo < hi or component is not null")
+    spread = rows.groupBy("floating", "content").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("hi"))
+    classes = spread.join(named.withColumn("floating", F.lit(False)), ["floating", "content"], "left").where("first.id < hi or component is not null")
     classes = stash(classes.withColumn("class", F.coalesce("component", "content")), "spread")
-    shared = classes.groupBy("floating", "class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("floating", "class")
-    wanted = stash(classes.join(shared, ["floating", "class"], "left_semi").select("floating", "content", "class"), "classes")
+    shared = classes.groupBy("floating", "class").agg(F.min("first").alias("first"), F.max("hi").alias("hi")).where("first.id < hi").select("floating", "class", "first")
+    wanted = stash(classes.select("floating", "class", "content").join(shared, ["floating", "class"]), "classes")
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "content"))
     members = thinned(rows.select("id", "start", "words", "floating", "content"), "content", bits).join(wanted, ["floating", "content"])
-    first = members.groupBy("floating", "class").agg(F.min(F.struct("id", "start")).alias("first"))
-    marked = members.join(first, ["floating", "class"])
-    return marked.select("id", "start", "words", "floating", "class", (F.struct("id", "start") == F.col("first")).alias("keep"))
+    return members.select("id", "start", "words", "floating", "class", (F.struct("id", "start") == F.col("first")).alias("keep"))
 
 
 def removed_spans(found: DataFrame) -> DataFrame:
