@@ -7,10 +7,11 @@ are copied into other text need not begin or end at a line, so floating paragrap
 
 Natural paragraphs get MinHash signatures of their word shingles, banded for high recall: at the similarity of 0.8 a
 pair shares one of the bands in 99.8 of 100 cases, and 4.9 of the 12 on average. Equal paragraphs are first brought
-together, so comparisons are of different texts only. Of the paragraphs that share a band, each is compared with the one
-that leads the band, by exact Jaccard similarity of the shingles; those that are not similar to it are grouped by that band
-and a second one, with leaders of their own, for some rounds. Leaders are drawn by hash for each band, so a pair that one
-leader misses has other bands. All pairs of a band are never made. Floating windows are equal or not, so one hash is their only band. Links are clustered by
+together, so comparisons are of different texts only, by exact Jaccard similarity of the shingles. All pairs of a small
+band are compared. Paragraphs of a crowded band are compared with the one that leads it; for the pairs that it misses, they
+are grouped by their rarest shingles, so many of each that similar ones share one. There only pairs that no links connect
+are compared: with leaders for some rounds while a group is crowded, then all that are left. So any similar pair that
+shares a band ends in one class. Floating windows are equal or not, so one hash is their only band. Links are clustered by
 connected components; of each class the first paragraph stays (smallest document, then place), the others are removals.
 
 Words are runs of other than ASCII white space, in lower case. Edge cases: null and empty texts have no paragraphs;
@@ -36,7 +37,8 @@ SIMILAR = 0.8
 LEAST = 40
 STEP = 11
 BANDS, ROWS = 12, 4
-ROUNDS = 4
+#: Bands of more members are compared with a leader first, for so many rounds at most before all pairs that are left.
+SMALL, ROUNDS = 24, 4
 SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -140,12 +142,18 @@ def long_lines(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return running(word_hashes(words)), (ends - sizes)[long], ends[long]
 
 
+def whole_text(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``long_lines``, with all words of the text as its only paragraph."""
+    words = text.lower().split()
+    return running(word_hashes(words)), np.zeros(min(1, len(words)), np.int64), np.array([len(words)] if words else [], np.int64)
+
+
 def line_shingles(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles within each paragraph, one paragraph after the other, and where each begins."""
-    n = ends - starts - SHINGLE + 1
+    n = np.maximum(ends - starts - SHINGLE + 1, 1)
     first = np.cumsum(n) - n
     at = np.repeat(starts - first, n) + np.arange(n.sum())
-    return spans_hash(sums, at, at + SHINGLE), first
+    return spans_hash(sums, at, np.minimum(at + SHINGLE, np.repeat(ends, n))), first
 
 
 KIND = "id long, start int, words int, floating boolean, content long, bands array<long>"
@@ -244,14 +252,14 @@ def band_rows(natural: DataFrame, bits=None) -> DataFrame:
     return natural.mapInArrow(run, "content long, band int, key long")
 
 
-def shingled(docs: DataFrame, text_col: str, bits) -> DataFrame:
+def shingled(docs: DataFrame, text_col: str, bits, cut=long_lines) -> DataFrame:
     """Rows (content, bands, shingles) of the natural paragraphs that may be wanted, shingles as a set of 32-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             content, bands, shingles = [], [], []
             for text in as_bytes(b.column(0)):
-                sums, begin, end = long_lines(text or b"")
+                sums, begin, end = cut(text or b"")
                 if not len(begin):
                     continue
                 own = spans_hash(sums, begin, end).view(np.int64)
@@ -267,42 +275,70 @@ def shingled(docs: DataFrame, text_col: str, bits) -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "content long, bands array<long>, shingles array<int>")
 
 
-def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
+def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILAR, rounds: int = ROUNDS, cut=long_lines, small: int = SMALL) -> DataFrame:
     """Links (a, b) between different paragraphs of exact similarity ``least`` or more, from rows (content, bands) with
-    repeats, and the documents they come from."""
+    repeats, and the documents they come from, which ``cut`` makes into paragraphs. Any two that share a band and are
+    that similar are linked or connected through others."""
     context = natural.sparkSession.sparkContext
+    group = ["band", "key"]
     one = band_rows(natural)
-    shared = one.groupBy("band", "key").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("band", "key")
+    shared = one.groupBy(*group).agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select(*group)
     shared = stash(shared, "shared")
-    members = stash(band_rows(natural, context.broadcast(bit_map(shared, "key"))).join(shared, ["band", "key"]).distinct(), "bands")
+    members = stash(band_rows(natural, context.broadcast(bit_map(shared, "key"))).join(shared, group).distinct(), "bands")
     wanted = members.select("content").distinct()
-    texts = shingled(docs, text_col, context.broadcast(bit_map(wanted, "content")))
+    texts = shingled(docs, text_col, context.broadcast(bit_map(wanted, "content")), cut)
     texts = stash(texts.join(wanted, "content", "left_semi").dropDuplicates(["content"]), "shingles")
-    found = []
-    for turn in range(rounds):
-        if turn:
-            again = members.join(texts.select("content", "bands"), "content").withColumn("key2", F.expr(f"bands[(band + {turn}) % {BANDS}]")).drop("bands")
-        else:
-            again = members.withColumn("key2", F.lit(0).cast("long"))
-        group = ["band", "key", "key2"]
-        # the leader: smallest hash for this band; a minimum, combined before the shuffle
-        lead = again.groupBy(*group).agg(F.min(F.struct(F.xxhash64("content", "band").alias("h"), "content")).alias("lead"), F.count(F.lit(1)).alias("n"))
-        lead = lead.where("n > 1").select(*group, F.col("lead.content").alias("leader"))
-        pairs = stash(again.join(lead, group).where("content <> leader").select("content", "band", "key", "leader"), "pairs")
-        compared = pairs.select(F.least("content", "leader").alias("a"), F.greatest("content", "leader").alias("b")).distinct()
-        left, right = texts.select(F.col("content").alias("a"), F.col("shingles").alias("x")), texts.select(F.col("content").alias("b"), F.col("shingles").alias("y"))
+    left, right = texts.select(F.col("content").alias("a"), F.col("shingles").alias("x")), texts.select(F.col("content").alias("b"), F.col("shingles").alias("y"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("x", "y"))
-        linked = compared.join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("x") + F.size("y") - both)).select("a", "b")
-        linked = stash(linked, "links")
-        found.append(linked)
-        near = linked.select(F.col("a").alias("content"), F.col("b").alias("leader")).unionByName(linked.select(F.col("b").alias("content"), F.col("a").alias("leader")))
-        members = stash(pairs.join(near, ["content", "leader"], "left_anti").select("content", "band", "key"), "bands")
-        if members.isEmpty():
-            break
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return links
+        linked = pairs.distinct().join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("x") + F.size("y") - both))
+        return stash(linked.select("a", "b"), "links")
+
+    # small bands: all pairs; crowded ones: each member with the leader, the smallest hash for this band
+    crowded = members.groupBy(*group).agg(F.min(F.struct(F.xxhash64("content", "band").alias("h"), "content")).alias("lead"), F.count(F.lit(1)).alias("n"))
+    crowded = stash(crowded.where(F.col("n") > small).select(*group, F.col("lead.content").alias("leader")), "crowded")
+    marked = stash(members.join(crowded, group, "left"), "marked")
+    plain = marked.where("leader is null")
+    pairs = plain.alias("p").join(plain.alias("t"), group).where("p.content < t.content").selectExpr("p.content as a", "t.content as b")
+    stars = marked.where("content <> leader").selectExpr("least(content, leader) as a", "greatest(content, leader) as b")
+    links = verified(pairs.unionByName(stars))
+    hot = stash(marked.where("leader is not null").select("content").distinct(), "hot")
+    if hot.isEmpty():
+        return links
+    # pairs that share crowded bands only: they also share one of their rarest shingles
+    left_over, turn = rarest(texts.join(hot, "content"), least), 0
+    while True:
+        roots = components(links, name="similar").select(F.col("node").alias("content"), F.col("component").alias("root"))
+        rows = left_over.join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
+        lead = F.min(F.struct(F.xxhash64("content", "shingle", F.lit(turn)).alias("h"), "content", "size", "root")).alias("lead")
+        groups = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), lead)
+        groups = groups.where("lo < hi").select("shingle", (F.col("n") > small).alias("large"), "lead")
+        rows = stash(rows.join(groups, "shingle"), "rarest")
+        apart = f"p.root <> t.root and least(p.size, t.size) >= {least} * greatest(p.size, t.size)"
+        whole = rows if turn >= rounds else rows.where("not large")
+        pairs = whole.alias("p").join(whole.alias("t"), "shingle").where(f"p.content < t.content and {apart}").selectExpr("p.content as a", "t.content as b")
+        if turn < rounds:
+            stars = rows.where("large").selectExpr("struct(content, size, root) as p", "lead as t").where(apart)
+            pairs = pairs.unionByName(stars.selectExpr("least(p.content, t.content) as a", "greatest(p.content, t.content) as b"))
+        links = links.unionByName(verified(pairs))
+        # a leader has met all others of its group
+        left_over = rows.where("large and content <> lead.content").select("content", "size", "shingle")
+        turn += 1
+        if turn > rounds or left_over.isEmpty():
+            return links
+
+
+def rarest(texts: DataFrame, least: float) -> DataFrame:
+    """Rows (content, size, shingle) of the shingles that are rarest among ``texts`` (content, shingles), so many of each that any two of
+    similarity ``least`` share one; those that only one text has are left out."""
+    own = texts.select("content", F.explode("shingles").alias("shingle"))
+    counts = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    ordered = own.join(counts, "shingle").groupBy("content").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    size = F.size("all")
+    first = F.slice("all", 1, (size - F.ceil(least * size - 1e-6) + 1).cast("int"))
+    found = ordered.select("content", size.alias("size"), F.explode(first).alias("s")).where("s.n > 1")
+    return stash(found.select("content", "size", F.col("s.shingle").alias("shingle")), "rarest")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
