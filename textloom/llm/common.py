@@ -119,7 +119,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "stars"
     shared folder. Null ends and loops are ignored.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now, mark = stash(pairs, name), None
+    now = stash(pairs, name)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -127,9 +127,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "stars"
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = stash(small.where("u <> v").distinct(), name)
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if new == mark:
+        # done when every node that has a smaller one has just that one, which has none
+        ends = now.selectExpr("u as node", "1 as up", "0 as down").unionByName(now.selectExpr("v as node", "0 as up", "1 as down"))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
-        mark = new
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

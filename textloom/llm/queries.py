@@ -28,7 +28,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.repeats(table(spark, sf_dir, "documents"))
+    """Passages of 40 words or more that several documents share; shorter lines that they share do not make a repeat here."""
+    found = substrings.repeats(table(spark, sf_dir, "documents"), shortest=substrings.LEAST)
     return found.select(F.col("id").alias("doc_id"), "start", "words", "floating", F.col("class").alias("class_id"), "keep")
 
 

@@ -1,27 +1,30 @@
 """Substring deduplication by paragraph MinHash banding.
 
-Paragraphs are of two kinds. Lines of a document with at least ``LEAST`` words are its natural paragraphs. Passages that
-are copied into other text need not begin or end at a line, so floating paragraphs are cut as well: windows of
-``LEAST`` words, in every stretch of ``STEP`` windows the one with the smallest hash. Two texts that share
-``LEAST + STEP - 1`` words in a row cut the same window out of them, wherever the words stand.
+Paragraphs are of two kinds. Natural ones are the lines of a document; lines of fewer than ``LEAST`` words are joined with
+their neighbours of that kind up to a blank line, so text that is wrapped into short lines is a paragraph as well. Those
+of at least ``shortest`` words count. Passages that are copied into other text need not begin or end at a line, so floating
+paragraphs are cut as well: windows of ``LEAST`` words, in every stretch of ``STEP`` windows the one with the smallest
+hash. Two texts that share ``LEAST + STEP - 1`` words in a row cut the same window out of them, wherever the words stand.
 
 Natural paragraphs get MinHash signatures of their word shingles, banded for high recall: at the similarity of 0.8 a
 pair shares one of the bands in 99.8 of 100 cases, and 4.9 of the 12 on average. Equal paragraphs are first brought
 together, so comparisons are of different texts only, by exact Jaccard similarity of the shingles. All pairs of a small
-band are compared. Paragraphs of a crowded band are compared with the one that leads it; for the pairs that it misses, they
-are grouped by their rarest shingles, so many of each that similar ones share one. There only pairs that no links connect
-are compared: with leaders for some rounds while a group is crowded, then all that are left. So any similar pair that
-shares a band ends in one class. Floating windows are equal or not, so one hash is their only band. Links are clustered by
-connected components; of each class the first paragraph stays (smallest document, then place), the others are removals.
+band are compared. Paragraphs of a crowded band are compared with the one that leads it, and then, where links do not connect
+them yet, by their rarest shingles: so many of each that similar ones share one, at places that leave room for the
+similarity. So any similar pair that shares a band ends in one class. Floating windows are equal or not, so one hash is
+their only band. Links are clustered by connected components; of each class the first paragraph stays (smallest document,
+then place), the others are removals.
 
 Words are runs of other than ASCII white space, in lower case. Edge cases: null and empty texts have no paragraphs;
 paragraphs that repeat within one document only are no class of their own (the same document, by id); rows with a null
-id are left out, as they could not be told apart; rows that share an id are one document; an empty table gives an empty
-result. Columns besides id and text are not read.
+id are left out, as they could not be told apart; rows that share an id are one document, of which each row keeps its first
+copy of a window; a very long text is one row like any other; of equal paragraphs at equal places all are kept or none; an
+empty table gives an empty result. Columns besides id and text are not read, so their names do not matter.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +40,11 @@ SIMILAR = 0.8
 LEAST = 40
 STEP = 11
 BANDS, ROWS = 12, 4
-#: Bands of more members are compared with a leader first, for so many rounds at most before all pairs that are left.
-SMALL, ROUNDS = 24, 4
+#: Bands of more members are compared with a leader first.
+SMALL = 24
+#: Comparisons for each row of rarest shingles that may be done at once; beyond that leaders thin the groups out, for so
+#: many rounds at most before all that are left are done.
+AT_ONCE, ROUNDS = 1000, 4
 SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -123,27 +129,31 @@ def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     low = np.empty((len(SEEDS), len(starts)), np.uint64)
     for i, seed in enumerate(SEEDS):
         low[i] = np.minimum.reduceat(shingles * seed, starts)  # the hashes are well mixed, so a product permutes them well
-    out = np.zeros((BANDS, len(starts)), np.uint64)
+    out = np.repeat(np.arange(BANDS, dtype=np.uint64) << np.uint64(32), len(starts)).reshape(BANDS, -1)  # keys of different bands differ
     for i in range(ROWS):
         out = mixed(out + low[i::ROWS] + np.uint64(i + 1))
     return out.T.view(np.int64)
 
 
-def long_lines(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def paragraphs(text: bytes, shortest: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Running sums of the word hashes of a text, and the starts and ends in words of its natural paragraphs."""
     words, sizes = [], []
     for line in text.lower().split(b"\n"):
         own = line.split()
         words += own
         sizes.append(len(own))
-    ends = np.cumsum(sizes)
     sizes = np.array(sizes)
-    long = sizes >= LEAST
-    return running(word_hashes(words)), (ends - sizes)[long], ends[long]
+    alone = (sizes >= LEAST) | (sizes == 0)
+    first = np.ones(len(sizes), bool)
+    first[1:] = alone[1:] | alone[:-1]
+    starts = (np.cumsum(sizes) - sizes)[first]
+    ends = np.append(starts[1:], len(words))
+    fit = ends - starts >= max(shortest, 1)
+    return running(word_hashes(words)), starts[fit], ends[fit]
 
 
 def whole_text(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``long_lines``, with all words of the text as its only paragraph."""
+    """As ``paragraphs``, with all words of the text as its only paragraph."""
     words = text.lower().split()
     return running(word_hashes(words)), np.zeros(min(1, len(words)), np.int64), np.array([len(words)] if words else [], np.int64)
 
@@ -156,12 +166,13 @@ def line_shingles(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return spans_hash(sums, at, np.minimum(at + SHINGLE, np.repeat(ends, n))), first
 
 
-KIND = "id long, start int, words int, floating boolean, content long, bands array<long>"
+KIND = "id long, start int, words int, floating boolean, again boolean, content long, bands array<long>"
 
 
-def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The paragraphs: rows (id, start, words, floating, content, bands); start and words count words, content is a hash
-    of the words; natural paragraphs have their band hashes, floating ones have none."""
+def units(docs: DataFrame, id_col: str, text_col: str, shortest: int = SHINGLE) -> DataFrame:
+    """The paragraphs: rows (id, start, words, floating, again, content, bands); start and words count words, content is a
+    hash of the words; natural paragraphs have their band hashes, floating ones have none. ``again``: a floating one that
+    the text has had before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,9 +181,9 @@ def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         none = np.empty(0, np.int64)
-        rows, starts, sizes, floats, content, bands = [none], [none], [none], [none.astype(bool)], [none], [np.empty((0, BANDS), np.int64)]
+        rows, starts, sizes, floats, again, content, bands = [none], [none], [none], [none.astype(bool)], [none.astype(bool)], [none], [np.empty((0, BANDS), np.int64)]
         for k, text in enumerate(as_bytes(b.column(1))):
-            sums, begin, end = long_lines(text or b"")
+            sums, begin, end = paragraphs(text or b"", shortest)
             if len(begin):
                 shingles, first = line_shingles(sums, begin, end)
                 starts.append(begin)
@@ -188,6 +199,11 @@ def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 starts.append(at)
                 sizes.append(np.full(len(at), LEAST))
                 content.append(grams[at].view(np.int64))
+            repeated = np.ones(len(begin) + len(at), bool)
+            repeated[: len(begin)] = False
+            if n > 0:
+                repeated[len(begin) + np.unique(content[-1], return_index=True)[1]] = False
+            again.append(repeated)
             rows.append(np.full(len(begin) + len(at), k))
             floats.append(np.arange(len(begin) + len(at)) >= len(begin))
         join = np.concatenate
@@ -198,33 +214,37 @@ def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             pa.array(join(starts).astype(np.int32)),
             pa.array(join(sizes).astype(np.int32)),
             pa.array(is_float),
+            pa.array(join(again)),
             pa.array(join(content)),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(join(bands).ravel())),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["id", "start", "words", "floating", "content", "bands"])
+        return pa.RecordBatch.from_arrays(columns, ["id", "start", "words", "floating", "again", "content", "bands"])
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     return rows.mapInArrow(run, KIND)
 
 
-#: Bits of the map that thins rows out before a join.
-MAP_BITS = 1 << 24
+#: Bits of the map that thins rows out before a join: 16 MB, whatever the table's size.
+MAP_BITS = 1 << 27
 
 
 def bit_map(wanted: DataFrame, key: str) -> np.ndarray:
     """A bit for each key, by its low bits; of fixed size, so it can be broadcast. Where it fills up it lets more through,
     and the join that follows is exact in any case."""
     slot = f"({key} & {MAP_BITS - 1})"
-    words = wanted.groupBy(F.expr(f"cast(shiftright({slot}, 5) as int)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 31 as int)))").alias("bits")).toArrow()
-    out = np.zeros(MAP_BITS // 32, np.uint32)
-    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    parts = wanted.selectExpr(f"{slot} as slot").groupBy(F.expr("bitmap_bucket_number(slot)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    out = np.zeros(MAP_BITS // 8 + 4096, np.uint8)
+    for number, bits in parts.collect():  # at most MAP_BITS / 32768 rows of 4 kB
+        out[4096 * number : 4096 * (number + 1)] = np.frombuffer(bits, np.uint8)
     return out
 
 
 def maybe(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    # buckets of the built-in functions are of 32768 numbers, the first from 1 to 32768, after one for 0 and less
     low = keys & (MAP_BITS - 1)
-    return (bits[low >> 5] >> (low & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+    at = np.where(low > 0, low - 1 + 32768, 0)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def thinned(rows: DataFrame, key: str, bits) -> DataFrame:
@@ -239,25 +259,25 @@ def thinned(rows: DataFrame, key: str, bits) -> DataFrame:
 
 
 def band_rows(natural: DataFrame, bits=None) -> DataFrame:
-    """Rows (content, band, key) of the bands of paragraphs (content, bands); with a map only those that may be shared."""
+    """Rows (content, key) of the bands of paragraphs (content, bands); with a map only those that may be shared."""
     if bits is None:
-        return natural.select("content", F.posexplode("bands").alias("band", "key"))
+        return natural.select("content", F.explode("bands").alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(1).flatten().to_numpy()
             at = np.flatnonzero(maybe(keys, bits.value))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at // BANDS)), pa.array((at % BANDS).astype(np.int32)), pa.array(keys[at])], ["content", "band", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at // BANDS)), pa.array(keys[at])], ["content", "key"])
 
-    return natural.mapInArrow(run, "content long, band int, key long")
+    return natural.mapInArrow(run, "content long, key long")
 
 
-def shingled(docs: DataFrame, text_col: str, bits, cut=long_lines) -> DataFrame:
-    """Rows (content, bands, shingles) of the natural paragraphs that may be wanted, shingles as a set of 32-bit hashes."""
+def shingled(docs: DataFrame, text_col: str, bits, cut=paragraphs) -> DataFrame:
+    """Rows (content, shingles) of the natural paragraphs that may be wanted, shingles as a set of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content, bands, shingles = [], [], []
+            content, shingles = [], []
             for text in as_bytes(b.column(0)):
                 sums, begin, end = cut(text or b"")
                 if not len(begin):
@@ -268,26 +288,26 @@ def shingled(docs: DataFrame, text_col: str, bits, cut=long_lines) -> DataFrame:
                     begin, end = begin[hit], end[hit]
                     grams, first = line_shingles(sums, begin, end)
                     content += own[hit].tolist()
-                    bands += list(signatures(grams, first))
-                    shingles += [np.unique((g >> np.uint64(32)).astype(np.uint32).view(np.int32)) for g in np.split(grams, first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(shingles, pa.list_(pa.int32()))], ["content", "bands", "shingles"])
+                    shingles += [np.unique(g).view(np.int64) for g in np.split(grams, first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], ["content", "shingles"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "content long, bands array<long>, shingles array<int>")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "content long, shingles array<long>")
 
 
-def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILAR, rounds: int = ROUNDS, cut=long_lines, small: int = SMALL) -> DataFrame:
+def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILAR, cut=paragraphs, small: int = SMALL, at_once: int = AT_ONCE, rounds: int = ROUNDS) -> DataFrame:
     """Links (a, b) between different paragraphs of exact similarity ``least`` or more, from rows (content, bands) with
     repeats, and the documents they come from, which ``cut`` makes into paragraphs. Any two that share a band and are
     that similar are linked or connected through others."""
     context = natural.sparkSession.sparkContext
-    group = ["band", "key"]
-    one = band_rows(natural)
-    shared = one.groupBy(*group).agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select(*group)
+    shared = band_rows(natural).groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("key")
     shared = stash(shared, "shared")
-    members = stash(band_rows(natural, context.broadcast(bit_map(shared, "key"))).join(shared, group).distinct(), "bands")
+    bits = context.broadcast(bit_map(shared, "key"))
+    members = stash(band_rows(natural, bits).distinct().join(shared, "key"), "bands")
+    bits.destroy()
     wanted = members.select("content").distinct()
-    texts = shingled(docs, text_col, context.broadcast(bit_map(wanted, "content")), cut)
-    texts = stash(texts.join(wanted, "content", "left_semi").dropDuplicates(["content"]), "shingles")
+    bits = context.broadcast(bit_map(wanted, "content"))
+    texts = stash(shingled(docs, text_col, bits, cut).dropDuplicates(["content"]).join(wanted, "content", "left_semi"), "shingles")
+    bits.destroy()
     left, right = texts.select(F.col("content").alias("a"), F.col("shingles").alias("x")), texts.select(F.col("content").alias("b"), F.col("shingles").alias("y"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -296,66 +316,89 @@ def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = S
         return stash(linked.select("a", "b"), "links")
 
     # small bands: all pairs; crowded ones: each member with the leader, the smallest hash for this band
-    crowded = members.groupBy(*group).agg(F.min(F.struct(F.xxhash64("content", "band").alias("h"), "content")).alias("lead"), F.count(F.lit(1)).alias("n"))
-    crowded = stash(crowded.where(F.col("n") > small).select(*group, F.col("lead.content").alias("leader")), "crowded")
-    marked = stash(members.join(crowded, group, "left"), "marked")
+    leader = F.min(F.struct(F.xxhash64("content", "key").alias("h"), "content"))
+    crowded = members.groupBy("key").agg(leader.alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") > small)
+    marked = stash(members.join(crowded.select("key", F.col("lead.content").alias("leader")), "key", "left"), "marked")
     plain = marked.where("leader is null")
-    pairs = plain.alias("p").join(plain.alias("t"), group).where("p.content < t.content").selectExpr("p.content as a", "t.content as b")
+    pairs = plain.alias("p").join(plain.alias("t"), "key").where("p.content < t.content").selectExpr("p.content as a", "t.content as b")
     stars = marked.where("content <> leader").selectExpr("least(content, leader) as a", "greatest(content, leader) as b")
     links = verified(pairs.unionByName(stars))
-    hot = stash(marked.where("leader is not null").select("content").distinct(), "hot")
-    if hot.isEmpty():
-        return links
-    # pairs that share crowded bands only: they also share one of their rarest shingles
+    hot = marked.where("leader is not null").select("content").distinct()
     left_over, turn = rarest(texts.join(hot, "content"), least), 0
-    while True:
+    # pairs that share crowded bands only also share one of their rarest shingles, at places that leave room enough
+    room = f"p.root <> t.root and least(p.size - p.place, t.size - t.place) >= {least / (1 + least)} * (p.size + t.size) - 1e-6"
+    while not left_over.isEmpty():
         roots = components(links, name="similar").select(F.col("node").alias("content"), F.col("component").alias("root"))
         rows = left_over.join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
-        lead = F.min(F.struct(F.xxhash64("content", "shingle", F.lit(turn)).alias("h"), "content", "size", "root")).alias("lead")
+        lead = F.min(F.struct(F.xxhash64("content", "shingle", F.lit(turn)).alias("h"), "content", "size", "place", "root")).alias("lead")
         groups = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), lead)
-        groups = groups.where("lo < hi").select("shingle", (F.col("n") > small).alias("large"), "lead")
-        rows = stash(rows.join(groups, "shingle"), "rarest")
-        apart = f"p.root <> t.root and least(p.size, t.size) >= {least} * greatest(p.size, t.size)"
-        whole = rows if turn >= rounds else rows.where("not large")
-        pairs = whole.alias("p").join(whole.alias("t"), "shingle").where(f"p.content < t.content and {apart}").selectExpr("p.content as a", "t.content as b")
-        if turn < rounds:
-            stars = rows.where("large").selectExpr("struct(content, size, root) as p", "lead as t").where(apart)
-            pairs = pairs.unionByName(stars.selectExpr("least(p.content, t.content) as a", "greatest(p.content, t.content) as b"))
-        links = links.unionByName(verified(pairs))
+        rows = stash(rows.join(groups.where("lo < hi").select("shingle", "n", "lead"), "shingle"), "rarest")
+        # who has the leader's root need not meet others of that root: only those of other roots look for partners
+        seeking = rows.where("root <> lead.root")
+        work, size = seeking.agg(F.sum("n")).first()[0] or 0, rows.count()
+        last = turn >= rounds or work <= at_once * size
+        asking = seeking if last else seeking.where(F.col("n") <= small)
+        pairs = asking.alias("p").join(rows.alias("t"), "shingle").where(room).selectExpr("least(p.content, t.content) as a", "greatest(p.content, t.content) as b")
+        if last:
+            return links.unionByName(verified(pairs))
+        stars = seeking.where(F.col("n") > small).selectExpr("struct(content, size, place, root) as p", "lead as t").where(room)
+        links = links.unionByName(verified(pairs.unionByName(stars.selectExpr("least(p.content, t.content) as a", "greatest(p.content, t.content) as b"))))
         # a leader has met all others of its group
-        left_over = rows.where("large and content <> lead.content").select("content", "size", "shingle")
+        left_over = rows.where((F.col("n") > small) & (F.col("content") != F.col("lead.content"))).select("content", "size", "place", "shingle")
         turn += 1
-        if turn > rounds or left_over.isEmpty():
-            return links
+    return links
 
 
 def rarest(texts: DataFrame, least: float) -> DataFrame:
-    """Rows (content, size, shingle) of the shingles that are rarest among ``texts`` (content, shingles), so many of each that any two of
-    similarity ``least`` share one; those that only one text has are left out."""
+    """Rows (content, size, place, shingle) of the shingles that are rarest among ``texts`` (content, shingles), so many of
+    each that any two of similarity ``least`` share one, with their place in that order; those that only one text has are
+    left out."""
     own = texts.select("content", F.explode("shingles").alias("shingle"))
     counts = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     ordered = own.join(counts, "shingle").groupBy("content").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
     size = F.size("all")
     first = F.slice("all", 1, (size - F.ceil(least * size - 1e-6) + 1).cast("int"))
-    found = ordered.select("content", size.alias("size"), F.explode(first).alias("s")).where("s.n > 1")
-    return stash(found.select("content", "size", F.col("s.shingle").alias("shingle")), "rarest")
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row (id, start, words, floating, class, keep) for each paragraph of a class that two or more documents share."""
-    rows = stash(units(docs, id_col, text_col), "units")
-    known = docs.where(F.col(id_col).isNotNull())
-    links = similar(rows.where("not floating").select("content", "bands"), known, text_col)
-    named = stash(components(links, name="paragraphs").select(F.col("node").alias("content"), "component"), "named")
-    # equal paragraphs of two or more documents, and all that are linked
-    spread = rows.groupBy("floating", "content").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("hi"))
-    classes = spread.join(named.withColumn("floating", F.lit(False)), ["floating", "content"], "left").where("first.id < hi or component is not null")
-    classes = stash(classes.withColumn("class", F.coalesce("component", "content")), "spread")
-    shared = classes.groupBy("floating", "class").agg(F.min("first").alias("first"), F.max("hi").alias("hi")).where("first.id < hi").select("floating", "class", "first")
-    wanted = stash(classes.select("floating", "class", "content").join(shared, ["floating", "class"]), "classes")
-    bits = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "content"))
-    members = thinned(rows.select("id", "start", "words", "floating", "content"), "content", bits).join(wanted, ["floating", "content"])
-    return members.select("id", "start", "words", "floating", "class", (F.struct("id", "start") == F.col("first")).alias("keep"))
+    found = ordered.select("content", size.alias("size"), F.posexplode(first).alias("place", "s")).where("s.n > 1")
+    return stash(found.select("content", "size", "place", F.col("s.shingle").alias("shingle")), "rarest")
+
+
+#: A floating paragraph with more than this share of all rows is joined in ``SALTS`` parts; so there are at most 1 / HOT of them.
+HOT, SALTS = 0.001, 64
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHINGLE) -> DataFrame:
+    """A row (id, start, words, floating, class, keep) for each paragraph of a class that two or more documents share;
+    natural paragraphs of fewer than ``shortest`` words do not count."""
+    rows = stash(units(docs, id_col, text_col, shortest), "units")
+    return natural_repeats(rows.where("not floating"), docs.where(F.col(id_col).isNotNull()), text_col, shortest).unionByName(floating_repeats(rows.where("floating")))
+
+
+def floating_repeats(rows: DataFrame) -> DataFrame:
+    """Equal windows of two or more documents. Only their hashes and ids are shuffled to find them."""
+    session = rows.sparkSession
+    found = rows.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("first < hi")
+    found = stash(found.select("content", "first", "n"), "windows")
+    hot = [r[0] for r in found.where(F.col("n") > HOT * rows.count()).select("content").collect()]
+    bits = session.sparkContext.broadcast(bit_map(found, "content"))
+    members = thinned(rows.select("id", "start", "again", "content"), "content", bits)
+    salt = lambda part: F.when(F.col("content").isin(hot), part).otherwise(F.lit(0))
+    members = members.withColumn("salt", salt(F.pmod(F.xxhash64("id", "start"), F.lit(SALTS)).cast("int")))
+    wanted = found.withColumn("salt", F.explode(F.when(F.col("content").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    joined = members.join(wanted.select("content", "first", "salt"), ["content", "salt"])
+    return joined.select("id", "start", F.lit(LEAST).alias("words"), F.lit(True).alias("floating"), F.col("content").alias("class"), ((F.col("id") == F.col("first")) & ~F.col("again")).alias("keep"))
+
+
+def natural_repeats(rows: DataFrame, docs: DataFrame, text_col: str, shortest: int) -> DataFrame:
+    """Equal and similar paragraphs of two or more documents."""
+    links = similar(rows.select("content", "bands"), docs, text_col, cut=functools.partial(paragraphs, shortest=shortest))
+    named = components(links, name="paragraphs").select(F.col("node").alias("content"), "component")
+    spread = rows.groupBy("content").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("hi"))
+    classes = stash(spread.join(named, "content", "left").withColumn("class", F.coalesce("component", "content")), "spread")
+    shared = classes.groupBy("class").agg(F.min("first").alias("first"), F.max("hi").alias("hi")).where("first.id < hi").select("class", "first")
+    wanted = stash(classes.select("class", "content").join(shared, "class"), "classes")
+    bits = rows.sparkSession.sparkContext.broadcast(bit_map(wanted, "content"))
+    members = thinned(rows.select("id", "start", "words", "content"), "content", bits).join(wanted, "content")
+    return members.select("id", "start", "words", F.lit(False).alias("floating"), "class", (F.struct("id", "start") == F.col("first")).alias("keep"))
 
 
 def removed_spans(found: DataFrame) -> DataFrame:
