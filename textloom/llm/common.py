@@ -3,6 +3,8 @@ numbering without a large group in one task, and connected components by alterna
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -69,6 +71,21 @@ def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
+#: Caches that live as long as a worker process.
+CACHES: list[dict] = []
+
+
+def sole_cache(cache: dict | None) -> None:
+    """Empty the worker's other caches, which earlier operators filled, and give their memory back."""
+    old = [c for c in CACHES if c is not cache and c]
+    for c in old:
+        c.clear()
+    pa.default_memory_pool().release_unused()
+    if old:
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding it."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -18,6 +18,7 @@ id and text are not read.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_map, gapless, sliced, stash
+from textloom.llm.common import gapless, ship, sliced, sole_cache, stash
 from textloom.llm.wordbpe import WordBpe
 
 CELLS = 64
@@ -111,26 +112,30 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """A row (id, piece, start, length, ids) for each piece of each document; ids: little-endian unsigned 32-bit numbers."""
     mark = separator.to_bytes(4, "little")
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(b: pa.RecordBatch, encode: WordBpe) -> pa.RecordBatch:
+        rows, piece, start, length, ids = [], [], [], [], []
+        for k, text in enumerate(b.column(1).to_pylist()):
+            found = encode(text or "") + mark
+            n = len(found) // 4
+            for j, s in enumerate(range(0, n, tokens)):
+                rows.append(k)
+                piece.append(j)
+                start.append(s)
+                length.append(min(tokens, n - s))
+                ids.append(found[4 * s : 4 * (s + tokens)])
+        columns = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordBpe.shared(tokenizer)
-        out = []
-        for part in sliced(b, "text"):
-            rows, piece, start, length, ids = [], [], [], [], []
-            for k, text in enumerate(part.column(1).to_pylist()):
-                found = encode(text or "") + mark
-                n = len(found) // 4
-                for j, s in enumerate(range(0, n, tokens)):
-                    rows.append(k)
-                    piece.append(j)
-                    start.append(s)
-                    length.append(min(tokens, n - s))
-                    ids.append(found[4 * s : 4 * (s + tokens)])
-            columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())]
-            out.append(pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids"]))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+        sole_cache(encode.words)
+        for b in batches:
+            for part in sliced(b, "text", 2 << 20):
+                yield cut(part, encode)
 
+    ship(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), batch, f"id {kind}, piece int, start long, length long, ids binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary")
 
 
 def pack(found: DataFrame, capacity: Capacity = Capacity(), order: tuple[str, ...] = ("id", "piece", "start")) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import as_bytes, components, ship, sliced, stash
+from textloom.llm.common import CACHES, as_bytes, components, ship, sliced, stash
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -60,13 +60,14 @@ class Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh64_intdigest(word)
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = found
         return found
 
 
 HASHES = Hashes()
+CACHES.append(HASHES)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

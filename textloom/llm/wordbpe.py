@@ -19,9 +19,11 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
+from textloom.llm.common import CACHES
+
 END = b"\xff"
 #: Words in one cache; it is emptied when full.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 #: What the tokenizer splits a text into, as in its own file.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Latin-1 without control characters and without the white space above ASCII.
@@ -105,6 +107,7 @@ class WordBpe:
         core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
         self.words = Words(core, self.whole)
         self.others = Others(self.words)
+        CACHES.extend([self.words, self.others])
 
     @classmethod
     def shared(cls, path: str) -> WordBpe:
