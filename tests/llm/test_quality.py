@@ -66,3 +66,16 @@ def test_features_of_odd_texts():
     for text in (None, b"", b" ", b"\xff\xfe x", b"a " * 400_000, " ".join(f"w{i}" for i in range(350_000)).encode()):
         found = quality.features(text)
         assert len(found) and 0 <= found.min() and found.max() < quality.BUCKETS
+
+
+def test_labels_held_out(spark):
+    """Taught with the labels of one half of the ids, judged by the other half, both ways."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    right = {True: [0, 0], False: [0, 0]}
+    for half in (0, 1):
+        kept = {r.doc_id for r in quality.resample(docs, labels.where(f"pmod(hash(doc_id), 2) = {half}"), keep_columns=False)[0].collect()}
+        for r in labels.where(f"pmod(hash(doc_id), 2) <> {half}").collect():
+            clean = r.quality == 1 and r.toxic == 0
+            right[clean][0] += (r.doc_id in kept) == clean
+            right[clean][1] += 1
+    assert right[True][0] >= 0.97 * right[True][1] and right[False][0] >= 0.8 * right[False][1], right

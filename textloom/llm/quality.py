@@ -1,16 +1,18 @@
 """Quality classification by importance resampling.
 
 A text is the set of its hashed n-grams: words, pairs of neighbouring words, beginnings of words, and coarse shares of
-capitals, repetitions, signs and different words. Generative models over these features are counted: one for the
-target (labelled good and harmless), one for each kind of reject (labelled poor; labelled toxic), and one for all raw
-text, counted over every document. A reject's model departs from the raw one only where it has a feature significantly
-more often, and many times as often as the target; the target's departs at those features. So what the labels have not shown says nothing, and
-a document is not rejected for being unlike the labelled ones.
-
-Raw text is a mixture of the labelled kinds in their labelled proportions, so the importance weight of a text x is
-p_target(x) / sum of share_k * p_k(x). Texts are sampled without replacement by Gumbel top-k on log weight / temperature;
-k is the number of texts whose log weight is above ``THRESHOLD``, counted over the whole table, unless given. The noise
-is a hash of id and text, so runs repeat; the k-th key is found by counting, not by sorting.
+capitals, repetitions, signs and different words. Two generative models over these features are counted: one for the
+target (documents labelled good and harmless), one for raw text, over every document there is. Every feature has its
+ratio of the two. The target is known from fewer documents, so its rates are smoothed towards the raw ones: a priori
+nearly all features are as frequent in the target as in raw text, and a few are rarer by an unknown factor (a gamma
+distribution); the ratio is the one expected after the counts, which for a feature with little evidence is next to one.
+
+Raw text holds the target: p_raw(x) = share * p_target(x) + (1 - share) * p_rest(x), with the share from the labels. What is
+not target is text with something that the target hardly has, so the rest departs from the target by the features that raw
+text has more often, and a document is not rejected for lacking what the target has. The importance weight of a text x is
+p_target(x) / p_raw(x). Texts are sampled without replacement by Gumbel top-k on log weight / temperature; k is given, or
+else the number of texts whose log weight is on the target's side of the cut that parts the labelled documents best. The
+noise is a hash of id and text, so runs repeat; the k-th key is found by counting, not by sorting.
 
 Edge cases: a null or empty text has the features of an empty text; texts with equal id and text share their noise and
 their fate, unless they are the last ones (then as many as are needed are dropped, none more); labels with nulls, or
@@ -20,7 +22,6 @@ with null ids are judged by their text; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -37,13 +38,10 @@ SPACES = (1 << 19, 1 << 17, 1 << 15, 1 << 12)
 BUCKETS = sum(SPACES)
 #: Labelled documents that teach the models, at most; the ones with the smallest hash of their id.
 LABELLED = 40_000
-#: How many standard deviations a count must be off the raw model's to matter.
-SIGNIFICANT = 5.0
-#: And how many times the target's rate a reject's must be.
-TIMES = 60.0
-PRIOR_DOCS = 2.0
-TEMPERATURE = 0.1
-THRESHOLD = -4.5
+#: Before the counts: the odds that the target has a feature more rarely than raw text, and the gamma distribution (shape,
+#: rate) of the factor if so.
+RARER, SHAPE, RATE = 3e-3, 0.25, 1.0
+TEMPERATURE = 0.25
 
 #: Bytes as features see them: digits are 0, ASCII signs are spaces; and all but capitals, all but odd signs.
 FLAT = bytes(48 if 48 <= b <= 57 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -86,21 +84,24 @@ def features(text: bytes | None) -> np.ndarray:
     most = max([int((words[p:] == words[:-p]).sum()) for p in range(1, 9) if n > p], default=0)
     different = len(np.unique(words))
     capitals, odd = len(raw.translate(None, NOT_CAPITAL)), len(raw.translate(None, NOT_ODD))
-    # shares of capitals, odd signs, repetitions, and the share of different words by size: each has numbers of its own
-    shares = [10 * capitals // max(len(raw), 1), 20 + min(12, 4 * odd // max(n, 1)), 40 + 16 * most // max(n, 1), 64 + 100 * n.bit_length() + 10 * different // max(n, 1)]
-    shape = np.minimum(shares, SPACES[3] - 1)
+    # at least so many tenths of capitals, quarters of odd signs a word, sixteenths of repetitions; at most so many tenths of
+    # different words, by size: each has numbers of its own
+    up = lambda base, value, most: base + np.arange(min(value, most) + 1)
+    shares = [up(0, 10 * capitals // max(len(raw), 1), 10), up(20, 4 * odd // max(n, 1), 12), up(40, 16 * most // max(n, 1), 16), up(64 + 100 * n.bit_length(), 10 - 10 * different // max(n, 1), 10)]
+    shape = np.minimum(np.concatenate(shares), SPACES[3] - 1)
     return np.concatenate([words, starts + SPACES[0], pairs + sum(SPACES[:2]), shape + sum(SPACES[:3])])
 
 
-KINDS = ("target", "poor", "toxic")
+def known_labels(labels: DataFrame, most: int) -> DataFrame:
+    """Rows (__id, kind) of at most ``most`` labelled documents, the ones with the smallest hash of their id: kind 0 is the
+    target, 1 the rest. Repeated labels of an id count once, rejects first."""
+    kind = F.expr("case when quality = 0 or toxic = 1 then 1 when quality = 1 and toxic = 0 then 0 end")
+    known = labels.select(F.col("doc_id").alias("__id"), kind.alias("kind")).where("kind is not null and __id is not null")
+    return known.groupBy("__id").agg(F.max("kind").alias("kind")).orderBy(F.xxhash64("__id"), "__id").limit(most)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """Rows (text, kind) for every document; kind is -1 but for at most ``most`` labelled ones. Repeated labels of an id
-    count once, rejects first. The labels kept are few, by ``most``, and so are broadcast."""
-    kind = F.expr("case when quality = 0 then 1 when toxic = 1 then 2 when quality = 1 and toxic = 0 then 0 end")
-    known = labels.select(F.col("doc_id").alias("__id"), kind.alias("kind")).where("kind is not null and __id is not null")
-    known = known.groupBy("__id").agg(F.max("kind").alias("kind")).orderBy(F.xxhash64("__id"), "__id").limit(most)
+def labelled(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (text, kind) for every document; kind is -1 where there is no label. The labels kept are few and so are broadcast."""
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "__id", "left")
     return rows.select("text", F.coalesce("kind", F.lit(-1)).alias("kind"))
 
@@ -126,56 +127,74 @@ def counted(texts: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log ratios of the labelled models to the raw one, for the buckets where they differ, and the shares of the kinds."""
+    """By bucket, how much more often raw text has it than the target, as a log; the same for a text that is itself one of
+    the target's, as if it had not been counted there; and the target's share of raw text."""
+
+    def __init__(self, share: float, logs: np.ndarray, without: np.ndarray):
+        self.use = 0 < share < 1
+        self.share, self.logs = share, np.stack([logs, without], axis=1).astype(np.float32)
 
-    def __init__(self, shares: list[float], buckets: np.ndarray, rows: np.ndarray):
-        self.use = bool(shares) and shares[0] > 0 and sum(x > 0 for x in shares) > 1
-        self.logs = np.array([math.log(x) if x else -math.inf for x in shares or [0.0]])
-        self.at = np.zeros(BUCKETS, np.uint16 if len(buckets) < 65535 else np.uint32)  # 0: the bucket says nothing
-        self.at[buckets] = np.arange(1, len(buckets) + 1)
-        self.rows = np.concatenate([np.zeros((len(rows), 1)), rows], axis=1)
+    def log_weights(self, found: np.ndarray) -> np.ndarray:
+        """The log weight of a text, and what it is if the target were counted without it."""
+        rest = self.logs[np.unique(found)].sum(axis=0, dtype=np.float64)
+        return -np.logaddexp(math.log(self.share), math.log1p(-self.share) + rest)
 
-    def ratios(self, found: np.ndarray) -> np.ndarray:
-        """By kind, the log ratio of a text with these buckets."""
-        at = self.at[found]
-        return self.rows[:, np.unique(at[at > 0])].sum(axis=1)
 
-    def log_weight(self, found: np.ndarray) -> float:
-        ratios = self.ratios(found)
-        return float(ratios[0] - np.logaddexp.reduce(ratios + self.logs))
+def expected_logs(seen: np.ndarray, expected: np.ndarray, rest: np.ndarray, rest_expected: np.ndarray, share: float) -> np.ndarray:
+    """The log of how many times rarer the target has a feature than raw text, after it was seen in so many documents of the
+    target, and of the rest, where raw text lets so many be expected. What the target lacks, the rest has the more often."""
+    shape = seen + SHAPE
+    gamma = np.fromiter(map(math.lgamma, shape), float, len(shape))
+    odds = math.log(RARER) + gamma - math.lgamma(SHAPE) + SHAPE * math.log(RATE) - shape * np.log(RATE + expected) + expected
+    odds += rest * -math.log1p(-share) - rest_expected * share / (1 - share)
+    rarer = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+    return rarer * np.maximum(0, np.log((expected + RATE) / shape))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> Model:
-    """The models. Significance is judged where the counts are; only the buckets that matter reach the driver."""
-    found = counted(labelled(docs, labels, id_col, text_col, most))
-    by_kind = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in enumerate(KINDS)]
-    wide = stash(found.groupBy("bucket").agg(F.sum("n").alias("raw"), *by_kind), "counts")
-    totals = wide.where("bucket = -1").first()
-    if totals is None:
-        return Model([], np.empty(0, np.int64), np.zeros((1, 0)))
-    base = (F.col("raw") + 0.5) / F.lit(totals["raw"] + 1.0)
-    rate = {k: (F.col(k) + PRIOR_DOCS * base) / (totals[k] + PRIOR_DOCS) for k in KINDS}
-    excess = {k: (F.col(k) - totals[k] * base > SIGNIFICANT * F.sqrt(totals[k] * base * (1 - base) + 1)) & (rate[k] > TIMES * rate[KINDS[0]]) for k in KINDS[1:]}
-    matters = excess | {KINDS[0]: functools.reduce(Column.__or__, excess.values())}
-    ratios = [F.when(matters[k], F.log(rate[k] / base)).otherwise(0.0).alias(f"r_{k}") for k in KINDS]
-    rows = wide.where("bucket >= 0").select("bucket", *ratios).where(" or ".join(f"r_{k} <> 0" for k in KINDS)).orderBy("bucket").collect()
-    taught = sum(totals[k] for k in KINDS)
-    return Model([totals[k] / taught for k in KINDS] if taught else [], np.array([r[0] for r in rows], np.int64), np.array([r[1:] for r in rows], float).reshape(-1, len(KINDS)).T)
-
-
-def weighed(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, str]:
-    """``docs`` with one more column, the log weight, and its name."""
-    name, at, schema = free_name(docs, "log_weight"), docs.columns.index(text_col), docs.schema
+    """The models, from one pass over all documents. The driver gets one count a bucket, whose number is fixed."""
+    found = counted(labelled(docs, known_labels(labels, most), id_col, text_col))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
+    wide = found.groupBy("bucket").agg(F.sum("n").alias("raw"), of(0).alias("target"), of(1).alias("rest")).toArrow()
+    bucket, raw, target, rest = (wide.column(c).to_numpy() for c in ("bucket", "raw", "target", "rest"))
+    logs, whole = np.zeros(BUCKETS), bucket < 0
+    if not whole.any():
+        return Model(0.0, logs, logs)
+    n_raw, n_target, n_rest = (int(c[whole][0]) for c in (raw, target, rest))
+    share = n_target / (n_target + n_rest) if n_target + n_rest else 0.0
+    if not 0 < share < 1:
+        return Model(share, logs, logs)
+    without, bucket, rate, seen, other = np.zeros(BUCKETS), bucket[~whole], raw[~whole] / n_raw, target[~whole].astype(float), rest[~whole]
+    logs[bucket] = expected_logs(seen, n_target * rate, other, n_rest * rate, share)
+    without[bucket] = expected_logs(np.maximum(seen - 1, 0), max(n_target - 1, 0) * rate, other, n_rest * rate, share)
+    return Model(share, logs, without)
+
+
+def best_cut(weights: np.ndarray, kinds: np.ndarray) -> float:
+    """The lowest weight to keep, so that most labelled documents are on their side."""
+    order = np.argsort(-weights, kind="stable")
+    weights, good = weights[order], kinds[order] == 0
+    right = np.cumsum(good) + (~good).sum() - np.cumsum(~good)
+    ends = np.append(weights[1:] < weights[:-1], True)
+    at = np.flatnonzero(ends)
+    best = at[len(at) - 1 - np.argmax(right[at][::-1])]  # of equals the one that keeps most
+    return float(weights[best])
+
+
+def weighed(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, the log weight and the one without the text itself, and their names."""
+    name, other, at, schema = free_name(docs, "log_weight"), free_name(docs, "log_weight_without"), docs.columns.index(text_col), docs.schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"c{i}" for i in range(len(schema) + 1)]
+    names = [f"c{i}" for i in range(len(schema) + 2)]
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array([model.log_weight(features(t)) if model.use else 0.0 for t in as_bytes(b.column(at).cast(pa.string()))], pa.float64())], names)
+        found = np.array([model.log_weights(features(t)) if model.use else (0.0, 0.0) for t in as_bytes(b.column(at).cast(pa.string()))], float).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(found[:, 0]), pa.array(found[:, 1])], names)
 
-    types = [f.dataType.simpleString() for f in schema] + ["double"]
-    found = arrow_map(docs.toDF(*names[:-1]), batch, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
-    return found.toDF(*docs.columns, name), name
+    types = [f.dataType.simpleString() for f in schema] + ["double", "double"]
+    found = arrow_map(docs.toDF(*names[:-2]), batch, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
+    return found.toDF(*docs.columns, name, other), name, other
 
 
 def gumbel_key(weight: str, *identity: Column, temperature: float = TEMPERATURE, seed: int = 0) -> Column:
@@ -216,13 +235,18 @@ def top_k(rows: DataFrame, key: str, k: int, bins: int = 4096) -> DataFrame:
     return above.unionByName(rows.where(F.col(key).between(low, high)).orderBy(F.col(key).desc()).limit(need))
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, temperature: float = TEMPERATURE, keep_columns: bool = True) -> tuple[DataFrame, str]:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, temperature: float = TEMPERATURE, keep_columns: bool = True, most: int = LABELLED) -> tuple[DataFrame, str]:
     """The sampled rows of ``docs`` with their log weight, and the name of that column; without ``keep_columns`` only the id and the weight."""
-    model = fit(docs, labels, id_col, text_col)
-    rows, weight = weighed(docs if keep_columns else docs.select(id_col, text_col), model, text_col)
+    model = fit(docs, labels, id_col, text_col, most)
+    rows, weight, without = weighed(docs if keep_columns else docs.select(id_col, text_col), model, text_col)
     key = free_name(rows, "gumbel")
     rows = rows.withColumn(key, gumbel_key(weight, F.col(id_col), F.col(text_col), temperature=temperature))
-    rows = stash(rows if keep_columns else rows.select(id_col, weight, key), "weighed")
+    rows = stash(rows if keep_columns else rows.select(id_col, weight, without, key), "weighed")
+    if not model.use:
+        return rows.drop(key, without), weight
     if k is None:
-        k = rows.where(F.col(weight) >= THRESHOLD).count()
-    return top_k(rows, key, k).drop(key), weight
+        own = rows.select(F.col(id_col).alias("__id"), F.col(weight).alias("w"), F.col(without).alias("v")).groupBy("__id").agg(F.min("w").alias("w"), F.min("v").alias("v"))
+        taught = own.join(F.broadcast(known_labels(labels, most)), "__id").select(F.when(F.col("kind") == 0, F.col("v")).otherwise(F.col("w")).alias("w"), "kind").toArrow()  # at most ``most`` rows
+        cut = best_cut(taught.column("w").to_numpy(), taught.column("kind").to_numpy())
+        k = rows.where(F.col(weight) >= cut).count()
+    return top_k(rows, key, k).drop(key, without), weight
