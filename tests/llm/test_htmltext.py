@@ -20,6 +20,10 @@ from textloom.llm import htmltext
         ('<p title="a>b">x</p><p title="unclosed>y</p>', "x\ny"),
         ("<table><tr><td>a<td>b<tr><td>c</table><ul><li>d<li>e</ul>", "a\nb\nc\nd\ne"),
         ("<form><p>f</p></form><div role='navigation'>n</div><p hidden>h</p><p style='display: none'>s</p><p>&#233;&eacute;&nbsp;x</p>", "éé x"),
+        ("<div id='content' class='has-sidebar'><p>Body.</p></div><div class='site-footer'>F</div>", "Body."),
+        ("<div class='post no-sidebar entry-content related-works'><p>Body.</p></div><ul class='main-nav'><li>x</ul>", "Body."),
+        ("<main><p>Long body of text</p><article>teaser</article></main>", "Long body of text"),
+        ("<article><p>The story itself</p><article><p>a reader</p></article></article><article>no</article>", "The story itself"),
         ("<P>UP</P><DIV>down</dIv></p></b>", "UP\ndown"),
         ("<p>a" * 3 + "<", "a\na\na<"),
     ],
@@ -52,3 +56,16 @@ def test_templates_go_and_copies_stay(spark):
         assert got[40 + k][1] == f"story {k}\nFollow us"
     assert got[45] == (None, "x") and got[46] == ("nothing", "")
     assert htmltext.main_text(frame.limit(0)).count() == 0
+
+
+def test_unmarked_templates_of_a_host_with_two_layouts(spark):
+    """Each layout stands in less than half of the pages; the menus have no mark."""
+    rows = []
+    for k in range(40):
+        menu = "<div><p>Home</p><p>Contact us</p></div>" if k % 2 else "<table><tr><td>Start<td>All stories</table>"
+        rows.append((k, f"http://two.org/{k}", f"<body>{menu}<div><p>story {k}</p><p>of {k * k} words</p></div></body>"))
+    rows += [(100 + k, f"http://few.org/{k}", f"<div>Our site</div><p>text {k}</p>") for k in range(3)]
+    rows += [(200 + k, f"http://two.only/{k}", f"<div>Our site</div><p>text {k}</p>") for k in range(2)]
+    got = {r.id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"story {k}\nof {k * k} words" for k in range(40))
+    assert all(got[100 + k] == f"text {k}" for k in range(3)) and all(got[200 + k] == f"Our site\ntext {k}" for k in range(2))
