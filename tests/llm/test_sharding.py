@@ -46,3 +46,21 @@ def test_few_null_repeated_and_no_rows(spark):
     got, _ = run(spark, ["a", "a", None, None, "b"], [1, 1, None, None, 2])
     assert len(got) == 5 and sorted(r.size for r in got) == [1, 1, 2, 2, 2]
     assert run(spark, []) == ([], [])
+
+
+def test_edits_move_few_slots(spark):
+    rows = spark.range(20000).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text")
+    more = rows.unionByName(spark.range(20000, 21000).selectExpr("id as doc_id", "repeat('y', 30) as text"))
+    _, versions = sharding.shard(rows)
+    got, later = sharding.shard(more, slot_map=versions)
+    first = {r.vslot: r.shard for r in versions.where("version = 1").collect()}
+    second = {r.vslot: r.shard for r in later.where("version = 2").collect()}
+    assert sum(first[k] != second[k] for k in first) < 0.02 * len(first)
+    dealt = {r.vslot: r.shard for r in versions.where("version = 0").collect()}
+    assert sum(first[k] != dealt[k] for k in first) < 0.1 * len(first)
+    loads = Counter()
+    for r in got.collect():
+        loads[r.shard] += r.size
+    assert max(loads.values()) - min(loads.values()) <= 0.005 * max(loads.values())
+    _, fewer = sharding.shard(more, shards=6, slot_map=versions)
+    assert {r.shard for r in fewer.where("version = 2").collect()} == set(range(6))
