@@ -37,13 +37,13 @@ class Capacity:
     """What a sequence holds at most, and how much each of the three counts when sequences are compared."""
 
     tokens: int = 2048
-    documents: int | None = None
-    attention: int | None = None
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    documents: int = 2048
+    attention: int = 2048**2
+    weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
     rule: str = "norm"
 
     def limits(self) -> tuple[int, int, int]:
-        return self.tokens, self.documents or self.tokens, self.attention or self.tokens**2
+        return self.tokens, self.documents, self.attention
 
 
 def demand(length: int) -> tuple[int, int, int]:
@@ -147,7 +147,8 @@ def pack(found: DataFrame, capacity: Capacity = Capacity(), order: tuple[str, ..
     histogram = dict(found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each length up to a sequence's
     plan = spark.createDataFrame(best_fit(histogram, capacity), "length long, first long, many long, sequence0 long, offset long")
     runs = plan.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "many", "sequence0", "offset"))).alias("runs"))
-    celled = found.withColumn("__cell", F.pmod(F.xxhash64(*order), F.lit(CELLS)).cast("int"))
+    cells = max(CELLS, sum(histogram.values()) >> 20)  # so that one of them holds about a million pieces at most
+    celled = found.withColumn("__cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
     numbered = gapless(celled, ["length"], "__cell", [F.col(c).asc_nulls_first() for c in order], "__number").drop("__cell")
     # the run that holds a number: bisection over the runs of its length
     numbered = numbered.join(F.broadcast(runs), "length") if len(histogram) <= BROADCAST_LENGTHS else numbered.join(runs, "length")
