@@ -44,7 +44,9 @@ BANDS, ROWS = 12, 4
 SMALL = 24
 #: Comparisons for each row of rarest shingles that may be done at once; beyond that leaders thin the groups out, for so
 #: many rounds at most before all that are left are done.
-AT_ONCE, ROUNDS = 1000, 4
+AT_ONCE, ROUNDS = 50, 4
+#: Longs of a paragraph's mark: a bit for each shingle by its hash, which bounds what two paragraphs can share.
+MARK = 8
 SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -274,11 +276,11 @@ def band_rows(natural: DataFrame, bits=None) -> DataFrame:
 
 
 def shingled(docs: DataFrame, text_col: str, bits, cut=paragraphs) -> DataFrame:
-    """Rows (content, shingles) of the natural paragraphs that may be wanted, shingles as a set of hashes."""
+    """Rows (content, shingles, mark) of the natural paragraphs that may be wanted, shingles as a set of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content, shingles = [], []
+            content, shingles, marks = [], [], []
             for text in as_bytes(b.column(0)):
                 sums, begin, end = cut(text or b"")
                 if not len(begin):
@@ -289,10 +291,18 @@ def shingled(docs: DataFrame, text_col: str, bits, cut=paragraphs) -> DataFrame:
                     begin, end = begin[hit], end[hit]
                     grams, first = line_shingles(sums, begin, end)
                     content += own[hit].tolist()
-                    shingles += [np.unique(g).view(np.int64) for g in np.split(grams, first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], ["content", "shingles"])
+                    sets = [np.unique(g) for g in np.split(grams, first[1:])]
+                    shingles += [g.view(np.int64) for g in sets]
+                    marks += [mark_of(g) for g in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array(shingles, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], ["content", "shingles", "mark"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "content long, shingles array<long>")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "content long, shingles array<long>, mark array<long>")
+
+
+def mark_of(shingles: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * MARK, bool)
+    bits[(shingles >> np.uint64(7)) % np.uint64(64 * MARK)] = True
+    return np.packbits(bits).view(np.int64)
 
 
 def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILAR, cut=paragraphs, small: int = SMALL, at_once: int = AT_ONCE, rounds: int = ROUNDS) -> DataFrame:
@@ -326,12 +336,16 @@ def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = S
     links = verified(pairs.unionByName(stars))
     hot = marked.where("leader is not null").select("content").distinct()
     left_over, turn = rarest(texts.join(hot, "content"), least), 0
-    # pairs that share crowded bands only also share one of their rarest shingles, at places that leave room enough
-    room = f"p.root <> t.root and least(p.size - p.place, t.size - t.place) >= {least / (1 + least)} * (p.size + t.size) - 1e-6"
+    # pairs that share crowded bands only also share one of their rarest shingles, at places that leave room enough; what
+    # their marks differ in they do not share either
+    enough = f">= {least / (1 + least)} * (p.size + t.size) - 1e-6"
+    differ = " + ".join(f"bit_count(p.mark[{i}] ^ t.mark[{i}])" for i in range(MARK))
+    room = f"p.root <> t.root and least(p.size - p.place, t.size - t.place) {enough} and (p.size + t.size - ({differ})) / 2 {enough}"
     while not left_over.isEmpty():
         roots = components(links, name="similar").select(F.col("node").alias("content"), F.col("component").alias("root"))
         rows = left_over.join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
-        lead = F.min(F.struct(F.xxhash64("content", "shingle", F.lit(turn)).alias("h"), "content", "size", "place", "root")).alias("lead")
+        # the leader is the one with least of its own, which the others are most likely to be variants of
+        lead = F.min(F.struct("alone", F.xxhash64("content", "shingle", F.lit(turn)).alias("h"), "content", "size", "place", "root", "mark")).alias("lead")
         groups = rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), lead)
         rows = stash(rows.join(groups.where("lo < hi").select("shingle", "n", "lead"), "shingle"), "rarest")
         # who has the leader's root need not meet others of that root: only those of other roots look for partners
@@ -342,25 +356,26 @@ def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = S
         pairs = asking.alias("p").join(rows.alias("t"), "shingle").where(room).selectExpr("least(p.content, t.content) as a", "greatest(p.content, t.content) as b")
         if last:
             return links.unionByName(verified(pairs))
-        stars = seeking.where(F.col("n") > small).selectExpr("struct(content, size, place, root) as p", "lead as t").where(room)
-        links = links.unionByName(verified(pairs.unionByName(stars.selectExpr("least(p.content, t.content) as a", "greatest(p.content, t.content) as b"))))
+        stars = seeking.where(F.col("n") > small).selectExpr("struct(content, size, place, root, mark) as p", "lead as t").where(room)
+        found = verified(pairs.unionByName(stars.selectExpr("least(p.content, t.content) as a", "greatest(p.content, t.content) as b")))
+        links = links.unionByName(found)
         # a leader has met all others of its group
-        left_over = rows.where((F.col("n") > small) & (F.col("content") != F.col("lead.content"))).select("content", "size", "place", "shingle")
-        turn += 1
+        left_over = rows.where((F.col("n") > small) & (F.col("content") != F.col("lead.content"))).select("content", "size", "place", "alone", "mark", "shingle")
+        turn = rounds if found.isEmpty() else turn + 1  # leaders that link nothing thin nothing out
     return links
 
 
 def rarest(texts: DataFrame, least: float) -> DataFrame:
-    """Rows (content, size, place, shingle) of the shingles that are rarest among ``texts`` (content, shingles), so many of
-    each that any two of similarity ``least`` share one, with their place in that order; those that only one text has are
-    left out."""
-    own = texts.select("content", F.explode("shingles").alias("shingle"))
+    """Rows (content, size, place, alone, mark, shingle) of the shingles that are rarest among ``texts`` (content, shingles,
+    mark), so many of each that any two of similarity ``least`` share one, with their place in that order; those that only
+    one text has are left out, ``alone`` counts them."""
+    own = texts.select("content", "mark", F.explode("shingles").alias("shingle"))
     counts = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    ordered = own.join(counts, "shingle").groupBy("content").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    ordered = own.join(counts, "shingle").groupBy("content").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"), F.count_if(F.col("n") == 1).alias("alone"), F.any_value("mark").alias("mark"))
     size = F.size("all")
     first = F.slice("all", 1, (size - F.ceil(least * size - 1e-6) + 1).cast("int"))
-    found = ordered.select("content", size.alias("size"), F.posexplode(first).alias("place", "s")).where("s.n > 1")
-    return stash(found.select("content", "size", "place", F.col("s.shingle").alias("shingle")), "rarest")
+    found = ordered.select("content", size.alias("size"), "alone", "mark", F.posexplode(first).alias("place", "s")).where("s.n > 1")
+    return stash(found.select("content", "size", "place", "alone", "mark", F.col("s.shingle").alias("shingle")), "rarest")
 
 
 #: A floating paragraph with more than this share of all rows is joined in ``SALTS`` parts; so there are at most 1 / HOT of them.
