@@ -7,6 +7,7 @@ structs (text, start, end); explode them with ``posexplode``.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,17 +42,26 @@ def clean_html(c: Column) -> Column:
 
 
 def located(parts: Column, text: Column) -> Column:
-    """Structs (text, start, end) of the parts, each found at or after the end of the one before. One fold, with the
-    cursor carried along."""
-    empty = F.struct(F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, part: Column) -> Column:
-        found = F.call_function("locate", part, text, acc["at"] + 1) - 1
-        start = F.when(found < 0, acc["at"]).otherwise(found)
-        one = F.struct(part.alias("text"), start.alias("start"), (start + F.length(part)).alias("end"))
-        return F.struct(F.concat(acc["out"], F.array(one)).alias("out"), (start + F.length(part)).alias("at"))
-
-    return F.aggregate(parts, empty, step, lambda acc: acc["out"])
+    """Structs (text, start, end) of the parts, each found at or after the end of the one before; one that is not found is
+    put there. A search that goes on where the last one ended, in batches."""
+
+    @F.arrow_udf("array<struct<text:string,start:int,end:int>>")
+    def places(found: pa.Array, whole: pa.Array) -> pa.Array:
+        out = []
+        for own, t in zip(found.to_pylist(), whole.to_pylist(), strict=True):
+            if own is None or t is None:
+                out.append(None)
+                continue
+            row, at = [], 0
+            for part in own:
+                start = t.find(part, at)
+                start = at if start < 0 else start
+                at = start + len(part)
+                row.append({"text": part, "start": start, "end": at})
+            out.append(row)
+        return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
+
+    return places(parts, text)
 
 
 def nonempty_parts(c: Column, pattern: str) -> Column:

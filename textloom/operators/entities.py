@@ -201,29 +201,30 @@ def collapse_same_text(entities: DataFrame) -> DataFrame:
 
 
 def without_crossings(entities: DataFrame) -> DataFrame:
-    """A fold over each document's entities, longest first: of equal spans the more confident stays; a shorter entity of
-    another category inside a longer one goes if it has at least half its length, two characters, and is not ahead by more
-    than 0.2; inside one of its own category it stays; of two that cross the more confident stays."""
+    """A fold over each document's entities, longest first, then by place: of equal spans of two categories the more confident
+    stays, the earlier one of equals; an entity within one of another category goes if it is part of its text, has two
+    characters and at least half of its length, and is behind by more than 0.2; within one of its own category it stays; of two of one
+    category that cross the more confident stays, the later one of equals."""
     fields = "entity_id,text,category,start,end,source,confidence".split(",")
-    one = F.struct((F.col("start") - F.col("end")).alias("order"), *fields)
+    one = F.struct((F.col("start") - F.col("end")).alias("order"), F.col("start").alias("at"), *fields)
     docs = entities.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("e"))
     kind = docs.schema["e"].dataType.simpleString()
 
     def step(acc: Column, x: Column) -> Column:
-        def wins(o: Column) -> Column:
-            """``o``, already kept, shuts ``x`` out."""
-            inside = (o["start"] <= x["start"]) & (o["end"] >= x["end"])
-            equal = (o["start"] == x["start"]) & (o["end"] == x["end"])
-            size, outer = x["end"] - x["start"], o["end"] - o["start"]
-            absorbed = (o["category"] != x["category"]) & (size >= outer * 0.5) & (size >= 2) & (x["confidence"] - o["confidence"] <= 0.2)
-            return F.when(equal, o["confidence"] >= x["confidence"]).when(inside, absorbed).otherwise((x["start"] < o["end"]) & (x["end"] > o["start"]) & (o["confidence"] >= x["confidence"]))
-
-        def loses(o: Column) -> Column:
-            inside = (o["start"] <= x["start"]) & (o["end"] >= x["end"])
-            equal = (o["start"] == x["start"]) & (o["end"] == x["end"])
-            return F.when(equal | ~inside, (x["start"] < o["end"]) & (x["end"] > o["start"]) & (x["confidence"] > o["confidence"])).otherwise(False)
-
-        return F.when(F.exists(acc, wins), acc).otherwise(F.concat(F.filter(acc, lambda o: ~loses(o)), F.array(x)))
+        same = lambda o: o["category"] == x["category"]
+        holds = lambda o, i: (o["start"] <= i["start"]) & (o["end"] >= i["end"])
+        equal = lambda o: holds(o, x) & holds(x, o)
+        rival = F.filter(acc, lambda o: ~same(o) & equal(o))
+        part = lambda o: ~same(o) & holds(o, x) & F.contains(o["text"], x["text"]) & (F.length(x["text"]) >= 2) & (F.length(x["text"]) >= F.length(o["text"]) * 0.5) & (x["confidence"] < o["confidence"] - 0.2)
+        crossing = F.filter(acc, lambda o: same(o) & (x["start"] < o["end"]) & (x["end"] > o["start"]) & (~holds(x, o) | equal(o)))
+        instead = lambda o: F.concat(F.filter(acc, lambda k: k["entity_id"] != o["entity_id"]), F.array(x))
+        return (
+            F.when(F.size(rival) > 0, F.when(x["confidence"] > rival[0]["confidence"], instead(rival[0])).otherwise(acc))
+            .when(F.exists(acc, part), acc)
+            .when(F.exists(acc, lambda o: same(o) & holds(o, x) & ~equal(o)) | (F.size(crossing) == 0), F.concat(acc, F.array(x)))
+            .when(x["confidence"] >= crossing[0]["confidence"], instead(crossing[0]))
+            .otherwise(acc)
+        )
 
     kept = docs.select("doc_id", F.explode(F.aggregate("e", F.array().cast(kind), step)).alias("e"))
     return kept.select("doc_id", *[f"e.{f}" for f in fields])

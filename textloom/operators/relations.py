@@ -20,6 +20,8 @@ CONJUNCTIONS = ["以及", "和", "与", "及", "或", "、", "暨", "幷", "並"
 SYNTACTIC_ROLES = {"nsubj": "Subject", "nsubjpass": "Subject", "dobj": "Object", "iobj": "Object", "loc": "Adverbial", "lobj": "Adverbial", "nn": "Attributive", "amod": "Attributive"}
 POS_SCORES = {"NN": 0.5, "NR": 0.4, "NT": 0.4, "JJ": 0.3}
 ROLE_BONUS = {"Subject": 0.2, "Object": 0.2, "Adverbial": 0.1, "Attributive": 0.05}
+# Verbs that trigger no event.
+STOP_TRIGGERS = ["是", "有", "在", "为", "作", "成", "当", "像", "够", "了", "着", "过", "吗", "吧", "呢", "啊", "呀", "把", "被", "给", "对", "对于", "关于", "和", "与", "及", "或", "而", "但", "做", "搞", "弄", "通过", "经过", "按照", "根据"]
 # Parts of an event's confidence.
 EVENT_BASE, EVENT_ROOT, EVENT_AGENT, EVENT_PATIENT, EVENT_LONG, EVENT_MARK, EVENT_DISPUTED, EVENT_GENERIC, LONG_ARGUMENT = 0.70, 0.15, 0.10, 0.10, 0.15, 0.20, 0.10, 0.10, 15
 
@@ -119,8 +121,13 @@ def noun_signals(tokens: DataFrame, deps: DataFrame, whitelist: tuple[str, ...]
 
 def events(relations: DataFrame) -> DataFrame:
     """Relations of one sentence, verb and subject are one event: rows (doc_id, event_id, sentence_index, trigger, agent,
-    objects, relation_ids). Ids follow the order of sentence, verb and subject."""
-    fine = relations.where("predicate_verb is not null and predicate_verb <> '' and subject <> object")
+    objects, relation_ids). Ids follow the order of sentence, verb and subject. Light verbs, relations of the classical patterns
+and, where the columns are there, those of interrogative sentences are no events."""
+    fine = relations.where("predicate_verb is not null and predicate_verb <> '' and subject <> object").where(~F.col("predicate_verb").isin(STOP_TRIGGERS))
+    if "source" in relations.columns:
+        fine = fine.where(~F.contains(F.coalesce("source", F.lit("")), F.lit("classical_pattern")))
+    if "sentence_type" in relations.columns:
+        fine = fine.where(F.coalesce("sentence_type", F.lit("")) != "interrogative")
     one = F.array_sort(F.collect_list(F.struct("rel_id", "object")))
     found = fine.groupBy("doc_id", "sentence_index", F.col("predicate_verb").alias("trigger"), F.col("subject").alias("agent")).agg(one.alias("r"))
     order = Window.partitionBy("doc_id").orderBy("sentence_index", "trigger", "agent")

@@ -1,22 +1,36 @@
 """Readers of annotated corpora: one row a token or span, sentences kept whole while they are parsed.
 
-Files whose sentences are separated by blank lines are read with that separator, so a file of any size is split into
-many tasks and no file is a single row.
+Sentences that blank lines separate are put together from lines, so a file of any size is split into many tasks and no file
+is a single row; lines may end as on any system, and a line of white space is blank.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CONLL = ["id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc"]
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (file, block) of what stands between blank lines."""
-    rows = spark.read.option("lineSep", "\n\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^\n+|\n+$", "").alias("block"))
-    rows = rows.select("file", F.monotonically_increasing_id().alias("sent_id"), "block")
-    return rows.where(F.trim("block") != "")
+    """Rows (file, sent_id, block) of what stands between blank lines, numbered from 0 within each file.
+
+    Lines are numbered within their split of the file; a small table of the splits tells how many sentences come before.
+    """
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")]
+    rows = spark.read.text(path).select(*meta, "value").withColumn("blank", F.trim(F.regexp_replace("value", r"[\r\t]", "")) == "")
+    order = Window.partitionBy("file", "split").orderBy("line")
+    rows = rows.withColumn("first", ~F.col("blank") & F.coalesce(F.lag("blank").over(order), F.lit(True)))
+    rows = rows.withColumn("number", F.sum(F.col("first").cast("long")).over(order))
+    splits = rows.groupBy("file", "split").agg(F.max("number").alias("n"), F.min_by("blank", "line").alias("head"), F.max_by("blank", "line").alias("tail"))
+    by_file = Window.partitionBy("file").orderBy("split")
+    goes_on = (~F.col("head") & ~F.coalesce(F.lag("tail").over(by_file), F.lit(True))).cast("long")
+    splits = splits.withColumn("goes_on", goes_on)
+    before = F.coalesce(F.sum(F.col("n") - F.col("goes_on")).over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "split", (before - F.col("goes_on") - 1).alias("before"))
+    found = rows.where("not blank").join(splits, ["file", "split"]).groupBy("file", (F.col("number") + F.col("before")).alias("sent_id"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("split", "line", "value"))), lambda x: x["value"])
+    return found.agg(F.array_join(in_order, "\n").alias("block"))
 
 
 def lines(block: Column) -> Column:
