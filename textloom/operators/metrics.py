@@ -64,3 +64,35 @@ def vocabulary(tokens: DataFrame, token: str = "text", least: int = 1) -> DataFr
     """Tokens with their frequency and an index by falling frequency; index ties by token."""
     counts = tokens.groupBy(F.col(token).alias("token")).agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least)
     return ranks(counts.withColumn("__minus", -F.col("freq").cast("double")), "__minus", "token", "__i").select("token", "freq", (F.col("__i") - 1).alias("idx"))
+
+
+def multiset_scores(gold: DataFrame, found: DataFrame, sentence: str, fields: list[str]) -> DataFrame:
+    """One row of matches, gold, found, precision, recall, f1 and complete (share of sentences without an error), repeats
+    counting as often as both sides have them."""
+    n = F.count(F.lit(1))
+    g = gold.groupBy(sentence, *fields).agg(n.alias("g"))
+    p = found.groupBy(sentence, *fields).agg(n.alias("p"))
+    both = g.join(p, [sentence, *fields], "full").select(sentence, F.coalesce("g", F.lit(0)).alias("g"), F.coalesce("p", F.lit(0)).alias("p"))
+    by_sentence = both.groupBy(sentence).agg(F.sum(F.least("g", "p")).alias("m"), F.sum("g").alias("g"), F.sum("p").alias("p"))
+    total = by_sentence.agg(F.sum("m").alias("matches"), F.sum("g").alias("gold"), F.sum("p").alias("found"), F.avg(((F.col("m") == F.col("g")) & (F.col("m") == F.col("p"))).cast("double")).alias("complete"))
+    share = lambda c: F.when(F.col(c) > 0, F.col("matches") / F.col(c)).otherwise(0.0)
+    return total.withColumn("precision", share("found")).withColumn("recall", share("gold")).withColumn("f1", F.when(F.col("matches") > 0, 2 * F.col("matches") / (F.col("gold") + F.col("found"))).otherwise(0.0))
+
+
+def bracket_scores(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """Labelled and unlabelled scores of constituents (sent_id, start, end, label): one row each."""
+    rows = [multiset_scores(gold, found, "sent_id", fields).withColumn("kind", F.lit(kind)) for kind, fields in (("labelled", ["start", "end", "label"]), ("unlabelled", ["start", "end"]))]
+    return rows[0].unionByName(rows[1])
+
+
+def arc_scores(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """Labelled and unlabelled scores of graphs of arcs (sent_id, child, head, rel): one row each."""
+    rows = [multiset_scores(gold, found, "sent_id", fields).withColumn("kind", F.lit(kind)) for kind, fields in (("labelled", ["child", "head", "rel"]), ("unlabelled", ["child", "head"]))]
+    return rows[0].unionByName(rows[1])
+
+
+def top_k_accuracy(rows: DataFrame, k: int = 1, gold: str = "gold", scores: str = "scores") -> DataFrame:
+    """The share of rows whose gold class (from 0) is among the ``k`` best of the scores; of equal scores the first counts as better."""
+    own = F.element_at(scores, F.col(gold) + 1)
+    better = F.size(F.filter(F.transform(scores, lambda s, i: (s > own) | ((s == own) & (i < F.col(gold)))), lambda x: x))
+    return rows.agg(F.avg((better < k).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))

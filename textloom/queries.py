@@ -543,3 +543,6 @@ def folds_by_source(spark, sf_dir):
 
     r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     return docs(spark, sf_dir).withColumn("fold", ((r - 1) % 5).cast("int")).groupBy("source", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+from textloom import annotation_queries  # noqa: E402, F401  # registers its own queries
