@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import annotations, decoding, dictionaries, entities, relations
+from textloom.operators import annotations, decoding, dictionaries, entities, modifiers, relations
 from textloom.sources import readers
 
 
@@ -160,3 +160,13 @@ def test_sentences_across_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted((r.sent_id, r.id, r.form) for r in rows) == [(s, k, f"w{s}_{k}") for s in range(400) for k in range(1, 4)]
+
+
+def test_modifiers(spark):
+    words = {"degree": ["非常", "极"], "temporal": ["将", "即将", "已"], "other": ["极", "常"]}
+    texts = spark.createDataFrame([(1, "将军非常快地即将到来。极远的地方有一座已废弃的城，将来再说"), (2, "极"), (3, None)], "doc_id long, text string")
+    rels = spark.createDataFrame([(1, "r1", 0, 8), (2, "r1", 0, 1), (3, "r1", 0, 1)], "doc_id long, rel_id string, start int, end int")
+    tokens = spark.createDataFrame([(1, 0, 1, "P"), (1, 1, 2, "NN")], "doc_id long, start int, end int, pos string")
+    got = lambda t=None: sorted((r.doc_id, r.start, r.end, r.text, r.type) for r in modifiers.relation_modifiers(rels, texts, words, t).collect())
+    rest = [(1, 2, 4, "非常", "degree"), (1, 6, 8, "即将", "temporal"), (1, 11, 12, "极", "degree"), (2, 0, 1, "极", "degree")]
+    assert got() == [(1, 0, 1, "将", "temporal"), *rest] and got(tokens) == rest

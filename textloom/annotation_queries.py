@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom import fixtures as fx
 from textloom.functions import text
-from textloom.operators import annotations, decoding, dictionaries, metrics
+from textloom.operators import annotations, decoding, dictionaries, metrics, modifiers
 from textloom.queries import docs, query, table
 
 WORDS = r"regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')"
@@ -154,3 +154,10 @@ def dependency_trees(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.slice("embedding", i * 5 + 1, 5)).cast("array<array<double>>").alias("s"))
     heads = decoding.dependency_heads(F.col("s"))
     return rows.select("vec_id", heads.alias("heads"), decoding.is_tree(heads).alias("tree"))
+
+
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text[91:210], 'tion|the|and|der|le'), ' ') AS words FROM documents")
+def span_modifiers(spark, sf_dir):
+    """Words around one span a document, characters 100 to 200."""
+    found = modifiers.modifiers(F.col("text"), F.lit(100), F.lit(200), {"degree": ["the", "and"], "scope": ["tion", "der", "le", "the"]})
+    return docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(found, lambda m: m["text"]), " ").alias("words"))
