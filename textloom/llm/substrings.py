@@ -306,9 +306,9 @@ def mark_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = SIMILAR, cut=paragraphs, small: int = SMALL, at_once: int = AT_ONCE, rounds: int = ROUNDS) -> DataFrame:
-    """Links (a, b) between different paragraphs of exact similarity ``least`` or more, from rows (content, bands) with
-    repeats, and the documents they come from, which ``cut`` makes into paragraphs. Any two that share a band and are
-    that similar are linked or connected through others."""
+    """Classes (content, root) of different paragraphs of exact similarity ``least`` or more, from rows (content, bands)
+    with repeats, and the documents they come from, which ``cut`` makes into paragraphs. Any two that share a band and are
+    that similar have one root, the smallest content of their class; those without a partner have no row."""
     context = natural.sparkSession.sparkContext
     shared = band_rows(natural).groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("key")
     shared = stash(shared, "shared")
@@ -333,16 +333,15 @@ def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = S
     plain = marked.where("leader is null")
     pairs = plain.alias("p").join(plain.alias("t"), "key").where("p.content < t.content").selectExpr("p.content as a", "t.content as b")
     stars = marked.where("content <> leader").selectExpr("least(content, leader) as a", "greatest(content, leader) as b")
-    links = verified(pairs.unionByName(stars))
+    roots = merged(None, verified(pairs.unionByName(stars)))
     hot = marked.where("leader is not null").select("content").distinct()
-    left_over, turn = rarest(texts.join(hot, "content"), least), 0
+    left_over, turn, before = rarest(texts.join(hot, "content"), least), 0, None
     # pairs that share crowded bands only also share one of their rarest shingles, at places that leave room enough; what
     # their marks differ in they do not share either
     enough = f">= {least / (1 + least)} * (p.size + t.size) - 1e-6"
     differ = " + ".join(f"bit_count(p.mark[{i}] ^ t.mark[{i}])" for i in range(MARK))
     room = f"p.root <> t.root and least(p.size - p.place, t.size - t.place) {enough} and (p.size + t.size - ({differ})) / 2 {enough}"
     while not left_over.isEmpty():
-        roots = components(links, name="similar").select(F.col("node").alias("content"), F.col("component").alias("root"))
         rows = left_over.join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
         # the leader is the one with least of its own, which the others are most likely to be variants of
         lead = F.min(F.struct("alone", F.xxhash64("content", "shingle", F.lit(turn)).alias("h"), "content", "size", "place", "root", "mark")).alias("lead")
@@ -351,18 +350,32 @@ def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = S
         # who has the leader's root need not meet others of that root: only those of other roots look for partners
         seeking = rows.where("root <> lead.root")
         work, size = seeking.agg(F.sum("n")).first()[0] or 0, rows.count()
-        last = turn >= rounds or work <= at_once * size
+        # a round that does not halve the work costs more than it saves: leaders thin nothing out there
+        last = turn >= rounds or work <= at_once * size or (before is not None and 2 * work > before)
         asking = seeking if last else seeking.where(F.col("n") <= small)
         pairs = asking.alias("p").join(rows.alias("t"), "shingle").where(room).selectExpr("least(p.content, t.content) as a", "greatest(p.content, t.content) as b")
         if last:
-            return links.unionByName(verified(pairs))
+            return merged(roots, verified(pairs))
         stars = seeking.where(F.col("n") > small).selectExpr("struct(content, size, place, root, mark) as p", "lead as t").where(room)
         found = verified(pairs.unionByName(stars.selectExpr("least(p.content, t.content) as a", "greatest(p.content, t.content) as b")))
-        links = links.unionByName(found)
+        roots = merged(roots, found)
         # a leader has met all others of its group
         left_over = rows.where((F.col("n") > small) & (F.col("content") != F.col("lead.content"))).select("content", "size", "place", "alone", "mark", "shingle")
-        turn = rounds if found.isEmpty() else turn + 1  # leaders that link nothing thin nothing out
-    return links
+        turn, before = turn + 1, work
+    return roots
+
+
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Classes (content, root) after more links (a, b): only roots are connected anew, not what they already stand for."""
+    if roots is None:
+        return components(links, name="similar").select(F.col("node").alias("content"), F.col("component").alias("root"))
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(roots.withColumnsRenamed({"content": end, "root": f"root_{end}"}), end, "left")
+    met = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")), name="similar")
+    old = roots.join(met.select(F.col("node").alias("root"), "component"), "root", "left").select("content", F.coalesce("component", "root").alias("root"))
+    new = met.select(F.col("node").alias("content"), F.col("component").alias("root")).join(roots, "content", "left_anti")
+    return stash(old.unionByName(new), "roots")
 
 
 def rarest(texts: DataFrame, least: float) -> DataFrame:
@@ -406,10 +419,9 @@ def floating_repeats(rows: DataFrame) -> DataFrame:
 
 def natural_repeats(rows: DataFrame, docs: DataFrame, text_col: str, shortest: int) -> DataFrame:
     """Equal and similar paragraphs of two or more documents."""
-    links = similar(rows.select("content", "bands"), docs, text_col, cut=functools.partial(paragraphs, shortest=shortest))
-    named = components(links, name="paragraphs").select(F.col("node").alias("content"), "component")
+    named = similar(rows.select("content", "bands"), docs, text_col, cut=functools.partial(paragraphs, shortest=shortest))
     spread = rows.groupBy("content").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("hi"))
-    classes = stash(spread.join(named, "content", "left").withColumn("class", F.coalesce("component", "content")), "spread")
+    classes = stash(spread.join(named, "content", "left").withColumn("class", F.coalesce("root", "content")), "spread")
     shared = classes.groupBy("class").agg(F.min("first").alias("first"), F.max("hi").alias("hi")).where("first.id < hi").select("class", "first")
     wanted = stash(classes.select("class", "content").join(shared, "class"), "classes")
     bits = rows.sparkSession.sparkContext.broadcast(bit_map(wanted, "content"))
