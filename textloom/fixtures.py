@@ -93,6 +93,52 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
             (2, "ent_001", "widget", "PRODUCES", "ent_002", "gadget"),
         ],
     ),
+    "named": (
+        "doc_id long, entity_id string, text string, category string, start int, end int",
+        [
+            (1, "ent_001", "北京大学", "ORGANIZATION", 0, 4),
+            (1, "ent_002", "北京", "LOCATION", 0, 2),
+            (1, "ent_003", "张三", "PERSON", 6, 8),
+            (1, "ent_004", "2024", "DATE", 8, 12),
+            (1, "ent_005", "2024年", "DATE", 8, 13),
+            (1, "ent_006", "去年", "DATE", 30, 32),
+            (1, "ent_007", "北京", "LOCATION", 34, 36),
+            (1, "ent_008", "图书馆", "FACILITY", 38, 41),
+            (2, "ent_001", "widget company", "ORGANIZATION", 0, 14),
+            (2, "ent_002", "widget", "PRODUCT", 20, 26),
+            (2, "ent_003", "gadget", "PRODUCT", 30, 36),
+        ],
+    ),
+    "sentence_places": ("doc_id long, sent_idx int, start int, end int, text string", [(1, 0, 0, 25, "北京大学，张三2024年访问。"), (1, 1, 26, 45, "他去年在北京的图书馆读书。"), (2, 0, 0, 40, "widget company makes widget and gadget")]),
+    "spoken": (
+        "doc_id long, arg_id int, text string, start int",
+        [(1, 0, "张三", 6), (1, 1, "图书馆", None), (1, 2, "北京大学的学生", 99), (1, 3, "大学", -1), (1, 4, "无", None), (1, 5, "", 3), (1, 6, None, None), (2, 0, "the gadget and the widget", 40), (2, 1, "widget company", 39), (3, 0, "张三", 0)],
+    ),
+    "claims": (
+        "doc_id long, rel_id string, subject string, subject_raw string, predicate string, predicate_verb string, object string, object_raw string, source string",
+        [
+            (1, "r1", "张三", "张三", "RELATES_TO", "至", "北京", "北京", "srl/至"),
+            (1, "r2", "该校", "该校", "RELATES_TO", "有", "图书馆的书", "图书馆的书", "srl/有"),
+            (1, "r3", "他的", "他的", "KNOWS", "识", "无", "无", "srl/识"),
+            (1, "r4", "之", "之", "KNOWS", "识", "张三", "张三", "srl/识"),
+            (1, "r5", "该校", "该校", "HAS_STYLE_NAME", "字", "张三", "张三", "classical_pattern/zi"),
+            (1, "r6", "大学", "大学", "IS_A", "是", "北京大学", "北京大学", "dep"),
+            (1, "r7", "北京", "北京", "RELATES_TO", "来", "张三", "张三", "dep"),
+            (2, "r1", "the company", "the company", "RELATES_TO", "makes", "gadgets", "gadgets", "srl/makes"),
+            (2, "r2", "widget company", "widget company", "RELATES_TO", "makes", "gadget", "gadget", "srl/makes"),
+            (3, "r1", "之", "之", "RELATES_TO", "为", "x", "x", "dep"),
+        ],
+    ),
+    "mentions": (
+        "doc_id long, chain_id int, text string, representative string",
+        [(1, 0, "该校", "该大学"), (1, 0, "北京大学", "该大学"), (1, 1, "他", "李四"), (1, 2, "他", "张三"), (1, 2, "他的", "张三"), (2, 0, "the company", "widget"), (2, 0, "the", "gadget"), (3, 0, "之", "本")],
+    ),
+    "category_pairs": ("subject_category string, object_category string, predicate string", [("ORGANIZATION", "PRODUCT", "PRODUCES"), ("PERSON", "ORGANIZATION", "MEMBER_OF")]),
+    "verb_predicates": ("verb string, predicate string", [("识", "KNOWS"), ("有", "HAS_PART")]),
+    "triggers": ("doc_id long, event_id string, sentence_index int, start int, end int", [(1, "e1", 0, 13, 15), (1, "e2", 1, 42, 44), (1, "e3", -1, 0, 1), (1, "e4", 1, 32, 33), (2, "e1", 0, 15, 20)]),
+    "trigger_arguments": ("doc_id long, event_id string, role string, text string", [(1, "e1", "Agent", "张三"), (1, "e1", "Location", "北京"), (1, "e2", "Patient", "图书馆"), (2, "e1", "Agent", "widget company")]),
+    "characters": ("doc_id long, tok_idx int, text string, start int, end int", [(1, 0, "唐", 0, 1), (1, 1, "太", 1, 2), (1, 2, "子", 2, 3), (1, 3, "少师", 3, 5), (1, 4, "李", 6, 7), (1, 5, "白", 7, 8), (1, 6, "杜", 8, 9), (1, 7, "甫", 10, 11), (2, 0, "长安", 0, 2), (2, 1, "李", 2, 3), (2, 2, "白", 3, 4)]),
+    "register": ("text string, category string", [("唐", "ERA"), ("唐", "LOCATION"), ("太子", "TITLE"), ("太子少师", "TITLE"), ("李白", "PERSON"), ("杜甫", "PERSON"), ("长安", "PERSON"), ("长安", "LOCATION"), ("白", "COLOUR"), ("唐太子少师", "TITLE")]),
     "tags": ("id long, tags string", [(1, "B-PER I-PER O B-LOC B-LOC"), (2, "I-PER I-LOC I-LOC O"), (3, "S-PER B-LOC I-LOC E-LOC E-LOC"), (4, "U-A B-B L-B O"), (5, "B-A M-A E-A S-B"), (6, "O O")]),
 }
 
