@@ -139,6 +139,13 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "trigger_arguments": ("doc_id long, event_id string, role string, text string", [(1, "e1", "Agent", "张三"), (1, "e1", "Location", "北京"), (1, "e2", "Patient", "图书馆"), (2, "e1", "Agent", "widget company")]),
     "characters": ("doc_id long, tok_idx int, text string, start int, end int", [(1, 0, "唐", 0, 1), (1, 1, "太", 1, 2), (1, 2, "子", 2, 3), (1, 3, "少师", 3, 5), (1, 4, "李", 6, 7), (1, 5, "白", 7, 8), (1, 6, "杜", 8, 9), (1, 7, "甫", 10, 11), (2, 0, "长安", 0, 2), (2, 1, "李", 2, 3), (2, 2, "白", 3, 4)]),
     "register": ("text string, category string", [("唐", "ERA"), ("唐", "LOCATION"), ("太子", "TITLE"), ("太子少师", "TITLE"), ("李白", "PERSON"), ("杜甫", "PERSON"), ("长安", "PERSON"), ("长安", "LOCATION"), ("白", "COLOUR"), ("唐太子少师", "TITLE")]),
+    "cup_tokens": ("doc_id long, tok_idx int, text string, start int, end int", [(1, 0, "这", 0, 1), (1, 1, "届", 1, 2), (1, 2, "世界杯", 2, 5), (1, 3, "很", 5, 6), (1, 4, "大", 6, 7), (2, 0, "北京", 0, 2), (2, 1, "那", 2, 3), (2, 2, "些", 3, 4), (2, 3, "人", 4, 5)]),
+    "cup_deps": ("doc_id long, child int, head int, rel string", [(1, 0, 2, "det"), (1, 1, 0, "clf"), (1, 2, 4, "nsubj"), (1, 3, 4, "advmod"), (1, 4, -1, "root"), (2, 1, 3, "DET"), (2, 2, 3, "det"), (2, 0, 3, "nmod"), (2, 3, -1, "root")]),
+    "cup_entities": (
+        "doc_id long, entity_id string, text string, category string, start int, end int, source string, confidence double",
+        [(1, "ent_001", "世界杯", "EVENT", 2, 5, "ner", 0.9), (1, "ent_002", "很大", "UNKNOWN", 5, 7, "ner", 0.5), (2, "ent_001", "北京", "LOCATION", 0, 2, "ner", 0.9), (2, "ent_002", "人", "PERSON", 4, 5, "ner", 0.6)],
+    ),
+    "discovered": ("doc_id long, word string, score double", [(1, "世界", 4.0), (1, "世界杯", 9.0), (1, "很大", 3.0), (1, "没有", 3.5), (2, "那些", 12.0), (2, "些人", 3.2)]),
     "tags": ("id long, tags string", [(1, "B-PER I-PER O B-LOC B-LOC"), (2, "I-PER I-LOC I-LOC O"), (3, "S-PER B-LOC I-LOC E-LOC E-LOC"), (4, "U-A B-B L-B O"), (5, "B-A M-A E-A S-B"), (6, "O O")]),
 }
 

@@ -1,9 +1,11 @@
-"""Queries of the joins with entities, sentences and dictionaries."""
+"""Queries of the joins with entities, sentences and dictionaries, and of entities made from determiners and discovery."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from textloom import fixtures as fx
-from textloom.operators import linking
+from textloom.operators import entities, linking
 from textloom.queries import query
 
 ENTITY_TEXTS = """ns AS (SELECT doc_id, text, max(struct_pack(s := start, e := "end", id := entity_id)).id AS entity_id, min(struct_pack(s := start, e := "end", id := entity_id)) AS place, arg_min(category, struct_pack(s := start, e := "end", id := entity_id)) AS category FROM named GROUP BY doc_id, text)"""
@@ -102,3 +104,25 @@ SELECT m.doc_id, m.text, k.category, CAST(k.confidence AS DOUBLE) AS confidence
 )
 def dictionary_names(spark, sf_dir):
     return linking.dictionary_names(fx.frame(spark, "characters"), fx.frame(spark, "register"))
+
+
+@query(
+    fx.with_values("cup_tokens", "cup_deps", "cup_entities") + """,
+d AS (SELECT e.doc_id, e.entity_id, e.category, e.source, e.confidence, least(min(d.child), any_value(t.tok_idx)) AS lo, greatest(max(d.child), any_value(t.tok_idx)) AS hi
+  FROM cup_entities e JOIN cup_tokens t ON t.doc_id = e.doc_id AND t.start = e.start AND t."end" = e."end" AND t.text = e.text JOIN cup_deps d ON d.doc_id = e.doc_id AND d.head = t.tok_idx AND lower(d.rel) = 'det' GROUP BY ALL)
+SELECT doc_id, text, category, start, "end", source, CAST(confidence AS DOUBLE) AS confidence FROM cup_entities
+UNION ALL SELECT d.doc_id, string_agg(t.text, '' ORDER BY t.tok_idx), d.category, min(t.start), max(t."end"), d.source, CAST(d.confidence AS DOUBLE) FROM d JOIN cup_tokens t ON t.doc_id = d.doc_id AND t.tok_idx BETWEEN lo AND hi GROUP BY d.doc_id, d.entity_id, d.category, d.source, d.confidence"""
+)
+def entities_with_determiners(spark, sf_dir):
+    return entities.determiner_compounds(*[fx.frame(spark, n) for n in ("cup_entities", "cup_tokens", "cup_deps")]).drop("entity_id")
+
+
+@query(
+    fx.with_values("cup_tokens", "cup_entities", "discovered") + """, texts AS (SELECT doc_id, string_agg(text, '' ORDER BY tok_idx) AS text FROM cup_tokens GROUP BY doc_id),
+p AS (SELECT f.doc_id, f.word AS text, CAST(instr(t.text, f.word) - 1 AS INTEGER) AS start, score FROM discovered f JOIN texts t USING (doc_id) WHERE contains(t.text, f.word))
+SELECT doc_id, text, 'UNKNOWN' AS category, start, CAST(start + length(text) AS INTEGER) AS "end", 'discover' AS source, CAST(least(0.85, 0.5 + 0.05 * score) AS DOUBLE) AS confidence
+FROM p WHERE NOT EXISTS (SELECT 1 FROM cup_entities e WHERE e.doc_id = p.doc_id AND e.start = p.start AND e."end" = p.start + length(p.text))"""
+)
+def entities_from_discovery(spark, sf_dir):
+    tokens = fx.frame(spark, "cup_tokens").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tok_idx", "text"))), lambda t: t["text"]), "").alias("text"))
+    return entities.discovered_entities(fx.frame(spark, "discovered"), tokens, fx.frame(spark, "cup_entities"))

@@ -278,6 +278,33 @@ def with_ids(entities: DataFrame, prefix: str = "ent", key: str = "entity_id") -
     return one.withColumn(key, spans.numbered(prefix, F.row_number().over(order)))
 
 
+def determiner_compounds(entities: DataFrame, tokens: DataFrame, deps: DataFrame) -> DataFrame:
+    """``entities`` and one more for each that is a single token with determiners: the text from the first to the last of them
+    and the token, with the category, source and confidence of the entity and no id (``with_ids`` numbers them). Of several
+    entities at one token the last has it. An entity whose token is a determiner of an earlier one goes."""
+    last = F.max("entity_id").alias("entity_id")
+    at = entities.join(tokens.select("doc_id", "tok_idx", "text", "start", "end"), ["doc_id", "text", "start", "end"]).groupBy("doc_id", "tok_idx").agg(last)
+    det = deps.where("lower(trim(rel)) = 'det'").select("doc_id", "child", F.col("head").alias("tok_idx"))
+    reach = at.join(det, ["doc_id", "tok_idx"])
+    spans_of = reach.groupBy("doc_id", "entity_id", "tok_idx").agg(F.least(F.min("child"), "tok_idx").alias("lo"), F.greatest(F.max("child"), "tok_idx").alias("hi"))
+    taken = reach.select("doc_id", F.col("entity_id").alias("owner"), F.col("child").alias("tok_idx")).join(at, ["doc_id", "tok_idx"]).where("owner < entity_id").select("doc_id", "entity_id")
+    left = entities.join(taken, ["doc_id", "entity_id"], "left_anti")
+    words = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("tok_idx", "start", "end", "text"))).alias("words"))
+    found = left.join(spans_of, ["doc_id", "entity_id"]).join(words, "doc_id").withColumn("run", F.filter("words", lambda w: w["tok_idx"].between(F.col("lo"), F.col("hi"))))
+    made = {"entity_id": F.lit(None).cast("string"), "text": F.array_join(F.transform("run", lambda w: w["text"]), ""), "start": F.get("run", 0)["start"], "end": F.element_at("run", -1)["end"]}
+    return left.unionByName(found.withColumns(made).select(*entities.columns))
+
+
+def discovered_entities(found: DataFrame, docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """Discovered words (doc_id, word, score) as UNKNOWN entities at their first place in the text, unless an entity has that
+    span; the score sets the confidence, 0.85 at most."""
+    at = found.join(docs.select("doc_id", F.col("text").alias("__text")), "doc_id").withColumn("start", F.instr("__text", F.col("word")) - 1).where("start >= 0")
+    rows = at.select(
+        "doc_id", F.col("word").alias("text"), F.lit("UNKNOWN").alias("category"), "start", (F.col("start") + F.length("word")).alias("end"), F.lit("discover").alias("source"), F.least(F.lit(0.85), 0.5 + F.col("score") * 0.05).alias("confidence")
+    )
+    return rows.join(entities.select("doc_id", "start", "end"), ["doc_id", "start", "end"], "left_anti").select(*rows.columns)
+
+
 def invalid(entities: DataFrame, categories: list[str] | None = None) -> DataFrame:
     """Rows that break the rules of the schema, with the rule."""
     rule = F.when((F.col("start") < 0) | (F.col("start") > F.col("end")), "span").when(~F.col("category").isin(*(categories or CATEGORIES)), "category").when(~F.col("confidence").between(0, 1), "confidence").when(F.length("text") == 0, "text")
