@@ -316,9 +316,29 @@ def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = S
     members = stash(band_rows(natural, bits).distinct().join(shared, "key"), "bands")
     bits.destroy()
     wanted = members.select("content").distinct()
-    bits = context.broadcast(bit_map(wanted, "content"))
+    texts = texts_of(wanted, docs, text_col, cut)
+    # small bands: all pairs; crowded ones: each member with the leader, the smallest hash for this band
+    leader = F.min(F.struct(F.xxhash64("content", "key").alias("h"), "content"))
+    crowded = members.groupBy("key").agg(leader.alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") > small)
+    marked = stash(members.join(crowded.select("key", F.col("lead.content").alias("leader")), "key", "left"), "marked")
+    plain = marked.where("leader is null")
+    pairs = plain.alias("p").join(plain.alias("t"), "key").where("p.content < t.content").selectExpr("p.content as a", "t.content as b")
+    stars = marked.where("content <> leader").selectExpr("least(content, leader) as a", "greatest(content, leader) as b")
+    hot = marked.where("leader is not null").select("content").distinct()
+    return classes(texts, pairs.unionByName(stars), hot, least, small, at_once, rounds)
+
+
+def texts_of(wanted: DataFrame, docs: DataFrame, text_col: str, cut=paragraphs) -> DataFrame:
+    """Rows (content, shingles, mark) of the paragraphs of ``docs`` whose ``content`` is in ``wanted``, each once."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, "content"))
     texts = stash(shingled(docs, text_col, bits, cut).dropDuplicates(["content"]).join(wanted, "content", "left_semi"), "shingles")
     bits.destroy()
+    return texts
+
+
+def classes(texts: DataFrame, pairs: DataFrame, hot: DataFrame, least: float = SIMILAR, small: int = SMALL, at_once: int = AT_ONCE, rounds: int = ROUNDS) -> DataFrame:
+    """Classes (content, root) by those of ``pairs`` (a, b) and of all pairs within ``hot`` (content) whose exact similarity
+    is ``least`` or more; ``texts`` has the shingles of them all."""
     left, right = texts.select(F.col("content").alias("a"), F.col("shingles").alias("x")), texts.select(F.col("content").alias("b"), F.col("shingles").alias("y"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -326,15 +346,7 @@ def similar(natural: DataFrame, docs: DataFrame, text_col: str, least: float = S
         linked = pairs.distinct().join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("x") + F.size("y") - both))
         return stash(linked.select("a", "b"), "links")
 
-    # small bands: all pairs; crowded ones: each member with the leader, the smallest hash for this band
-    leader = F.min(F.struct(F.xxhash64("content", "key").alias("h"), "content"))
-    crowded = members.groupBy("key").agg(leader.alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") > small)
-    marked = stash(members.join(crowded.select("key", F.col("lead.content").alias("leader")), "key", "left"), "marked")
-    plain = marked.where("leader is null")
-    pairs = plain.alias("p").join(plain.alias("t"), "key").where("p.content < t.content").selectExpr("p.content as a", "t.content as b")
-    stars = marked.where("content <> leader").selectExpr("least(content, leader) as a", "greatest(content, leader) as b")
-    roots = merged(None, verified(pairs.unionByName(stars)))
-    hot = marked.where("leader is not null").select("content").distinct()
+    roots = merged(None, verified(pairs))
     left_over, turn, before = rarest(texts.join(hot, "content"), least), 0, None
     # pairs that share crowded bands only also share one of their rarest shingles, at places that leave room enough; what
     # their marks differ in they do not share either
