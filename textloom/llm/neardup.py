@@ -6,7 +6,7 @@ Fingerprints have 384 bits here, the majority of the hash bits of a text's shing
 32 bits. Every text is stored under its twelve segments and looks up a ball around each of them. Which bits of a near copy
 differ is no accident: those whose majority was narrow. So the ball is not one of a radius: it holds the 2048 values that
 are the likeliest by how narrow each majority was. Either text of a pair may find the other; a pair at 0.8 is missed once
-in 10,000 times by calculation, closer ones less often. What is found is verified by the complete distance, at most
+in 10,000 times (from the simulated rate of one segment), closer ones less often. What is found is verified by the complete distance, at most
 ``RADIUS`` bits, and then by the shingles.
 
 Lookups are thinned out by a map of all stored segments before they leave the worker; where the table is large, some of the
