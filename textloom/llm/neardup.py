@@ -12,6 +12,7 @@ in 10,000 times (from the simulated rate of one segment), closer ones less often
 Lookups are thinned out by a map of all stored segments before they leave the worker; where the table is large, some of the
 segments are done at a time. Texts in a crowd (a segment that more than ``SMALL`` share, or more than ``MANY`` hits a segment beyond chance) do not look each other up: all pairs of them are compared by their rarest shingles, as in ``substrings``, which loses none.
 They look up the texts outside of crowds like all others, and are looked up by them.
+What links them before that is one link at most for each of their keys, to the text that leads it, so that those already of one class need not be compared.
 
 Words are runs of other than ASCII white space, in lower case (A-Z). Edge cases: a text of fewer than five words is one
 shingle; texts without words (null, empty, white space) are equal; rows with a null id are compared like any other.
@@ -208,9 +209,7 @@ def candidates(prints: DataFrame, small: int = SMALL, many: int = MANY, map_bits
     """Pairs (a, b) of texts that find each other and whose fingerprints differ in at most ``RADIUS`` bits, and the texts
     (content) in crowds, of which all pairs are still to be compared, from distinct rows (content, lead)."""
     context, index, n = prints.sparkSession.sparkContext, stash(stored(prints), "segments"), prints.count()
-    leader = F.min(F.struct(F.xxhash64("content", "key").alias("h"), "content"))
-    crowded = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), leader.alias("lead")).where(F.col("n") > small)
-    crowded = stash(crowded.select("key", F.col("lead.content").alias("leader")), "crowded")
+    crowded = stash(index.groupBy("key").count().where(F.col("count") > small).select("key"), "crowded")
     mapped = lambda rows: context.broadcast(segment_map(rows))
     at_once = min(SEGMENTS, max(1, map_bits // (16 * max(n, 1))))
     parts = [np.arange(k, min(k + at_once, SEGMENTS)) for k in range(0, SEGMENTS, at_once)]
@@ -229,21 +228,34 @@ def candidates(prints: DataFrame, small: int = SMALL, many: int = MANY, map_bits
     crowds.destroy()
     plain = index.drop("segment")
     hot = stash(rows.where("key is null").unionByName(plain.join(crowded, "key", "left_semi")).select("content").distinct(), "hot")
-    # links to leaders leave little to compare within crowds
-    rows, inside = rows.where("key is not null"), rows.unionByName(plain).join(crowded, "key")
-    stars = inside.where("content <> leader").select(F.col("content").alias("a"), F.col("leader").alias("b"))
-    if not hot.isEmpty():
-        plain = stash(plain.join(crowded, "key", "left_anti"), "plain")
-        rows = rows.unionByName(found(prints.join(hot, "content", "left_semi"), index.join(hot, "content", "left_anti")))
-    near = F.expr(f"p.content <> t.content and bit_count(p.word ^ t.word) <= {NEAR}")
-    met = rows.unionByName(plain).alias("p").join(plain.alias("t"), "key").where(near).selectExpr("p.content as a", "t.content as b")
-    pairs = met.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows, crowd = rows.where("key is not null"), lambda rows, is_one: rows.select(*rows.columns, F.lit(is_one).alias("crowd"))
+    if hot.isEmpty():
+        links, rows, plain = None, crowd(rows, False), crowd(plain, False)
+    else:
+        links = leader_links(rows.unionByName(plain).join(hot, "content", "left_semi"))
+        late = found(prints.join(hot, "content", "left_semi"), index.join(hot, "content", "left_anti"))
+        rows = crowd(rows.join(hot, "content", "left_anti"), False).unionByName(crowd(late, True))
+        plain = plain.join(crowded, "key", "left_anti").join(crowd(hot, True), "content", "left").fillna(False, "crowd")
+        plain = stash(plain.select(rows.columns), "plain")
+    near = F.expr(f"p.content <> t.content and not (p.crowd and t.crowd) and bit_count(p.word ^ t.word) <= {NEAR}")
+    pairs = rows.unionByName(plain).alias("p").join(plain.alias("t"), "key").where(near).selectExpr("p.content as a", "t.content as b")
+    pairs = pairs if links is None else pairs.unionByName(links)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     words = whole_prints(prints)
     left, right = words.withColumnsRenamed({"content": "a", "words": "x"}), words.withColumnsRenamed({"content": "b", "words": "y"})
     differ = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(WORDS))
     return stash(pairs.join(left, "a").join(right, "b").where(f"{differ} <= {RADIUS}").select("a", "b"), "pairs"), hot
 
 
+def leader_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of texts to the one that leads a key of theirs, the smallest hash for it: one a row at most, so they
+    grow with the texts and not with their pairs."""
+    lead = F.min(F.struct(F.xxhash64("content", "key").alias("h"), "content", "word")).alias("t")
+    shared = rows.groupBy("key").agg(lead, F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("key", "t")
+    near = F.expr(f"p.content <> t.content and bit_count(p.word ^ t.word) <= {NEAR}")
+    return rows.alias("p").join(shared, "key").where(near).selectExpr("p.content as a", "t.content as b")
+
+
 def whole_prints(prints: DataFrame) -> DataFrame:
     """Rows (content, words) of the complete fingerprints."""
 
