@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textloom.llm import divergence
@@ -47,7 +48,7 @@ def corpus(seed, n, vocabulary=60):
     return [(rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "s3", None]), " ".join(rng.choices(words, k=rng.randint(0, 30)))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("more", [{}, {"prefix": 1}, {"entries": 5}, {"cells": 3}, {"most_terms": 4}])
+@pytest.mark.parametrize("more", [{}, {"prefix": 1}, {"entries": 5, "words": 20}, {"words": 50}, {"leaves": 7}, {"cells": 3}, {"most_terms": 4}])
 def test_against_a_plain_count(spark, more):
     rows = corpus(3, 150)
     assert run(spark, rows, **more) == plain(rows, more.get("most_terms", 200))
@@ -75,14 +76,15 @@ def test_clashing_columns(spark):
 
 def test_a_trie_gives_its_leaves_back():
     rng = random.Random(9)
-    terms = sorted({"".join(rng.choices("ab", k=rng.randint(1, 6))).encode() for _ in range(50)})
-    leaves = [(t, i + 1, [("s", i), ("t", 2)]) for i, t in enumerate(terms)]
-    names = [x.split()[0] for x in divergence.TRIE.split(", ")]
-    rows = [dict(zip(names, divergence.trie("en", part, b""), strict=True)) for part in (leaves, leaves[::2], leaves[5:9])]
-    assert list(divergence.walk(rows[0]["depth"], rows[0]["label"])) == terms
-    found = {t: (d, dict(c)) for t, d, c in divergence.merged(rows)}
-    assert found[terms[6]] == (21, {"s": 18, "t": 6}) and found[terms[1]] == (2, {"s": 1, "t": 2})
-    assert list(found) == terms
+    words = ["".join(rng.choices("ab", k=rng.randint(1, 8))).encode() for _ in range(80)]
+    made = divergence.counted(["en", "de"], ["s", "t"], [words, words[::2]], [0, 1])
+    rows = pa.Table.from_batches([made.laid_out(2), made.laid_out(2)])
+    assert all(len(t) <= 2 for t in rows["prefix"].to_pylist())
+    terms = [list(divergence.walk(r["depth"], r["label"])) for r in rows.slice(0, len(rows) // 2).to_pylist() if r["lang"] == "en"]
+    assert [t for part in terms for t in part] == sorted(set(words))
+    twice = divergence.of_tries(rows)
+    assert twice.terms == made.terms and (twice.n == 2 * made.n).all() and (twice.docs == 2).all()
+    assert len(twice.at_least(3).terms) == 0 and twice.at_least(3).laid_out(2) is None
 
 
 def test_shares_are_exact_for_large_counts():
