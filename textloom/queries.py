@@ -545,4 +545,4 @@ def folds_by_source(spark, sf_dir):
     return docs(spark, sf_dir).withColumn("fold", ((r - 1) % 5).cast("int")).groupBy("source", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-from textloom import annotation_queries, linking_queries  # noqa: E402, F401  # each registers its own queries
+from textloom import annotation_queries, derived_queries, linking_queries  # noqa: E402, F401  # each registers its own queries
