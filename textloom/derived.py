@@ -41,19 +41,30 @@ TABLES: dict[str, str] = {
     # clauses: a line of an order is five tokens of nine signs: a name, a verb or noun, a demonstrative or pronoun, a noun, a noun or sign
     "order_lines": """SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT) AS line, l_partkey AS part, l_suppkey AS supp, CAST(l_quantity AS INT) AS n, l_linestatus AS flag FROM {lineitem}""",
     "clause_tokens": f"""SELECT doc_id, line, CAST(line * 5 + j AS INT) AS tok_idx,
-        CASE j WHEN 0 THEN {sign('京东华为小米联想腾讯', 'part % 5', 2)} WHEN 1 THEN CASE WHEN n > 40 THEN '集团' ELSE '生产' END WHEN 2 THEN {sign('该他我此的', 'supp % 5')} WHEN 3 THEN {sign('公司产品钢材设备', 'part % 4', 2)} ELSE CASE WHEN n < 8 THEN '系统' ELSE '，，' END END AS text,
+        CASE j WHEN 0 THEN {sign('京东华为小米联想腾讯', 'part % 5', 2)} WHEN 1 THEN CASE WHEN n > 40 THEN '集团' WHEN n % 13 = 0 THEN '对于' ELSE '生产' END WHEN 2 THEN {sign('该他我此的', 'supp % 5')} WHEN 3 THEN {sign('公司产品钢材设备', 'part % 4', 2)} ELSE CASE WHEN n < 8 THEN '系统' ELSE '，，' END END AS text,
         CASE j WHEN 0 THEN CASE WHEN supp % 4 = 0 THEN 'VV' ELSE 'NR' END WHEN 1 THEN CASE WHEN n > 40 THEN 'NN' ELSE 'VV' END WHEN 2 THEN CASE WHEN supp % 5 IN (1, 2) THEN 'PN' ELSE 'DT' END WHEN 3 THEN 'NN' ELSE CASE WHEN n < 8 THEN 'NN' ELSE 'PU' END END AS pos,
         CAST(line * 9 + CASE j WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 5 ELSE 7 END AS INT) AS start, CAST(line * 9 + CASE j WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 5 WHEN 3 THEN 7 ELSE 9 END AS INT) AS "end"
         FROM ({{order_lines}}) AS o JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) AS v(j)) AS k ON k.j >= 0""",
-    "clause_entities": """SELECT doc_id, CASE WHEN tok_idx % 2 = 0 THEN 'PERSON_' ELSE 'ORG_' END || CAST(tok_idx AS STRING) AS entity_id, text, start, "end" FROM ({clause_tokens}) AS t WHERE tok_idx % 5 = 0 AND (start + line) % 3 = 0
-        UNION ALL SELECT doc_id, 'ORG_c' || CAST(tok_idx AS STRING) AS entity_id, text || '公司' AS text, start, CAST("end" + 2 AS INT) AS "end" FROM ({clause_tokens}) AS t WHERE text = '此' AND tok_idx % 3 = 0""",
+    "clause_entities": """SELECT doc_id, CASE WHEN tok_idx % 2 = 0 THEN 'PERSON_' ELSE 'ORG_' END || CAST(tok_idx AS STRING) AS entity_id, text, CASE WHEN tok_idx % 2 = 0 THEN 'PERSON' ELSE 'ORGANIZATION' END AS category, start, "end" FROM ({clause_tokens}) AS t WHERE tok_idx % 5 = 0 AND (start + line) % 3 = 0
+        UNION ALL SELECT doc_id, 'ORG_c' || CAST(tok_idx AS STRING) AS entity_id, text || '公司' AS text, 'ORGANIZATION' AS category, start, CAST("end" + 2 AS INT) AS "end" FROM ({clause_tokens}) AS t WHERE text = '此' AND tok_idx % 3 = 0""",
+    # a clause is a sentence; its verb hangs on the verb of the clause before it
+    "clause_sentences": """SELECT doc_id, line AS sent_idx, CAST(line * 9 AS INT) AS start, CAST(line * 9 + 9 AS INT) AS "end", text, CASE WHEN n % 11 = 0 THEN 'interrogative' ELSE 'declarative' END AS sentence_type FROM (
+        SELECT o.doc_id, o.line, o.n, a.text || b.text || c.text || d.text || e.text AS text FROM ({order_lines}) AS o
+        JOIN ({clause_tokens}) AS a ON a.doc_id = o.doc_id AND a.tok_idx = o.line * 5 JOIN ({clause_tokens}) AS b ON b.doc_id = o.doc_id AND b.tok_idx = o.line * 5 + 1 JOIN ({clause_tokens}) AS c ON c.doc_id = o.doc_id AND c.tok_idx = o.line * 5 + 2
+        JOIN ({clause_tokens}) AS d ON d.doc_id = o.doc_id AND d.tok_idx = o.line * 5 + 3 JOIN ({clause_tokens}) AS e ON e.doc_id = o.doc_id AND e.tok_idx = o.line * 5 + 4) AS s""",
+    "clause_deps": """SELECT t.doc_id, t.tok_idx AS child, CAST(CASE t.tok_idx % 5 WHEN 0 THEN t.tok_idx + 1 WHEN 1 THEN CASE WHEN t.line = 0 THEN -1 ELSE t.tok_idx - 5 END WHEN 2 THEN t.tok_idx + 1 WHEN 3 THEN CASE WHEN o.part % 2 = 0 THEN t.tok_idx + 1 ELSE t.tok_idx - 2 END ELSE t.tok_idx - 4 END AS INT) AS head,
+        CASE t.tok_idx % 5 WHEN 0 THEN 'nsubj' WHEN 1 THEN CASE WHEN t.line = 0 THEN 'root' ELSE 'conj' END WHEN 2 THEN 'det' WHEN 3 THEN CASE WHEN o.part % 2 = 0 THEN 'nn' ELSE 'dobj' END ELSE CASE WHEN t.pos = 'NN' THEN 'nn' ELSE 'punct' END END AS rel
+        FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line""",
+    "clause_frames": """SELECT t.doc_id, t.line AS frame_idx, t.text, CASE t.tok_idx % 5 WHEN 0 THEN 'ARG0' WHEN 1 THEN 'PRED' WHEN 3 THEN CASE WHEN o.supp % 7 = 0 THEN 'ARGM-TMP' ELSE 'ARG1' END ELSE CASE WHEN o.supp % 2 = 0 THEN 'ARGM-LOC' ELSE 'ARGM-TMP' END END AS role, t.tok_idx AS start, CAST(t.tok_idx + 1 AS INT) AS "end"
+        FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line WHERE t.tok_idx % 5 <> 2 AND o.part % 3 <> 0""",
+    "clause_claims": """SELECT t.doc_id, 'rel_' || CAST(t.line AS STRING) AS rel_id, t.line AS sentence_index, t.text AS subject, CASE o.supp % 4 WHEN 0 THEN 'LOCATED_AT' WHEN 1 THEN 'RELATES_TO' ELSE 'CAUSES' END AS predicate, v.text AS predicate_verb, b.text AS object, t.start, t."end" FROM ({clause_tokens}) AS t
+        JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line JOIN ({clause_tokens}) AS v ON v.doc_id = t.doc_id AND v.tok_idx = t.tok_idx + 1 JOIN ({clause_tokens}) AS b ON b.doc_id = t.doc_id AND b.tok_idx = t.tok_idx + 3 WHERE t.tok_idx % 5 = 0 AND o.n % 3 = 0""",
 }
-GIVEN_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def told(name: str) -> str:
-    """The SQL of a derived table over tables of the given names."""
-    return re.sub(r"\{(\w+)\}", lambda m: told(m[1]) if m[1] in TABLES else m[1], TABLES[name])
+def told(name: str, given: str = "{0}") -> str:
+    """The SQL of a derived table; ``given`` is how a given table is written."""
+    return re.sub(r"\{(\w+)\}", lambda m: told(m[1], given) if m[1] in TABLES else given.format(m[1]), TABLES[name])
 
 
 def with_tables(*names: str) -> str:
@@ -63,7 +74,5 @@ def with_tables(*names: str) -> str:
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table of Spark."""
-    sql = told(name)
-    used = [t for t in GIVEN_TABLES if re.search(rf"\b{t}\b", sql)]
-    sql = re.sub(r"\b(" + "|".join(used) + r")\b", r"{\1}", sql).replace('"end"', "`end`")
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    sql = told(name, "{{{0}}}").replace('"end"', "`end`")
+    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", sql))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom import derived
-from textloom.operators import classical, mentions
+from textloom.operators import classical, frame_events, mentions, relations
 from textloom.queries import query
 
 
@@ -108,3 +108,117 @@ def chain_members(spark, sf_dir):
 def mention_chains(spark, sf_dir):
     found = mentions.mentions(derived.frame(spark, sf_dir, "clause_entities"), derived.frame(spark, sf_dir, "clause_tokens"))
     return mentions.chains(found)
+
+
+STOPS = ", ".join(map(quoted, relations.STOP_TRIGGERS))
+ROLES = "CASE role WHEN 'ARG0' THEN 'Agent' WHEN 'ARG1' THEN 'Patient' " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in frame_events.FRAME_ROLES.items()) + " END"
+LINKED = """(SELECT e.entity_id FROM named e WHERE e.doc_id = a.doc_id AND (contains(e.text, a.text) OR contains(a.text, e.text))
+  ORDER BY e.text = a.text DESC, contains(e.text, a.text) DESC, CASE WHEN contains(e.text, a.text) THEN 0 ELSE -length(e.text) END, e.place LIMIT 1)"""
+SURE = """CAST(round(greatest(0, least(1, 0.70 + CASE WHEN any_value(is_root) THEN 0.15 ELSE 0 END + CASE WHEN bool_or(role = 'Agent') THEN 0.10 ELSE 0 END + CASE WHEN bool_or(role <> 'Agent') THEN 0.10 ELSE 0 END
+  - CASE WHEN max(CASE WHEN role <> 'Agent' THEN length(text) END) > 15 THEN 0.15 ELSE 0 END - CASE WHEN bool_or(role <> 'Agent' AND regexp_matches(text, '[。！？]')) THEN 0.20 ELSE 0 END - 0.10)), 6) AS DOUBLE)"""
+EVENTS = f"""{derived.with_tables("clause_tokens", "clause_entities", "clause_sentences", "clause_deps", "clause_frames", "clause_claims")},
+named AS (SELECT doc_id, text, min(struct_pack(s := start, e := "end", i := entity_id)) AS place, max(struct_pack(s := start, e := "end", i := entity_id)).i AS entity_id FROM clause_entities GROUP BY doc_id, text),
+texts AS (SELECT doc_id, string_agg(text, '' ORDER BY sent_idx) AS whole FROM clause_sentences GROUP BY doc_id),
+told AS (SELECT DISTINCT c.doc_id, sentence_index, predicate_verb AS trigger, subject FROM clause_claims c JOIN clause_sentences s ON s.doc_id = c.doc_id AND s.sent_idx = c.sentence_index WHERE sentence_type <> 'interrogative' AND predicate_verb NOT IN ({STOPS}) AND subject <> object),
+before AS (SELECT doc_id, count(*) AS n FROM told GROUP BY doc_id),
+content AS (SELECT doc_id, frame_idx, arg_min(text, start) FILTER (role = 'PRED') AS trigger, min(start) AS place, arg_min(text, start) AS first_text FROM clause_frames GROUP BY doc_id, frame_idx HAVING bool_or(role = 'ARG0') AND bool_or(role = 'ARG1' OR role LIKE 'ARGM-%')),
+in_sentence AS (SELECT c.*, coalesce((SELECT min(sent_idx) FROM clause_sentences s WHERE s.doc_id = c.doc_id AND s.start <= c.place AND c.place < s."end"), (SELECT min(sent_idx) FROM clause_sentences s WHERE s.doc_id = c.doc_id AND contains(s.text, c.first_text)), -1) AS sentence_index FROM content c WHERE trigger NOT IN ({STOPS})),
+occurs AS (SELECT f.doc_id, f.frame_idx, f.start AS seq, {ROLES} AS role, f.text, unnest(list_filter(range(0, length(whole)), lambda i: substr(whole, i + 1, length(f.text)) = f.text)) AS spot, (f.start + f."end") / 2.0 AS centre FROM clause_frames f JOIN texts USING (doc_id)),
+places AS (SELECT * FROM occurs WHERE role IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, frame_idx, seq ORDER BY abs(spot + length(text) / 2.0 - centre), spot) = 1),
+args AS (SELECT doc_id, frame_idx, seq, role, text, CAST(spot AS INTEGER) AS start, CAST(spot + length(text) AS INTEGER) AS "end" FROM places QUALIFY role IN ('Agent', 'Patient') OR row_number() OVER (PARTITION BY doc_id, frame_idx, role, text ORDER BY seq) = 1)"""
+FRAMED = EVENTS + """, fresh AS (SELECT i.*, row_number() OVER (PARTITION BY i.doc_id ORDER BY i.sentence_index, i.trigger, i.frame_idx) + coalesce(before.n, 0) AS nth FROM in_sentence i LEFT JOIN before USING (doc_id)
+  WHERE NOT EXISTS (SELECT 1 FROM told t WHERE t.doc_id = i.doc_id AND t.sentence_index = i.sentence_index AND t.trigger = i.trigger) AND NOT EXISTS (SELECT 1 FROM clause_sentences s WHERE s.doc_id = i.doc_id AND s.sent_idx = i.sentence_index AND s.sentence_type = 'interrogative')
+    AND EXISTS (SELECT 1 FROM args a WHERE a.doc_id = i.doc_id AND a.frame_idx = i.frame_idx)),
+members AS (SELECT f.doc_id, 'evt_' || lpad(CAST(nth AS VARCHAR), 3, '0') AS event_id, sentence_index, trigger, FALSE AS is_root, a.seq, a.role, a.text, a.start, a."end" FROM fresh f JOIN args a USING (doc_id, frame_idx))"""
+WORDS_OF = """sv AS (SELECT d.doc_id, d.child AS verb, d.head AS joined_to, t.text AS trigger, t.start, t."end", s.sent_idx AS sentence_index FROM clause_deps d JOIN clause_tokens t ON t.doc_id = d.doc_id AND t.tok_idx = d.child JOIN clause_sentences s ON s.doc_id = d.doc_id AND s.start <= t.start AND t.start < s."end"
+  WHERE d.rel = 'conj' AND s.sentence_type <> 'interrogative' AND t.text NOT IN ({stops}) AND NOT EXISTS (SELECT 1 FROM told x WHERE x.doc_id = d.doc_id AND x.sentence_index = s.sent_idx AND x.trigger = t.text)),
+hung AS (SELECT d.doc_id, d.child, d.head, d.rel, t.text, t.pos, t.start, t."end" FROM clause_deps d JOIN clause_tokens t ON t.doc_id = d.doc_id AND t.tok_idx = d.child),
+res AS (SELECT sv.doc_id, verb, h.child AS seq, 'Result' AS role, h.text, h.start, h."end" FROM sv JOIN hung h ON h.doc_id = sv.doc_id AND h.head = verb AND h.rel IN ('ccomp', 'dobj', 'iobj')),
+l0 AS (SELECT sv.doc_id, verb, sv.start AS spot, h.child AS subject, h.* EXCLUDE (doc_id) FROM sv JOIN hung h ON h.doc_id = sv.doc_id AND h.head = joined_to AND h.rel = 'nsubj' AND h.pos IN ('NN', 'NR', 'NT')),
+l1 AS (SELECT l0.doc_id, verb, spot, subject, h.* EXCLUDE (doc_id) FROM l0 JOIN hung h ON h.doc_id = l0.doc_id AND h.head = l0.child AND h.rel = 'nn' AND h.pos IN ('NN', 'NR', 'NT')),
+l2 AS (SELECT l1.doc_id, verb, spot, subject, h.* EXCLUDE (doc_id) FROM l1 JOIN hung h ON h.doc_id = l1.doc_id AND h.head = l1.child AND h.rel = 'nn' AND h.pos IN ('NN', 'NR', 'NT')),
+grp AS (SELECT doc_id, verb, subject, min(abs(start - spot)) AS far, count(*) AS n, string_agg(text, '' ORDER BY start) AS text, min(start) AS start, arg_max("end", start) AS "end" FROM (SELECT * FROM l0 UNION SELECT * FROM l1 UNION SELECT * FROM l2) GROUP BY doc_id, verb, subject),
+agent AS (SELECT doc_id, verb, 2147483647 AS seq, 'Agent' AS role, text, start, "end" FROM grp QUALIFY row_number() OVER (PARTITION BY doc_id, verb ORDER BY far, n DESC, subject) = 1),
+both_kinds AS (SELECT * FROM res UNION ALL SELECT * FROM agent),
+made AS (SELECT sv.*, 'evt_' || lpad(CAST(row_number() OVER (PARTITION BY sv.doc_id ORDER BY verb) + coalesce(before.n, 0) AS VARCHAR), 3, '0') AS event_id, EXISTS (SELECT 1 FROM hung h WHERE h.doc_id = sv.doc_id AND h.head = -1 AND h.text = sv.trigger) AS is_root FROM sv LEFT JOIN before USING (doc_id) WHERE EXISTS (SELECT 1 FROM both_kinds b WHERE b.doc_id = sv.doc_id AND b.verb = sv.verb)),
+members AS (SELECT m.doc_id, event_id, sentence_index, trigger, m.start AS t_start, m."end" AS t_end, is_root, a.seq, a.role, a.text, a.start, a."end" FROM made m JOIN both_kinds a USING (doc_id, verb))""".replace("{stops}", STOPS)
+ARCS = f"{EVENTS}, {WORDS_OF}"
+ARGUMENTS = f""" SELECT a.doc_id, a.event_id, CAST(a.seq AS INTEGER) AS seq, a.role, a.text, a.start, a."end", {LINKED} AS entity_id FROM members a"""
+
+
+def clause_tables(spark, sf_dir):
+    names = ("clause_tokens", "clause_entities", "clause_sentences", "clause_deps", "clause_frames", "clause_claims")
+    tables = {n: derived.frame(spark, sf_dir, n) for n in names}
+    sentences = tables["clause_sentences"]
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "text"))), lambda s: s["text"]), "")
+    texts = sentences.groupBy("doc_id").agg(whole.alias("text"))
+    claims = tables["clause_claims"].join(sentences.select("doc_id", F.col("sent_idx").alias("sentence_index"), "sentence_type"), ["doc_id", "sentence_index"])
+    return tables, texts, relations.events(claims)
+
+
+def by_frames(spark, sf_dir):
+    t, texts, events = clause_tables(spark, sf_dir)
+    return frame_events.from_frames(t["clause_frames"], texts, t["clause_sentences"], t["clause_entities"], events)
+
+
+def by_arcs(spark, sf_dir):
+    t, _, events = clause_tables(spark, sf_dir)
+    return frame_events.from_arcs(t["clause_deps"], t["clause_tokens"], t["clause_sentences"], t["clause_entities"], events)
+
+
+@query(f"""{FRAMED} SELECT doc_id, event_id, sentence_index, trigger, CAST(instr(whole, trigger) - 1 AS INTEGER) AS start, CAST(instr(whole, trigger) - 1 + length(trigger) AS INTEGER) AS "end", 'srl_only' AS source, confidence
+  FROM (SELECT doc_id, event_id, sentence_index, trigger, {SURE} AS confidence FROM members GROUP BY doc_id, event_id, sentence_index, trigger) JOIN texts USING (doc_id)""")
+def events_by_frames(spark, sf_dir):
+    return by_frames(spark, sf_dir)[0]
+
+
+@query(FRAMED + ARGUMENTS.replace("CAST(a.seq AS INTEGER) AS seq", "CAST(row_number() OVER (PARTITION BY a.doc_id, a.event_id ORDER BY a.seq) AS INTEGER) AS seq"))
+def arguments_by_frames(spark, sf_dir):
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("doc_id", "event_id").orderBy("seq"))
+    return by_frames(spark, sf_dir)[1].withColumn("seq", nth)
+
+
+@query(f"""{ARCS} SELECT doc_id, event_id, sentence_index, trigger, t_start AS start, t_end AS "end", 'dep_only' AS source, {SURE} AS confidence FROM members GROUP BY doc_id, event_id, sentence_index, trigger, t_start, t_end""")
+def events_by_arcs(spark, sf_dir):
+    return by_arcs(spark, sf_dir)[0]
+
+
+@query(ARCS + ARGUMENTS)
+def arguments_by_arcs(spark, sf_dir):
+    return by_arcs(spark, sf_dir)[1]
+
+
+ENRICHED = EVENTS + f""", ids AS (SELECT *, 'evt_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sentence_index, trigger, subject) AS VARCHAR), 3, '0') AS event_id, round(0.7 + (sentence_index % 3) * 0.1, 6) AS base FROM told),
+given AS (SELECT i.doc_id, i.event_id, 1 AS seq, 'Agent' AS role, i.subject AS text, c.start, c."end" FROM ids i JOIN clause_claims c ON c.doc_id = i.doc_id AND c.sentence_index = i.sentence_index AND c.subject = i.subject AND c.predicate_verb = i.trigger
+  UNION ALL SELECT i.doc_id, i.event_id, 2, CASE WHEN predicate = 'LOCATED_AT' THEN 'Location' ELSE 'Patient' END, object, c.start + 5, c.start + 7 FROM ids i JOIN clause_claims c ON c.doc_id = i.doc_id AND c.sentence_index = i.sentence_index AND c.subject = i.subject AND c.predicate_verb = i.trigger),
+own AS (SELECT i.doc_id, i.event_id, f.frame_idx FROM ids i JOIN in_sentence f USING (doc_id, sentence_index, trigger)),
+fresh AS (SELECT o.doc_id, o.event_id, a.frame_idx, a.seq, a.role, a.text, a.start, a."end" FROM own o JOIN args a USING (doc_id, frame_idx) WHERE a.role NOT IN ('Agent', 'Patient') AND NOT EXISTS (SELECT 1 FROM given g WHERE g.doc_id = o.doc_id AND g.event_id = o.event_id AND g.role = a.role AND g.text = a.text)
+  QUALIFY row_number() OVER (PARTITION BY o.doc_id, o.event_id, a.role, a.text ORDER BY a.frame_idx, a.seq) = 1),
+added AS (SELECT *, 2 + row_number() OVER (PARTITION BY doc_id, event_id ORDER BY frame_idx, seq) AS nth FROM fresh),
+every AS (SELECT doc_id, event_id, role, text, -1 AS frame_idx, -1 AS seq FROM given UNION ALL SELECT doc_id, event_id, role, text, frame_idx, seq FROM added),
+confirmed AS (SELECT DISTINCT o.doc_id, o.event_id FROM own o JOIN clause_frames f USING (doc_id, frame_idx) JOIN every e ON e.doc_id = o.doc_id AND e.event_id = o.event_id AND (e.frame_idx, e.seq) < (f.frame_idx, f.start) AND (contains(e.text, f.text) OR contains(f.text, e.text))
+  WHERE (f.role = 'ARG0' AND e.role = 'Agent') OR (f.role = 'ARG1' AND e.role <> 'Agent'))"""
+
+
+def enriched_events(spark, sf_dir):
+    t, texts, events = clause_tables(spark, sf_dir)
+    events = events.withColumn("confidence", F.round(F.lit(0.7) + (F.col("sentence_index") % 3) * 0.1, 6))
+    claims = t["clause_claims"].select("doc_id", "sentence_index", F.col("predicate_verb").alias("trigger"), F.col("subject").alias("agent"), "object", "predicate", "start", "end")
+    both = events.select("doc_id", "event_id", "sentence_index", "trigger", "agent").join(claims, ["doc_id", "sentence_index", "trigger", "agent"])
+    agents = both.select("doc_id", "event_id", F.lit(1).alias("seq"), F.lit("Agent").alias("role"), F.col("agent").alias("text"), "start", "end")
+    objects = both.select("doc_id", "event_id", F.lit(2).alias("seq"), F.when(F.col("predicate") == "LOCATED_AT", "Location").otherwise("Patient").alias("role"), F.col("object").alias("text"), (F.col("start") + 5).alias("start"), (F.col("start") + 7).alias("end"))
+    return frame_events.enriched(events, agents.unionByName(objects), t["clause_frames"], texts, t["clause_sentences"], t["clause_entities"])
+
+
+@query(ENRICHED + """ SELECT i.doc_id, event_id, trigger, CAST(round(CASE WHEN (i.doc_id, event_id) IN (SELECT (doc_id, event_id) FROM confirmed) THEN least(1.0, base + 0.1) ELSE base END, 6) AS DOUBLE) AS confidence,
+  CASE WHEN (i.doc_id, event_id) IN (SELECT (doc_id, event_id) FROM own) THEN 'srl+relation_cluster' ELSE 'relation_cluster' END AS source FROM ids i""")
+def events_with_frames(spark, sf_dir):
+    return enriched_events(spark, sf_dir)[0].select("doc_id", "event_id", "trigger", "confidence", "source")
+
+
+@query(ENRICHED + """ SELECT doc_id, event_id, CAST(seq AS INTEGER) AS seq, role, text, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end" FROM given
+  UNION ALL SELECT doc_id, event_id, CAST(nth AS INTEGER), role, text, start, "end" FROM added""")
+def arguments_with_frames(spark, sf_dir):
+    return enriched_events(spark, sf_dir)[1].select("doc_id", "event_id", F.col("seq").cast("int"), "role", "text", F.col("start").cast("int"), F.col("end").cast("int"))
