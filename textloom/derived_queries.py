@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom import derived
-from textloom.operators import classical, frame_events, mentions, relations
-from textloom.queries import query
+from textloom.operators import classical, frame_events, gazetteer, mentions, relations
+from textloom.queries import docs, query, table
 
 
 def quoted(v) -> str:
@@ -222,3 +222,40 @@ def events_with_frames(spark, sf_dir):
   UNION ALL SELECT doc_id, event_id, CAST(nth AS INTEGER), role, text, start, "end" FROM added""")
 def arguments_with_frames(spark, sf_dir):
     return enriched_events(spark, sf_dir)[1].select("doc_id", "event_id", F.col("seq").cast("int"), "role", "text", F.col("start").cast("int"), F.col("end").cast("int"))
+
+
+GAZETTEER = r"""WITH RECURSIVE dict AS (SELECT DISTINCT w AS keyword, length(w) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{7,}')) AS w FROM conversations)),
+lengths AS (SELECT DISTINCT n FROM dict), heads AS (SELECT DISTINCT substr(keyword, 1, 7) AS head FROM dict),
+places AS (SELECT doc_id, i, substr(text, i, 64) AS rest FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents)),
+tried AS (SELECT doc_id, i, rest FROM places WHERE substr(rest, 1, 7) IN (SELECT head FROM heads)),
+found AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS start, CAST(i - 1 + lengths.n AS INTEGER) AS "end", keyword AS text FROM tried, lengths JOIN dict ON dict.n = lengths.n AND dict.keyword = substr(rest, 1, lengths.n)),
+best AS (SELECT doc_id, start, max("end") AS "end" FROM found GROUP BY doc_id, start),
+walked AS (SELECT doc_id, min(struct_pack(s := start, e := "end")) AS m FROM best GROUP BY doc_id
+  UNION ALL SELECT b.doc_id, min(struct_pack(s := b.start, e := b."end")) FROM walked w JOIN best b ON b.doc_id = w.doc_id AND b.start >= w.m.e GROUP BY b.doc_id)"""
+
+
+def names_in_talk(spark, sf_dir):
+    """A dictionary of the words of seven letters and more of the conversations, each with its length as value."""
+    w = F.explode(F.regexp_extract_all("text", F.lit("[a-z]{7,}"), F.lit(0))).alias("keyword")
+    return table(spark, sf_dir, "conversations").select(w).distinct().withColumn("value", F.length("keyword"))
+
+
+@query(GAZETTEER + """ SELECT doc_id, start, "end", text, CAST(length(text) AS INTEGER) AS value FROM found""")
+def gazetteer_matches(spark, sf_dir):
+    return gazetteer.matches(docs(spark, sf_dir), names_in_talk(spark, sf_dir))
+
+
+@query(GAZETTEER + """ SELECT doc_id, m.s AS start, m.e AS "end" FROM walked""")
+def gazetteer_longest(spark, sf_dir):
+    found = gazetteer.matches(docs(spark, sf_dir), names_in_talk(spark, sf_dir))
+    return gazetteer.leftmost_longest(found).select("doc_id", "start", "end")
+
+
+@query(GAZETTEER + """, ms AS (SELECT doc_id, list(m ORDER BY m.s) AS ms FROM walked GROUP BY doc_id), spans AS (SELECT d.doc_id, d.text, coalesce(ms, []) AS ms FROM documents d LEFT JOIN ms USING (doc_id) WHERE length(d.text) > 0),
+cuts AS (SELECT doc_id, text, list_sort(list_distinct([0, length(text)] || list_transform(ms, lambda x: x.s::BIGINT) || list_transform(ms, lambda x: x.e::BIGINT))) AS c, list_transform(ms, lambda x: x.s::BIGINT) AS starts FROM spans)
+SELECT doc_id, CAST(len(c) - 1 AS BIGINT) AS pieces, CAST(len(starts) AS BIGINT) AS known, md5(array_to_string(list_transform(range(1, len(c)), lambda i: substr(text, c[i] + 1, c[i + 1] - c[i])), '|')) AS digest FROM cuts""")
+def gazetteer_pieces(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    taken = gazetteer.leftmost_longest(gazetteer.matches(rows, names_in_talk(spark, sf_dir)))
+    pieces = gazetteer.split(rows, taken).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("p"), F.count(F.lit(1)).alias("pieces"), F.count_if("known").alias("known"))
+    return pieces.select("doc_id", "pieces", "known", F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "|")).alias("digest"))
