@@ -221,3 +221,20 @@ def test_streams(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("busy").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("busy").count() == busy_windows(events, length="1 hour", least=3).count()
+
+
+def test_touching_entities_merge_only_as_they_should(spark):
+    schema = "doc_id int, entity_id string, text string, category string, start int, end int, source string, confidence double"
+    rows = [
+        (1, "a", "北京", "LOCATION", 0, 2, "ner", 0.9), (1, "b", "立方庭", "LOCATION", 2, 5, "kw", 0.5), (1, "c", "海淀区", "LOCATION", 6, 9, "ner", 0.8), (1, "d", "中关村", "LOCATION", 9, 12, "ner", 0.8),
+        (2, "a", "北京大学", "ORGANIZATION", 0, 4, "ner", 0.9), (2, "b", "北京", "ORGANIZATION", 0, 2, "ner", 0.9), (3, "a", "北京", "LOCATION", 0, 2, "ner", 0.9), (3, "b", "京大", "LOCATION", 1, 3, "ner", 0.9),
+        (4, "a", "A/B", "PRODUCT", 0, 3, "ner", 0.9), (4, "b", "C", "PRODUCT", 3, 4, "ner", 0.9), (5, "a", "碳", "MATERIAL", 0, 1, "ner", 0.9), (5, "b", "钢", "LOCATION", 1, 2, "ner", 0.9),
+    ]
+    e = spark.createDataFrame(rows, schema)
+    by_place = {(r["doc_id"], r["entity_id"]): (r["text"], r["start"], r["end"], r["confidence"], r["source"], r["parts"]) for r in entities.merge_touching(e).collect()}
+    assert by_place[(1, "a")] == ("北京立方庭", 0, 5, 0.5, "ner", 2) and by_place[(1, "c")][0] == "海淀区中关村"
+    assert sorted(k for k in by_place if k[0] > 1) == [(2, "a"), (2, "b"), (3, "a"), (3, "b"), (4, "a"), (4, "b"), (5, "a"), (5, "b")]
+    tokens = spark.createDataFrame([(1, i, a, b) for i, (a, b) in enumerate([(0, 2), (2, 5), (5, 6), (6, 9), (9, 12)])], "doc_id int, tok_idx int, start int, end int")
+    deps = spark.createDataFrame([(1, 1, 0, "NN"), (1, 4, 2, "nn"), (1, 3, 4, "nn")], "doc_id int, child int, head int, rel string")
+    by_arc = {r["entity_id"]: r["text"] for r in entities.merge_touching(e.where("doc_id = 1"), deps, tokens).collect()}
+    assert by_arc == {"a": "北京立方庭", "c": "海淀区", "d": "中关村"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom import derived
 from textloom import fixtures as fx
 from textloom.functions import text
 from textloom.operators import annotations, decoding, dictionaries, metrics, modifiers
@@ -12,9 +13,9 @@ from textloom.queries import docs, query, table
 WORDS = r"regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')"
 
 
-@query(fx.with_values("entities", "tokens") + """ SELECT e.doc_id, e.entity_id, CAST(min(tok_idx) AS INTEGER) AS tok_start, CAST(max(tok_idx) + 1 AS INTEGER) AS tok_end FROM entities e LEFT JOIN tokens t ON t.doc_id = e.doc_id AND t.start < e."end" AND t."end" > e.start GROUP BY ALL""")
+@query(derived.with_tables("entities", "tokens") + """ SELECT e.doc_id, e.entity_id, CAST(min(tok_idx) AS INTEGER) AS tok_start, CAST(max(tok_idx) + 1 AS INTEGER) AS tok_end FROM entities e LEFT JOIN tokens t ON t.doc_id = e.doc_id AND t.start < e."end" AND t."end" > e.start GROUP BY ALL""")
 def entity_token_spans(spark, sf_dir):
-    found = annotations.token_spans(fx.frame(spark, "entities"), fx.frame(spark, "tokens"))
+    found = annotations.token_spans(derived.frame(spark, sf_dir, "entities"), derived.frame(spark, sf_dir, "tokens"))
     return found.select("doc_id", "entity_id", F.col("tok_start").cast("int"), F.col("tok_end").cast("int"))
 
 
@@ -34,20 +35,27 @@ NAMES = {"清华大学": "ORGANIZATION", "社会": "UNKNOWN", "海淀区": "LOCA
 
 
 def as_values(rows) -> str:
+    """Numbered values of SQL."""
     quote = lambda v: "NULL" if v is None else f"'{v}'"
-    return ", ".join(f"({quote(a)}, {quote(b)})" for a, b in rows)
+    return ", ".join(f"({i}, {quote(a)}, {quote(b)})" for i, (a, b) in enumerate(rows))
 
 
-@query(f"SELECT tag, category FROM (VALUES {as_values(zip(TAGS, CATEGORIES, strict=True))}) t(tag, category)")
+def picked(spark, sf_dir, values):
+    """One of the values for each line of an order, by its part."""
+    which = F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("part") % len(values) + 1).cast("int"))
+    return derived.frame(spark, sf_dir, "order_lines").select("doc_id", "line", which.alias("said"))
+
+
+@query(f"{derived.with_tables('order_lines')}, t(i, said, category) AS (VALUES {as_values(zip(TAGS, CATEGORIES, strict=True))}) SELECT doc_id, line, said, category FROM order_lines JOIN t ON i = part % {len(TAGS)}")
 def xpos_categories(spark, sf_dir):
-    """Against categories worked out by hand."""
-    return spark.createDataFrame([(t,) for t in TAGS], "tag string").select("tag", annotations.xpos_category(F.col("tag")).alias("category"))
+    """Against categories worked out by hand, a tag for each line of an order."""
+    return picked(spark, sf_dir, TAGS).withColumn("category", annotations.xpos_category(F.col("said")))
 
 
-@query(f"SELECT name, category FROM (VALUES {as_values(NAMES.items())}) t(name, category)")
+@query(f"{derived.with_tables('order_lines')}, t(i, said, category) AS (VALUES {as_values(NAMES.items())}) SELECT doc_id, line, said, category FROM order_lines JOIN t ON i = part % {len(NAMES)}")
 def suffix_categories(spark, sf_dir):
-    """Against categories worked out by hand."""
-    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", annotations.suffix_category(F.col("name")).alias("category"))
+    """Against categories worked out by hand, a name for each line of an order."""
+    return picked(spark, sf_dir, list(NAMES)).withColumn("category", annotations.suffix_category(F.col("said")))
 
 
 @query(

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom import fixtures
+
 SURNAMES, GIVEN, STYLE = "陈吴张李王赵孙周项刘", "胜广良斯翦高武勃梁邦", "涉叔房羽季仲伯元公子"
 PLACES, OFFICES = "阳城沛县下邳寿春霸上彭城会稽咸阳", "郎中将军丞相太守司马御史"
 
@@ -59,6 +61,50 @@ TABLES: dict[str, str] = {
         FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line WHERE t.tok_idx % 5 <> 2 AND o.part % 3 <> 0""",
     "clause_claims": """SELECT t.doc_id, 'rel_' || CAST(t.line AS STRING) AS rel_id, t.line AS sentence_index, t.text AS subject, CASE o.supp % 4 WHEN 0 THEN 'LOCATED_AT' WHEN 1 THEN 'RELATES_TO' ELSE 'CAUSES' END AS predicate, v.text AS predicate_verb, b.text AS object, t.start, t."end" FROM ({clause_tokens}) AS t
         JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line JOIN ({clause_tokens}) AS v ON v.doc_id = t.doc_id AND v.tok_idx = t.tok_idx + 1 JOIN ({clause_tokens}) AS b ON b.doc_id = t.doc_id AND b.tok_idx = t.tok_idx + 3 WHERE t.tok_idx % 5 = 0 AND o.n % 3 = 0""",
+    # names that touch: tokens of one category side by side, some joined by an arc from the second to the first
+    "touching": """SELECT t.doc_id, 'ent_' || lpad(CAST(t.tok_idx AS STRING), 3, '0') AS entity_id, t.text, CASE (o.part + t.line) % 3 WHEN 0 THEN 'LOCATION' ELSE 'ORGANIZATION' END AS category, t.start, t."end", CASE o.supp % 2 WHEN 0 THEN 'ner' ELSE 'keyword' END AS source, CAST((o.n % 10) / 10.0 AS DOUBLE) AS confidence
+        FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line WHERE t.tok_idx % 5 <> 2 AND (o.supp + t.tok_idx) % 6 <> 0""",
+    "touching_arcs": """SELECT t.doc_id, t.tok_idx AS child, CAST(CASE (o.supp + t.tok_idx) % 4 WHEN 3 THEN t.tok_idx - 2 ELSE t.tok_idx - 1 END AS INT) AS head, CASE (o.part + t.tok_idx) % 4 WHEN 0 THEN 'nn' WHEN 1 THEN 'compound' WHEN 2 THEN 'NMOD' ELSE 'dep' END AS rel
+        FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line""",
+    # annotations as recognizers give them: a line of an order is an entity, a claim, an argument or a tag, as its digits say
+    "entities": """SELECT doc_id, 'ent_' || lpad(CAST(line + 1 AS STRING), 3, '0') AS entity_id, text, category, CAST(line * 3 + supp % 3 AS INT) AS start, CAST(line * 3 + supp % 3 + length(text) AS INT) AS "end", source, confidence FROM (
+        SELECT doc_id, line, supp, CASE part % 6 WHEN 0 THEN '北京大学' WHEN 1 THEN '碳钢' WHEN 2 THEN CAST(n AS STRING) WHEN 3 THEN '4.3.' || CAST(n AS STRING) WHEN 4 THEN 'GB5015' || CAST(n AS STRING) ELSE '第' || CAST(n AS STRING) || '章' END AS text,
+        CASE part % 6 WHEN 0 THEN 'ORGANIZATION' WHEN 1 THEN 'MATERIAL' WHEN 2 THEN 'NUMBER' WHEN 3 THEN 'NUMBER' WHEN 4 THEN 'STANDARD' ELSE 'UNKNOWN' END AS category, CASE supp % 3 WHEN 0 THEN 'ner' WHEN 1 THEN 'discover' ELSE 'keyword' END AS source, CAST((n % 10) / 10.0 AS DOUBLE) AS confidence FROM ({order_lines}) AS o) AS made""",
+    "candidates": """SELECT doc_id, 'c' || CAST(line AS STRING) AS entity_id, text, category, CAST(floor(line / 2) * 4 AS INT) AS start, CAST(floor(line / 2) * 4 + length(text) AS INT) AS "end", source, confidence FROM (
+        SELECT doc_id, line, CASE supp % 3 WHEN 0 THEN '北京市' WHEN 1 THEN '北京' ELSE '北京市区' END AS text, CASE part % 3 WHEN 0 THEN 'LOCATION' WHEN 1 THEN 'ORGANIZATION' ELSE 'PERSON' END AS category, CASE line % 2 WHEN 0 THEN 'pku' ELSE 'msra' END AS source, CAST((n % 10) / 10.0 AS DOUBLE) AS confidence FROM ({order_lines}) AS o) AS c""",
+    "relations": """SELECT doc_id, 'rel_' || lpad(CAST(line + 1 AS STRING), 3, '0') AS rel_id, CAST(floor(line / 2) AS INT) AS sentence_index, CASE supp % 4 WHEN 0 THEN '张三和李四' WHEN 1 THEN '张三' WHEN 2 THEN 'x' ELSE '公司' END AS subject, CASE part % 2 WHEN 0 THEN 'RELATES_TO' ELSE 'HAS_PROPERTY' END AS predicate,
+        CASE n % 5 WHEN 0 THEN '是' WHEN 1 THEN '' WHEN 2 THEN '具有' ELSE '去' END AS predicate_verb, CASE part % 5 WHEN 0 THEN '高强度和高韧性' WHEN 1 THEN 'x' WHEN 2 THEN '北京' WHEN 3 THEN '硬度' ELSE '公司' END AS object FROM ({order_lines}) AS o""",
+    "frames": "SELECT * FROM ({clause_frames}) AS f",
+    "tokens": 'SELECT doc_id, tok_idx, text, pos, start, "end" FROM ({clause_tokens}) AS t',
+    "deps": "SELECT * FROM ({clause_deps}) AS d",
+    "events": """SELECT doc_id, 'evt_' || lpad(CAST(line + 1 AS STRING), 3, '0') AS event_id, CAST(floor(line / 2) AS INT) AS sentence_index, CASE part % 3 WHEN 0 THEN '发布' ELSE '去' END AS trigger, CAST(floor(line / 2) * 9 AS INT) AS start, CAST(floor(line / 2) * 9 + 2 AS INT) AS "end", CASE supp % 3 WHEN 0 THEN '公司' WHEN 1 THEN '张三' END AS agent,
+        CASE n % 3 WHEN 0 THEN '产品' WHEN 1 THEN '东西' END AS patient, supp % 3 <> 2 AS has_agent, part % 2 = 0 AS is_root, CASE part % 2 WHEN 0 THEN 'RELATES_TO' ELSE 'PRODUCES' END AS predicate, CASE supp % 2 WHEN 0 THEN 'create' END AS semantic_class FROM ({order_lines}) AS o""",
+    "arguments": """SELECT doc_id, 'evt_' || lpad(CAST(line + 1 AS STRING), 3, '0') AS event_id, role, text, disputed FROM (
+        SELECT doc_id, line, 'Agent' AS role, CASE supp % 3 WHEN 0 THEN '公司' WHEN 1 THEN '张三' END AS text, supp % 5 = 0 AS disputed FROM ({order_lines}) AS a UNION ALL
+        SELECT doc_id, line, 'Patient' AS role, CASE n % 4 WHEN 0 THEN '产品' WHEN 1 THEN '很长很长很长很长很长很长很长很长的东西。' WHEN 2 THEN '东西' END AS text, supp % 7 = 0 AS disputed FROM ({order_lines}) AS b) AS g WHERE text <> ''""",
+    "facts": """SELECT f.doc_id, f.entity_id AS subject_id, f.text AS subject, CASE o.part % 4 WHEN 0 THEN 'IS_A' WHEN 1 THEN 'LOCATED_AT' WHEN 2 THEN 'HAS_PROPERTY' ELSE 'PRODUCES' END AS predicate, CASE WHEN o.supp % 2 = 0 THEN g.entity_id END AS object_id, g.text AS object
+        FROM ({entities}) AS f JOIN ({order_lines}) AS o ON o.doc_id = f.doc_id AND f.entity_id = 'ent_' || lpad(CAST(o.line + 1 AS STRING), 3, '0') JOIN ({entities}) AS g ON g.doc_id = f.doc_id AND g.entity_id = 'ent_' || lpad(CAST(o.line + 2 AS STRING), 3, '0')""",
+    "named": """SELECT doc_id, 'ent_' || lpad(CAST(line + 1 AS STRING), 3, '0') AS entity_id, text, category, CAST(line * 9 AS INT) AS start, CAST(line * 9 + length(text) AS INT) AS "end" FROM (
+        SELECT doc_id, line, CASE part % 7 WHEN 0 THEN '北京大学' WHEN 1 THEN '北京' WHEN 2 THEN '张三' WHEN 3 THEN '2024年' WHEN 4 THEN '2024' WHEN 5 THEN '去年' ELSE '图书馆' END AS text, CASE part % 7 WHEN 0 THEN 'ORGANIZATION' WHEN 1 THEN 'LOCATION' WHEN 2 THEN 'PERSON' WHEN 6 THEN 'FACILITY' ELSE 'DATE' END AS category FROM ({order_lines}) AS o WHERE n % 10 <> 0) AS made""",
+    "sentence_places": """SELECT doc_id, line AS sent_idx, CAST(line * 9 AS INT) AS start, CAST(line * 9 + 8 AS INT) AS "end", CASE part % 3 WHEN 0 THEN '北京大学很好。' WHEN 1 THEN '他在图书馆读书。' ELSE '张三去年来了。' END AS text FROM ({order_lines}) AS o""",
+    "spoken": """SELECT doc_id, line AS arg_id, CASE supp % 7 WHEN 0 THEN '张三' WHEN 1 THEN '图书馆' WHEN 2 THEN '北京大学的学生' WHEN 3 THEN '大学' WHEN 4 THEN '无' WHEN 5 THEN '' END AS text, CAST(CASE n % 4 WHEN 0 THEN -1 WHEN 1 THEN line * 9 + 2 WHEN 2 THEN line * 9 + 8 END AS INT) AS start FROM ({order_lines}) AS o""",
+    "claims": """SELECT doc_id, 'r' || CAST(line AS STRING) AS rel_id, subject, subject AS subject_raw, CASE n % 4 WHEN 0 THEN 'HAS_STYLE_NAME' WHEN 1 THEN 'KNOWS' ELSE 'RELATES_TO' END AS predicate, CASE n % 5 WHEN 0 THEN '至' WHEN 1 THEN '识' WHEN 2 THEN '是' WHEN 3 THEN '有' ELSE '读' END AS predicate_verb, object, object AS object_raw,
+        CASE n % 3 WHEN 0 THEN 'classical_pattern/zi' ELSE 'srl/x' END AS source FROM (SELECT doc_id, line, n, CASE supp % 7 WHEN 0 THEN '张三' WHEN 1 THEN '该校' WHEN 2 THEN '他的' WHEN 3 THEN '之' WHEN 4 THEN '北京' WHEN 5 THEN '北京大学' ELSE '大学' END AS subject,
+        CASE part % 6 WHEN 0 THEN '北京' WHEN 1 THEN '图书馆的书' WHEN 2 THEN '无' WHEN 3 THEN '张三' WHEN 4 THEN '北京大学' ELSE '之' END AS object FROM ({order_lines}) AS o) AS c""",
+    "mentions": """SELECT doc_id, CAST(floor(line / 2) AS INT) AS chain_id, CASE part % 5 WHEN 0 THEN '该校' WHEN 1 THEN '他' WHEN 2 THEN '他的' WHEN 3 THEN '北京' ELSE '大学' END AS text, CASE floor(line / 2) % 3 WHEN 0 THEN '该大学' WHEN 1 THEN '张三' ELSE '北京大学' END AS representative FROM ({order_lines}) AS o""",
+    "triggers": """SELECT doc_id, 'e' || CAST(line AS STRING) AS event_id, CAST(CASE WHEN n % 7 = 0 THEN -1 ELSE line END AS INT) AS sentence_index, CAST(line * 9 + supp % 6 AS INT) AS start, CAST(line * 9 + supp % 6 + 2 AS INT) AS "end" FROM ({order_lines}) AS o""",
+    "trigger_arguments": """SELECT doc_id, 'e' || CAST(line AS STRING) AS event_id, CASE supp % 3 WHEN 0 THEN 'Agent' WHEN 1 THEN 'Location' ELSE 'Time' END AS role, CASE part % 3 WHEN 0 THEN '张三' WHEN 1 THEN '北京' ELSE '去年' END AS text FROM ({order_lines}) AS o WHERE n % 2 = 0""",
+    "characters": f"""SELECT doc_id, line AS tok_idx, {sign('唐太子少李白长安杜甫', 'part % 10')} AS text, CAST(line + CASE WHEN line > 3 THEN 1 ELSE 0 END AS INT) AS start, CAST(line + CASE WHEN line > 3 THEN 1 ELSE 0 END + 1 AS INT) AS "end" FROM ({{order_lines}}) AS o""",
+    "cup_tokens": 'SELECT doc_id, tok_idx, text, start, "end" FROM ({clause_tokens}) AS t',
+    "cup_deps": "SELECT * FROM ({clause_deps}) AS d",
+    "cup_entities": """SELECT t.doc_id, 'ent_' || lpad(CAST(t.tok_idx AS STRING), 3, '0') AS entity_id, t.text, 'PRODUCT' AS category, t.start, t."end", CASE o.supp % 2 WHEN 0 THEN 'ner' ELSE 'keyword' END AS source, CAST((o.n % 10) / 10.0 AS DOUBLE) AS confidence
+        FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line WHERE t.tok_idx % 5 = 3 AND o.n % 2 = 0""",
+    "discovered": """SELECT DISTINCT t.doc_id, t.text AS word, CAST(length(t.text) * 1.5 AS DOUBLE) AS score FROM ({clause_tokens}) AS t WHERE t.tok_idx % 4 = 0""",
+    "tags": f"""SELECT doc_id * 10 + line AS id, {sign('BIOSEULM', 'part % 8')} || '-PER ' || {sign('BIIEMMLL', 'supp % 8')} || '-PER O ' || {sign('BISE', 'n % 4')} || '-LOC ' || {sign('IIEB', 'part % 4')} || '-LOC' AS tags FROM ({{order_lines}}) AS o""",
+    "dates": """SELECT id, CASE id % 8 WHEN 0 THEN y || '年' || m || '月' || d || '日' WHEN 1 THEN y || '年' || m || '月' WHEN 2 THEN y || '年' WHEN 3 THEN y || '/' || m || '/' || d WHEN 4 THEN y || m || d WHEN 5 THEN y || '.' || m || '.' || d WHEN 6 THEN d || m || y ELSE day || 'T00' END AS text
+        FROM (SELECT o_orderkey AS id, day, substr(day, 1, 4) AS y, substr(day, 6, 2) AS m, substr(day, 9, 2) AS d FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM {orders}) AS a) AS b""",
+    "texts": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '我们的公司在' || text || '发布了' || CAST(doc_id % 30 AS STRING) || '个产品，增长' || CAST(doc_id % 90 AS STRING) || '%。' WHEN 1 THEN 'The company was founded in California on ' || text || '. It has ' || CAST(doc_id % 50 AS STRING) || ' offices.'
+        WHEN 2 THEN '没有' || CAST(doc_id % 70 AS STRING) || '万元，也不是' || text || '。' WHEN 3 THEN '子曰：学而时习之，不亦说乎？' || '陈胜者，阳城人也，字涉。' ELSE 'ab ' || text END AS text FROM (SELECT id AS doc_id, text FROM ({dates}) AS d) AS t""",
 }
 
 
@@ -68,8 +114,8 @@ def told(name: str, given: str = "{0}") -> str:
 
 
 def with_tables(*names: str) -> str:
-    """The beginning of a DuckDB query over derived tables."""
-    return "WITH " + ", ".join(f"{n} AS ({told(n)})" for n in names)
+    """The beginning of a DuckDB query over derived tables, and over small dictionaries."""
+    return "WITH " + ", ".join(f"{n} AS ({told(n)})" if n in TABLES else fixtures.with_values(n).removeprefix("WITH ") for n in names)
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom import derived
 from textloom import fixtures as fx
 from textloom.operators import entities, linking
 from textloom.queries import query
@@ -12,22 +13,22 @@ ENTITY_TEXTS = """ns AS (SELECT doc_id, text, max(struct_pack(s := start, e := "
 
 
 @query(
-    fx.with_values("named", "spoken") + f""", {ENTITY_TEXTS},
+    derived.with_tables("named", "spoken") + f""", {ENTITY_TEXTS},
 m AS (SELECT s.doc_id, s.arg_id, n.entity_id, row_number() OVER (PARTITION BY s.doc_id, s.arg_id ORDER BY CASE WHEN n.text = s.text THEN 0 ELSE 1 END, least(length(n.text), length(s.text)) DESC, n.place) AS k
   FROM spoken s JOIN ns n ON n.doc_id = s.doc_id AND length(s.text) > 0 AND (contains(n.text, s.text) OR contains(s.text, n.text)))
 SELECT s.doc_id, s.arg_id, m.entity_id FROM spoken s LEFT JOIN m ON m.doc_id = s.doc_id AND m.arg_id = s.arg_id AND k = 1"""
 )
 def linked_arguments(spark, sf_dir):
-    return linking.linked(fx.frame(spark, "spoken"), fx.frame(spark, "named")).select("doc_id", "arg_id", "entity_id")
+    return linking.linked(derived.frame(spark, sf_dir, "spoken"), derived.frame(spark, sf_dir, "named")).select("doc_id", "arg_id", "entity_id")
 
 
 @query(
-    fx.with_values("spoken", "sentence_places") + """, m AS (SELECT s.doc_id, s.arg_id, p.sent_idx, row_number() OVER (PARTITION BY s.doc_id, s.arg_id ORDER BY CASE WHEN p.start <= s.start AND s.start < p."end" THEN 0 ELSE 1 END, p.sent_idx) AS k
+    derived.with_tables("spoken", "sentence_places") + """, m AS (SELECT s.doc_id, s.arg_id, p.sent_idx, row_number() OVER (PARTITION BY s.doc_id, s.arg_id ORDER BY CASE WHEN p.start <= s.start AND s.start < p."end" THEN 0 ELSE 1 END, p.sent_idx) AS k
   FROM spoken s JOIN sentence_places p ON p.doc_id = s.doc_id AND length(s.text) > 0 AND ((p.start <= s.start AND s.start < p."end") OR contains(p.text, s.text)))
 SELECT s.doc_id, s.arg_id, CAST(coalesce(m.sent_idx, -1) AS INTEGER) AS sentence_index FROM spoken s LEFT JOIN m ON m.doc_id = s.doc_id AND m.arg_id = s.arg_id AND k = 1"""
 )
 def argument_sentences(spark, sf_dir):
-    return linking.in_sentences(fx.frame(spark, "spoken"), fx.frame(spark, "sentence_places")).select("doc_id", "arg_id", "sentence_index")
+    return linking.in_sentences(derived.frame(spark, sf_dir, "spoken"), derived.frame(spark, sf_dir, "sentence_places")).select("doc_id", "arg_id", "sentence_index")
 
 
 def best_name(side: str) -> str:
@@ -36,17 +37,17 @@ def best_name(side: str) -> str:
 
 
 @query(
-    fx.with_values("named", "claims") + f""", {ENTITY_TEXTS},
+    derived.with_tables("named", "claims") + f""", {ENTITY_TEXTS},
 h AS (SELECT c.*, {best_name('subject')} AS s, {best_name('object')} AS o, c.doc_id IN (SELECT doc_id FROM named) AS linkable FROM claims c)
 SELECT doc_id, rel_id, coalesce(s, subject) AS subject, coalesce(o, object) AS object FROM h
 WHERE NOT linkable OR ((s IS NOT NULL OR o IS NOT NULL) AND subject <> '之' AND object <> '之')"""
 )
 def known_endpoints(spark, sf_dir):
-    return linking.with_known_endpoints(fx.frame(spark, "claims"), fx.frame(spark, "named"), ["之"]).select("doc_id", "rel_id", "subject", "object")
+    return linking.with_known_endpoints(derived.frame(spark, sf_dir, "claims"), derived.frame(spark, sf_dir, "named"), ["之"]).select("doc_id", "rel_id", "subject", "object")
 
 
 @query(
-    fx.with_values("named", "claims", "category_pairs", "verb_predicates") + f""", {ENTITY_TEXTS}
+    derived.with_tables("named", "claims", "category_pairs", "verb_predicates") + f""", {ENTITY_TEXTS}
 SELECT c.doc_id, c.rel_id, CASE WHEN s.category IS NULL OR o.category IS NULL THEN c.predicate WHEN p.predicate IS NOT NULL THEN p.predicate WHEN v.predicate IS NOT NULL THEN v.predicate
   WHEN predicate_verb IN ('至', '往', '来', '适', '迁', '赴', '归', '还', '入', '出') AND o.category = 'LOCATION' THEN 'MOVED_TO'
   WHEN predicate_verb IN ('至', '往', '来', '适', '迁', '赴', '归', '还', '入', '出') AND s.category = 'LOCATION' THEN 'DEPARTED_FROM'
@@ -55,7 +56,7 @@ FROM claims c LEFT JOIN ns s ON s.doc_id = c.doc_id AND s.text = c.subject LEFT
 LEFT JOIN category_pairs p ON p.subject_category = s.category AND p.object_category = o.category LEFT JOIN verb_predicates v ON v.verb = c.predicate_verb"""
 )
 def typed_predicates(spark, sf_dir):
-    found = linking.with_typed_predicates(fx.frame(spark, "claims"), fx.frame(spark, "named"), fx.frame(spark, "category_pairs"), fx.frame(spark, "verb_predicates"))
+    found = linking.with_typed_predicates(derived.frame(spark, sf_dir, "claims"), derived.frame(spark, sf_dir, "named"), fx.frame(spark, "category_pairs"), fx.frame(spark, "verb_predicates"))
     return found.select("doc_id", "rel_id", "predicate")
 
 
@@ -70,13 +71,13 @@ w_{side} AS (SELECT doc_id, rel_id, own, coalesce((SELECT n.text FROM ns n WHERE
 
 
 @query(
-    fx.with_values("named", "claims", "mentions") + f""", {ENTITY_TEXTS}, {through('subject')}, {through('object')}
+    derived.with_tables("named", "claims", "mentions") + f""", {ENTITY_TEXTS}, {through('subject')}, {through('object')}
 SELECT c.doc_id, c.rel_id, CASE WHEN c.source LIKE '%classical_pattern%' AND c.predicate IN ('HAS_STYLE_NAME', 'EQUIVALENT_TO') THEN c.subject WHEN s.wide = o.wide THEN s.own ELSE s.wide END AS subject,
   CASE WHEN c.source LIKE '%classical_pattern%' AND c.predicate IN ('HAS_STYLE_NAME', 'EQUIVALENT_TO') THEN c.object WHEN s.wide = o.wide THEN o.own ELSE o.wide END AS object
 FROM claims c JOIN w_subject s USING (doc_id, rel_id) JOIN w_object o USING (doc_id, rel_id)"""
 )
 def endpoints_through_chains(spark, sf_dir):
-    return linking.through_chains(fx.frame(spark, "claims"), fx.frame(spark, "mentions"), fx.frame(spark, "named")).select("doc_id", "rel_id", "subject", "object")
+    return linking.through_chains(derived.frame(spark, sf_dir, "claims"), derived.frame(spark, sf_dir, "mentions"), derived.frame(spark, sf_dir, "named")).select("doc_id", "rel_id", "subject", "object")
 
 
 NEAREST = """FROM triggers t JOIN sentence_places p ON p.doc_id = t.doc_id AND p.sent_idx = t.sentence_index
@@ -86,16 +87,16 @@ NEAREST = """FROM triggers t JOIN sentence_places p ON p.doc_id = t.doc_id AND p
 
 
 @query(
-    fx.with_values("named", "triggers", "trigger_arguments", "sentence_places") + f"""
+    derived.with_tables("named", "triggers", "trigger_arguments", "sentence_places") + f"""
 SELECT t.doc_id, t.event_id, 'Time' AS role, n.text, n.entity_id, n.start, n."end" {NEAREST.format(role='Time', rule="n.category = 'DATE' AND NOT regexp_full_match(n.text, '[0-9]+') AND regexp_matches(n.text, '[日月年时分秒周天点刻]')")}
 UNION ALL SELECT t.doc_id, t.event_id, 'Location' AS role, n.text, n.entity_id, n.start, n."end" {NEAREST.format(role='Location', rule="n.category IN ('LOCATION', 'FACILITY')")}"""
 )
 def missing_circumstances(spark, sf_dir):
-    return linking.missing_circumstances(fx.frame(spark, "triggers"), fx.frame(spark, "trigger_arguments"), fx.frame(spark, "named"), fx.frame(spark, "sentence_places"))
+    return linking.missing_circumstances(derived.frame(spark, sf_dir, "triggers"), derived.frame(spark, sf_dir, "trigger_arguments"), derived.frame(spark, sf_dir, "named"), derived.frame(spark, sf_dir, "sentence_places"))
 
 
 @query(
-    fx.with_values("characters", "register") + """, runs AS (SELECT a.doc_id, a.text AS t1, a.text || b.text AS t2, a.text || b.text || c.text AS t3, a.text || b.text || c.text || d.text AS t4 FROM characters a
+    derived.with_tables("characters", "register") + """, runs AS (SELECT a.doc_id, a.text AS t1, a.text || b.text AS t2, a.text || b.text || c.text AS t3, a.text || b.text || c.text || d.text AS t4 FROM characters a
   LEFT JOIN characters b ON b.doc_id = a.doc_id AND b.tok_idx = a.tok_idx + 1 AND b.start = a."end" LEFT JOIN characters c ON c.doc_id = b.doc_id AND c.tok_idx = b.tok_idx + 1 AND c.start = b."end"
   LEFT JOIN characters d ON d.doc_id = c.doc_id AND d.tok_idx = c.tok_idx + 1 AND d.start = c."end"),
 made AS (SELECT doc_id, t1 AS text FROM runs UNION SELECT doc_id, t2 FROM runs UNION SELECT doc_id, t3 FROM runs UNION SELECT doc_id, t4 FROM runs),
@@ -103,26 +104,26 @@ kinds(category, rank, confidence) AS (VALUES ('ERA', 1, 0.95), ('TITLE', 2, 0.9)
 SELECT m.doc_id, m.text, k.category, CAST(k.confidence AS DOUBLE) AS confidence FROM made m JOIN register r ON r.text = m.text JOIN kinds k ON k.category = r.category QUALIFY row_number() OVER (PARTITION BY m.doc_id, m.text ORDER BY k.rank) = 1"""
 )
 def dictionary_names(spark, sf_dir):
-    return linking.dictionary_names(fx.frame(spark, "characters"), fx.frame(spark, "register"))
+    return linking.dictionary_names(derived.frame(spark, sf_dir, "characters"), fx.frame(spark, "register"))
 
 
 @query(
-    fx.with_values("cup_tokens", "cup_deps", "cup_entities") + """,
+    derived.with_tables("cup_tokens", "cup_deps", "cup_entities") + """,
 d AS (SELECT e.doc_id, e.entity_id, e.category, e.source, e.confidence, least(min(d.child), any_value(t.tok_idx)) AS lo, greatest(max(d.child), any_value(t.tok_idx)) AS hi
   FROM cup_entities e JOIN cup_tokens t ON t.doc_id = e.doc_id AND t.start = e.start AND t."end" = e."end" AND t.text = e.text JOIN cup_deps d ON d.doc_id = e.doc_id AND d.head = t.tok_idx AND lower(d.rel) = 'det' GROUP BY ALL)
 SELECT doc_id, text, category, start, "end", source, CAST(confidence AS DOUBLE) AS confidence FROM cup_entities
 UNION ALL SELECT d.doc_id, string_agg(t.text, '' ORDER BY t.tok_idx), d.category, min(t.start), max(t."end"), d.source, CAST(d.confidence AS DOUBLE) FROM d JOIN cup_tokens t ON t.doc_id = d.doc_id AND t.tok_idx BETWEEN lo AND hi GROUP BY d.doc_id, d.entity_id, d.category, d.source, d.confidence"""
 )
 def entities_with_determiners(spark, sf_dir):
-    return entities.determiner_compounds(*[fx.frame(spark, n) for n in ("cup_entities", "cup_tokens", "cup_deps")]).drop("entity_id")
+    return entities.determiner_compounds(*[derived.frame(spark, sf_dir, n) for n in ("cup_entities", "cup_tokens", "cup_deps")]).drop("entity_id")
 
 
 @query(
-    fx.with_values("cup_tokens", "cup_entities", "discovered") + """, texts AS (SELECT doc_id, string_agg(text, '' ORDER BY tok_idx) AS text FROM cup_tokens GROUP BY doc_id),
+    derived.with_tables("cup_tokens", "cup_entities", "discovered") + """, texts AS (SELECT doc_id, string_agg(text, '' ORDER BY tok_idx) AS text FROM cup_tokens GROUP BY doc_id),
 p AS (SELECT f.doc_id, f.word AS text, CAST(instr(t.text, f.word) - 1 AS INTEGER) AS start, score FROM discovered f JOIN texts t USING (doc_id) WHERE contains(t.text, f.word))
 SELECT doc_id, text, 'UNKNOWN' AS category, start, CAST(start + length(text) AS INTEGER) AS "end", 'discover' AS source, CAST(least(0.85, 0.5 + 0.05 * score) AS DOUBLE) AS confidence
 FROM p WHERE NOT EXISTS (SELECT 1 FROM cup_entities e WHERE e.doc_id = p.doc_id AND e.start = p.start AND e."end" = p.start + length(p.text))"""
 )
 def entities_from_discovery(spark, sf_dir):
-    tokens = fx.frame(spark, "cup_tokens").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tok_idx", "text"))), lambda t: t["text"]), "").alias("text"))
-    return entities.discovered_entities(fx.frame(spark, "discovered"), tokens, fx.frame(spark, "cup_entities"))
+    tokens = derived.frame(spark, sf_dir, "cup_tokens").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tok_idx", "text"))), lambda t: t["text"]), "").alias("text"))
+    return entities.discovered_entities(derived.frame(spark, sf_dir, "discovered"), tokens, derived.frame(spark, sf_dir, "cup_entities"))

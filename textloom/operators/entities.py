@@ -230,14 +230,51 @@ def without_crossings(entities: DataFrame) -> DataFrame:
     return kept.select("doc_id", *[f"e.{f}" for f in fields])
 
 
-def merge_touching(entities: DataFrame, most_gap: int = 0) -> DataFrame:
-    """Neighbouring entities of one category whose spans touch become one: gaps and islands."""
-    order = Window.partitionBy("doc_id", "category").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(reach.isNull() | (F.col("start") - reach > most_gap), 1).otherwise(0)).over(order)
-    rows = entities.withColumn("__island", island)
-    text_at = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "")
-    return rows.groupBy("doc_id", "category", "__island").agg(text_at.alias("text"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("confidence").alias("confidence"), F.count(F.lit(1)).alias("parts")).drop("__island")
+# Arcs by which a word modifies the one before it.
+MODIFIERS = ["nn", "compound", "nmod"]
+
+
+def merge_touching(entities: DataFrame, deps: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
+    """Neighbours of one category become one where the second begins just where the first ends and neither holds a sign that
+    is no letter, number or space. With arcs (doc_id, child, head, rel) and tokens (doc_id, tok_idx, start, end) a token of
+    the second must besides hang on one of the first, as nn, compound or nmod. The first gives id and source, and all
+    other columns; the least confidence counts; ``parts`` tells how many there were.
+
+    Neighbours are such in the order of places. Runs of touching entities are short; within one, arcs are gone through in
+    order, since what a later part may hang on is what has been joined before it."""
+    order = Window.partitionBy("doc_id").orderBy("start", "end", "entity_id")
+    plain = F.col("text").rlike(r"^[\p{L}\p{N}\s]*$")
+    before = lambda c: F.lag(c).over(order)
+    joins = F.coalesce((before("category") == F.col("category")) & (before("end") == F.col("start")) & plain & before(plain), F.lit(False))
+    rows = entities.withColumns({"__nth": F.row_number().over(order), "__joins": joins})
+    rows = rows.withColumn("__run", F.sum(F.when(F.col("__joins"), 0).otherwise(1)).over(order))
+    if deps is not None and tokens is not None:
+        # the tokens of each entity, and the words that they hang on
+        t = tokens.select("doc_id", "tok_idx", F.col("start").alias("__s"), F.col("end").alias("__e"))
+        own = rows.select("doc_id", "__nth", "start", "end").join(t, "doc_id").where("__s < end and __e > start").select("doc_id", "__nth", "tok_idx")
+        hung = deps.where(F.lower(F.trim("rel")).isin(MODIFIERS)).select("doc_id", F.col("child").alias("tok_idx"), F.col("head").alias("__head"))
+        seen = own.join(hung, ["doc_id", "tok_idx"], "left").groupBy("doc_id", "__nth").agg(F.min("tok_idx").alias("__lo"), F.max("tok_idx").alias("__hi"), F.array_sort(F.collect_set("__head")).alias("__heads"))
+        rows = rows.join(seen, ["doc_id", "__nth"], "left")
+        part = F.struct("__nth", "__lo", "__hi", "__heads")
+        runs = rows.groupBy("doc_id", "__run").agg(F.array_sort(F.collect_list(part)).alias("m"))
+        # where each part's compound begins: with itself, or where that of the part before does
+        start = F.array().cast("array<struct<first:int,nth:int,lo:int,hi:int>>")
+
+        def step(acc: Column, x: Column) -> Column:
+            last = F.element_at(acc, -1)
+            on = F.exists(x["__heads"], lambda h: h.between(last["lo"], last["hi"]))
+            joined = F.coalesce((F.size(acc) > 0) & on, F.lit(False))
+            fields = {"first": F.when(joined, last["first"]).otherwise(x["__nth"]), "nth": x["__nth"], "lo": F.when(joined, last["lo"]).otherwise(x["__lo"]), "hi": F.when(joined, F.greatest(last["hi"], x["__hi"])).otherwise(x["__hi"])}
+            return F.concat(acc, F.array(F.struct(*[v.cast("int").alias(k) for k, v in fields.items()])))
+
+        firsts = runs.select("doc_id", F.inline(F.aggregate("m", start, step, lambda acc: F.transform(acc, lambda x: F.struct(x["nth"].alias("__nth"), x["first"].alias("__first"))))))
+        rows = rows.drop("__lo", "__hi", "__heads").join(firsts, ["doc_id", "__nth"])
+    else:
+        rows = rows.withColumn("__first", F.min("__nth").over(Window.partitionBy("doc_id", "__run")))
+    text_at = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__nth", "text"))), lambda x: x["text"]), "")
+    same = {"text": text_at, "end": F.max("end"), "confidence": F.min("confidence")}
+    first = [same[c].alias(c) if c in same else F.min_by(c, "__nth").alias(c) for c in entities.columns if c != "doc_id"]
+    return rows.groupBy("doc_id", "__first").agg(*first, F.count(F.lit(1)).alias("parts")).select(*entities.columns, "parts")
 
 
 def mapped_labels(found: DataFrame, label_map: DataFrame) -> DataFrame:
@@ -272,9 +309,11 @@ def union_layers(*layers: DataFrame) -> DataFrame:
 
 
 def with_ids(entities: DataFrame, prefix: str = "ent", key: str = "entity_id") -> DataFrame:
-    """Ids by place, numbered through each document; rows of equal text and span count once."""
+    """Ids by place, numbered through each document; of rows of equal text and span the first by category and then source, if
+    there are such columns, stays."""
     order = Window.partitionBy("doc_id").orderBy("start", "end", "text")
-    one = entities.dropDuplicates(["doc_id", "text", "start", "end"])
+    best = Window.partitionBy("doc_id", "text", "start", "end").orderBy(*[c for c in ("category", "source") if c in entities.columns] or ["start"])
+    one = entities.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r")
     return one.withColumn(key, spans.numbered(prefix, F.row_number().over(order)))
 
 

@@ -1,7 +1,7 @@
 """The queries of the library's own operators over the driver's tables, and their DuckDB counterparts.
 
-Rules for Chinese text find little in the driver's Latin-script tables, so they run on fixtures as well: the same rows
-are a DataFrame here and VALUES in the SQL.
+Rules for Chinese text and for annotations find little in the driver's Latin-script tables, so they run over tables
+derived from these (``derived.py``), told once for both engines.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom import derived
 from textloom import fixtures as fx
 from textloom.functions import language, text
 from textloom.operators import discovery, entities, metrics, relations, sentences, similarity, summary, tags, titles
@@ -145,7 +146,7 @@ def language_segments(spark, sf_dir):
 
 @query()
 def language_fixture(spark, sf_dir):
-    d = fx.frame(spark, "texts").select("doc_id", language.detect(F.col("text")).alias("d"))
+    d = derived.frame(spark, sf_dir, "texts").select("doc_id", language.detect(F.col("text")).alias("d"))
     return d.select("doc_id", "d.label", F.round("d.confidence", 6).alias("confidence"))
 
 
@@ -257,12 +258,12 @@ def discovered_without_parts(spark, sf_dir):
 # --- entities ----------------------------------------------------------------------------------------------------
 
 
-@query(fx.with_values("dates") + r"""SELECT id, CASE WHEN regexp_matches(text, '^\d{4}年\d{1,2}月\d{1,2}日') THEN regexp_extract(text, '^(\d{4})', 1) || '-' || lpad(regexp_extract(text, '年(\d{1,2})月', 1), 2, '0') || '-' || lpad(regexp_extract(text, '月(\d{1,2})日', 1), 2, '0')
+@query(derived.with_tables("dates") + r"""SELECT id, CASE WHEN regexp_matches(text, '^\d{4}年\d{1,2}月\d{1,2}日') THEN regexp_extract(text, '^(\d{4})', 1) || '-' || lpad(regexp_extract(text, '年(\d{1,2})月', 1), 2, '0') || '-' || lpad(regexp_extract(text, '月(\d{1,2})日', 1), 2, '0')
  WHEN regexp_matches(text, '^\d{4}年\d{1,2}月') THEN regexp_extract(text, '^(\d{4})', 1) || '-' || lpad(regexp_extract(text, '年(\d{1,2})月', 1), 2, '0') WHEN regexp_matches(text, '^\d{4}年') THEN substr(text, 1, 4)
  WHEN regexp_matches(text, '^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}') AND (regexp_matches(text, '^\d{4}-\d{1,2}-') OR regexp_matches(text, '^\d{4}[/.]\d{1,2}[/.]')) THEN substr(text, 1, 4) || '-' || lpad(regexp_extract(text, '^\d{4}[-/.](\d{1,2})', 1), 2, '0') || '-' || lpad(regexp_extract(text, '^\d{4}[-/.]\d{1,2}[-/.](\d{1,2})', 1), 2, '0')
  WHEN regexp_matches(text, '^\d{8}') AND CAST(substr(text, 5, 2) AS INT) BETWEEN 1 AND 12 AND CAST(substr(text, 7, 2) AS INT) BETWEEN 1 AND 31 THEN substr(text, 1, 4) || '-' || substr(text, 5, 2) || '-' || substr(text, 7, 2) ELSE text END AS normalized FROM dates""")
 def normal_dates(spark, sf_dir):
-    return fx.frame(spark, "dates").select("id", text.normal_date(F.col("text")).alias("normalized"))
+    return derived.frame(spark, sf_dir, "dates").select("id", text.normal_date(F.col("text")).alias("normalized"))
 
 
 @query(
@@ -275,7 +276,7 @@ def percentages_documents(spark, sf_dir):
 
 @query()
 def numbers_fixture(spark, sf_dir):
-    return entities.numbers(fx.frame(spark, "texts")).select("doc_id", "text", "start", "end", "source", "normalized")
+    return entities.numbers(derived.frame(spark, sf_dir, "texts")).select("doc_id", "text", "start", "end", "source", "normalized")
 
 
 QUALITY_SQL = r"""t AS (SELECT *, CASE WHEN category IN ('NUMBER', 'STANDARD', 'PARAMETER', 'UNKNOWN') AND regexp_matches(text, '\d+\.\d+|第\s*\d+|\d+\s*章|\d+\s*节|\d+\s*条') THEN 'SECTION_REF' ELSE category END AS cat,
@@ -285,9 +286,9 @@ SELECT entity_id, cat AS category, CASE WHEN cat = 'NUMBER' AND regexp_matches(t
  WHEN cat = 'UNKNOWN' AND NOT (unit OR code OR confidence >= 0.75) THEN 'F2_confidence' WHEN unit OR code THEN NULL WHEN confidence < 0.6 THEN 'F2_confidence' END AS filter FROM t"""
 
 
-@query(fx.with_values("entities") + ", " + QUALITY_SQL.format(source="entities").replace("{{", "{").replace("}}", "}"))
+@query(derived.with_tables("entities") + ", " + QUALITY_SQL.format(source="entities").replace("{{", "{").replace("}}", "}"))
 def entity_quality(spark, sf_dir):
-    return entities.with_quality(fx.frame(spark, "entities")).select("entity_id", "category", "filter")
+    return entities.with_quality(derived.frame(spark, sf_dir, "entities")).select("entity_id", "category", "filter")
 
 
 PART_ENTITIES = "(SELECT p_partkey AS doc_id, 'p' || p_partkey AS entity_id, p_name AS text, CASE p_size % 5 WHEN 0 THEN 'NUMBER' WHEN 1 THEN 'PRODUCT' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'STANDARD' ELSE 'PERSON' END AS category, 0 AS start, length(p_name) AS \"end\", CASE p_size % 3 WHEN 0 THEN 'keyword' WHEN 1 THEN 'ner' ELSE 'numeric/quantity' END AS source, (p_size % 10) / 10.0 AS confidence FROM part)"
@@ -303,31 +304,46 @@ def entity_quality_parts(spark, sf_dir):
 
 
 @query(
-    fx.with_values("entities") + """ SELECT c.doc_id, c.entity_id, p.entity_id AS parent_entity_id FROM entities c LEFT JOIN LATERAL (SELECT entity_id FROM entities p WHERE p.doc_id = c.doc_id AND p.category = c.category AND p.entity_id <> c.entity_id
+    derived.with_tables("entities") + """ SELECT c.doc_id, c.entity_id, p.entity_id AS parent_entity_id FROM entities c LEFT JOIN LATERAL (SELECT entity_id FROM entities p WHERE p.doc_id = c.doc_id AND p.category = c.category AND p.entity_id <> c.entity_id
  AND p.start <= c.start AND p."end" >= c."end" AND p."end" - p.start > c."end" - c.start ORDER BY p."end" - p.start, entity_id LIMIT 1) p ON true"""
 )
 def entity_hierarchy(spark, sf_dir):
-    return entities.hierarchy(fx.frame(spark, "entities")).select("doc_id", "entity_id", "parent_entity_id")
+    return entities.hierarchy(derived.frame(spark, sf_dir, "entities")).select("doc_id", "entity_id", "parent_entity_id")
 
 
 @query()
 def entity_conflicts(spark, sf_dir):
-    return entities.resolve_conflicts(fx.frame(spark, "candidates")).select("doc_id", "entity_id", "category", "ner_disputed")
+    return entities.resolve_conflicts(derived.frame(spark, sf_dir, "candidates")).select("doc_id", "entity_id", "category", "ner_disputed")
 
 
-@query(fx.with_values("entities") + """ SELECT doc_id, text, category, first(entity_id ORDER BY confidence DESC, start, entity_id) AS entity_id, count(*) - 1 AS merged FROM entities GROUP BY ALL""")
+@query(derived.with_tables("entities") + """ SELECT doc_id, text, category, first(entity_id ORDER BY confidence DESC, start, entity_id) AS entity_id, count(*) - 1 AS merged FROM entities GROUP BY ALL""")
 def entity_collapse(spark, sf_dir):
-    return entities.collapse_same_text(fx.frame(spark, "entities")).select("doc_id", "text", "category", "entity_id", F.size("merged_from").cast("long").alias("merged"))
+    return entities.collapse_same_text(derived.frame(spark, sf_dir, "entities")).select("doc_id", "text", "category", "entity_id", F.size("merged_from").cast("long").alias("merged"))
 
 
 @query()
 def entity_overlaps(spark, sf_dir):
-    return entities.without_crossings(fx.frame(spark, "entities"))
+    return entities.without_crossings(derived.frame(spark, sf_dir, "entities"))
 
 
-@query()
+TOUCHING = derived.with_tables("touching", "touching_arcs", "clause_tokens").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+e AS (SELECT *, row_number() OVER w AS nth, coalesce(lag(category) OVER w = category AND lag("end") OVER w = start AND NOT regexp_matches(lag(text) OVER w || text, '[^\\p{L}\\p{N}\\s]'), FALSE) AS joins FROM touching WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end", entity_id)),
+own AS (SELECT e.doc_id, e.nth, min(t.tok_idx) AS lo, max(t.tok_idx) AS hi, list(a.head) AS heads FROM e JOIN clause_tokens t ON t.doc_id = e.doc_id AND t.start < e."end" AND t."end" > e.start LEFT JOIN touching_arcs a ON a.doc_id = e.doc_id AND a.child = t.tok_idx AND lower(a.rel) IN ('nn', 'compound', 'nmod') GROUP BY e.doc_id, e.nth),
+walk AS (SELECT doc_id, nth, nth AS first, lo, hi FROM own WHERE nth = 1
+  UNION ALL SELECT o.doc_id, o.nth, CASE WHEN j THEN w.first ELSE o.nth END, CASE WHEN j THEN w.lo ELSE o.lo END, CASE WHEN j THEN greatest(w.hi, o.hi) ELSE o.hi END
+  FROM walk w JOIN (SELECT own.*, joins FROM own JOIN e USING (doc_id, nth)) o ON o.doc_id = w.doc_id AND o.nth = w.nth + 1, LATERAL (SELECT o.joins AND len(list_filter(o.heads, lambda h: h BETWEEN w.lo AND w.hi)) > 0 AS j))
+"""
+MERGED = """SELECT e.doc_id, arg_min(entity_id, e.nth) AS entity_id, string_agg(text, '' ORDER BY e.nth) AS text, any_value(category) AS category, min(start) AS start, max("end") AS "end", arg_min(source, e.nth) AS source, min(confidence) AS confidence, count(*) AS parts"""
+
+
+@query(TOUCHING + f"{MERGED} FROM e JOIN walk USING (doc_id, nth) GROUP BY e.doc_id, first")
 def entity_merge(spark, sf_dir):
-    return entities.merge_touching(fx.frame(spark, "entities"))
+    return entities.merge_touching(*[derived.frame(spark, sf_dir, n) for n in ("touching", "touching_arcs", "clause_tokens")])
+
+
+@query(TOUCHING + f", runs AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY nth) AS first FROM e) {MERGED} FROM runs e GROUP BY e.doc_id, first")
+def entity_merge_by_place(spark, sf_dir):
+    return entities.merge_touching(derived.frame(spark, sf_dir, "touching"))
 
 
 @query(
@@ -358,7 +374,7 @@ def keyword_lookup(spark, sf_dir):
 
 @query()
 def negated_numbers(spark, sf_dir):
-    t = fx.frame(spark, "texts")
+    t = derived.frame(spark, sf_dir, "texts")
     return entities.with_negation(entities.numbers(t), entities.negations(t)).select("doc_id", "text", "start", "is_negated", F.round("confidence", 6).alias("confidence"))
 
 
@@ -369,37 +385,37 @@ def negated_numbers(spark, sf_dir):
 def frame_relations(spark, sf_dir):
     verbs = spark.createDataFrame([("发布", "PRODUCES", "create")], "verb string, predicate string, semantic_class string")
     roles = spark.createDataFrame([("argm-loc", "LOCATED_AT", "space"), ("argm-tmp", "TEMPORAL_AT", "time")], "role string, predicate string, semantic_class string")
-    found = relations.with_predicates(relations.from_frames(fx.frame(spark, "frames")), verbs, roles)
+    found = relations.with_predicates(relations.from_frames(derived.frame(spark, sf_dir, "frames")), verbs, roles)
     return found.select("doc_id", "frame_idx", "pair", "subject", "predicate", "predicate_verb", "object", "start", "end")
 
 
-@query(fx.with_values("relations") + """ SELECT doc_id, rel_id, s AS subject, o AS object FROM (SELECT doc_id, rel_id, s, unnest(string_split(replace(object, '和', chr(31)), chr(31))) AS o FROM (SELECT *, unnest(string_split(replace(subject, '和', chr(31)), chr(31))) AS s FROM relations))""")
+@query(derived.with_tables("relations") + """ SELECT doc_id, rel_id, s AS subject, o AS object FROM (SELECT doc_id, rel_id, s, unnest(string_split(replace(object, '和', chr(31)), chr(31))) AS o FROM (SELECT *, unnest(string_split(replace(subject, '和', chr(31)), chr(31))) AS s FROM relations))""")
 def conjunctions(spark, sf_dir):
-    return relations.split_conjunctions(fx.frame(spark, "relations"), ["和"]).select("doc_id", "rel_id", "subject", "object")
+    return relations.split_conjunctions(derived.frame(spark, sf_dir, "relations"), ["和"]).select("doc_id", "rel_id", "subject", "object")
 
 
-@query(fx.with_values("relations") + """ SELECT doc_id, sentence_index, predicate_verb AS trigger, subject AS agent, count(*) AS n, string_agg(rel_id, ',' ORDER BY rel_id) AS relation_ids, 'evt_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sentence_index, predicate_verb, subject) AS VARCHAR), 3, '0') AS event_id
+@query(derived.with_tables("relations") + """ SELECT doc_id, sentence_index, predicate_verb AS trigger, subject AS agent, count(*) AS n, string_agg(rel_id, ',' ORDER BY rel_id) AS relation_ids, 'evt_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sentence_index, predicate_verb, subject) AS VARCHAR), 3, '0') AS event_id
  FROM relations WHERE predicate_verb <> '' AND subject <> object AND predicate_verb NOT IN ('是', '有', '在', '为', '作', '成', '当', '像', '够', '了', '着', '过', '吗', '吧', '呢', '啊', '呀', '把', '被', '给', '对', '对于', '关于', '和', '与', '及', '或', '而', '但', '做', '搞', '弄', '通过', '经过', '按照', '根据') GROUP BY doc_id, sentence_index, predicate_verb, subject""")
 def event_clusters(spark, sf_dir):
-    found = relations.events(fx.frame(spark, "relations"))
+    found = relations.events(derived.frame(spark, sf_dir, "relations"))
     return found.select("doc_id", "sentence_index", "trigger", "agent", F.size("relation_ids").cast("long").alias("n"), F.array_join("relation_ids", ",").alias("relation_ids"), "event_id")
 
 
 @query()
 def event_hierarchy(spark, sf_dir):
-    e = relations.event_confidence(fx.frame(spark, "events"), fx.frame(spark, "arguments"))
+    e = relations.event_confidence(derived.frame(spark, sf_dir, "events"), derived.frame(spark, sf_dir, "arguments"))
     return relations.sub_events(relations.distinct_events(e)).select("doc_id", "event_id", F.round("confidence", 6).alias("confidence"), "is_main_event", "sub_events")
 
 
 @query()
 def noun_signals(spark, sf_dir):
-    return relations.noun_signals(fx.frame(spark, "tokens"), fx.frame(spark, "deps"))
+    return relations.noun_signals(derived.frame(spark, sf_dir, "tokens"), derived.frame(spark, sf_dir, "deps"))
 
 
-@query(fx.with_values("deps", "tokens") + """ SELECT s.doc_id, ts.text AS subject, tv.text AS predicate_verb, o_.text AS object FROM deps s JOIN deps o ON s.doc_id = o.doc_id AND s.head = o.head AND s.rel = 'nsubj' AND o.rel = 'dobj'
+@query(derived.with_tables("deps", "tokens") + """ SELECT s.doc_id, ts.text AS subject, tv.text AS predicate_verb, o_.text AS object FROM deps s JOIN deps o ON s.doc_id = o.doc_id AND s.head = o.head AND s.rel = 'nsubj' AND o.rel = 'dobj'
  JOIN tokens ts ON ts.doc_id = s.doc_id AND ts.tok_idx = s.child JOIN tokens tv ON tv.doc_id = s.doc_id AND tv.tok_idx = s.head JOIN tokens o_ ON o_.doc_id = o.doc_id AND o_.tok_idx = o.child""")
 def subject_object_bridges(spark, sf_dir):
-    return relations.bridges(fx.frame(spark, "deps"), fx.frame(spark, "tokens")).drop("confidence")
+    return relations.bridges(derived.frame(spark, sf_dir, "deps"), derived.frame(spark, sf_dir, "tokens")).drop("confidence")
 
 
 @query(
@@ -425,18 +441,18 @@ def coreference_chains(spark, sf_dir):
 
 
 @query(
-    fx.with_values("entities", "facts")
+    derived.with_tables("entities", "facts")
     + """, u AS (SELECT doc_id, subject_id AS e FROM facts UNION ALL SELECT doc_id, object_id FROM facts WHERE object_id IS NOT NULL), c AS (SELECT doc_id, e AS entity_id, count(*) AS n FROM u GROUP BY ALL),
-w(category, k) AS (VALUES ('PERSON', 3.0), ('ORGANIZATION', 2.5), ('LOCATION', 2.0), ('PRODUCT', 1.5)) SELECT doc_id, entity_id, CAST(n AS BIGINT) AS uses, CAST(n * coalesce(k, 1.0) AS DOUBLE) AS score FROM c JOIN entities USING (doc_id, entity_id) LEFT JOIN w USING (category)
-QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n * coalesce(k, 1.0) DESC, entity_id) = 1"""
+w(category, k) AS (VALUES ('PERSON', 3.0), ('ORGANIZATION', 2.5), ('LOCATION', 2.0), ('PRODUCT', 1.5)) SELECT doc_id, entity_id, CAST(coalesce(n, 0) AS BIGINT) AS uses, CAST(coalesce(n, 0) * coalesce(k, 1.0) AS DOUBLE) AS score FROM entities LEFT JOIN c USING (doc_id, entity_id) LEFT JOIN w USING (category)
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(n, 0) * coalesce(k, 1.0) DESC, CASE WHEN n IS NULL THEN confidence END DESC, entity_id) = 1"""
 )
 def central_entities(spark, sf_dir):
-    return titles.central_entities(fx.frame(spark, "entities"), fx.frame(spark, "facts")).select("doc_id", "entity_id", "uses", "score")
+    return titles.central_entities(derived.frame(spark, sf_dir, "entities"), derived.frame(spark, sf_dir, "facts")).select("doc_id", "entity_id", "uses", "score")
 
 
 @query()
 def entity_titles(spark, sf_dir):
-    return titles.entity_titles(fx.frame(spark, "entities"), fx.frame(spark, "facts"))
+    return titles.entity_titles(derived.frame(spark, sf_dir, "entities"), derived.frame(spark, sf_dir, "facts"))
 
 
 @query(r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]') AS w FROM benchmark) SELECT item_id, CAST(len(w) AS INTEGER) AS n, CAST(len(list_filter(w, lambda x: regexp_matches(x, '^\p{P}*$'))) AS INTEGER) AS signs,
@@ -472,9 +488,9 @@ def span_scores(spark, sf_dir):
     return metrics.span_f1(g, p, ["doc_id", "label", "s"]).select("label", "tp", "pred", "gold", F.round("f1", 6).alias("f1"))
 
 
-@query(fx.with_values("deps") + """ SELECT avg(CASE WHEN head = h2 THEN 1 ELSE 0 END) AS uas, avg(CASE WHEN head = h2 AND rel = r2 THEN 1 ELSE 0 END) AS las, count(*) AS n FROM (SELECT *, CASE WHEN child % 3 = 0 THEN 0 ELSE head END AS h2, CASE WHEN child % 2 = 0 THEN 'dep' ELSE rel END AS r2 FROM deps)""")
+@query(derived.with_tables("deps") + """ SELECT avg(CASE WHEN head = h2 THEN 1 ELSE 0 END) AS uas, avg(CASE WHEN head = h2 AND rel = r2 THEN 1 ELSE 0 END) AS las, count(*) AS n FROM (SELECT *, CASE WHEN child % 3 = 0 THEN 0 ELSE head END AS h2, CASE WHEN child % 2 = 0 THEN 'dep' ELSE rel END AS r2 FROM deps)""")
 def attachment_scores(spark, sf_dir):
-    gold = fx.frame(spark, "deps")
+    gold = derived.frame(spark, sf_dir, "deps")
     pred = gold.select("doc_id", "child", F.when(F.col("child") % 3 == 0, 0).otherwise(F.col("head")).alias("head"), F.when(F.col("child") % 2 == 0, "dep").otherwise(F.col("rel")).alias("rel"))
     return metrics.attachment(gold, pred)
 
@@ -498,7 +514,7 @@ def vocabulary(spark, sf_dir):
 
 @query()
 def tag_spans(spark, sf_dir):
-    rows = fx.frame(spark, "tags").withColumn("tags", F.split("tags", " "))
+    rows = derived.frame(spark, sf_dir, "tags").withColumn("tags", F.split("tags", " "))
     return rows.select("id", F.to_json(tags.tags_to_spans(F.col("tags"))).alias("spans"))
 
 
