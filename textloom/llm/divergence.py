@@ -38,7 +38,7 @@ from textloom.llm.terms import LETTERS, pieces
 
 PREFIX = 6
 #: Words that a task counts at a time, counters that it holds before it hands its tries on, leaves that are merged at a time.
-WORDS, ENTRIES, LEAVES = 1_000_000, 1_000_000, 200_000
+WORDS, ENTRIES, LEAVES = 500_000, 1_000_000, 150_000
 #: Numbers in the matrices of the second walk.
 CELLS = 1 << 20
 SCALE = 1_000_000_000
