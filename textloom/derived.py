@@ -66,6 +66,9 @@ TABLES: dict[str, str] = {
         FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line WHERE t.tok_idx % 5 <> 2 AND (o.supp + t.tok_idx) % 6 <> 0""",
     "touching_arcs": """SELECT t.doc_id, t.tok_idx AS child, CAST(CASE (o.supp + t.tok_idx) % 4 WHEN 3 THEN t.tok_idx - 2 ELSE t.tok_idx - 1 END AS INT) AS head, CASE (o.part + t.tok_idx) % 4 WHEN 0 THEN 'nn' WHEN 1 THEN 'compound' WHEN 2 THEN 'NMOD' ELSE 'dep' END AS rel
         FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line""",
+    # a bracketed tree for each line of an order
+    "trees": """SELECT doc_id * 100 + line AS sent_id, '(IP (NP-SBJ (NR 京东)' || CASE n % 3 WHEN 0 THEN ' (ADJP (JJ 好))' WHEN 1 THEN ' (NN 集团)' ELSE '' END || ') (VP (VV 生产) ' || CASE part % 4 WHEN 0 THEN '(NP-OBJ (QP (CD ' || CAST(n AS STRING) || ')) (NN 钢材))' WHEN 1 THEN '(NP (NP (NN 公司)) (PP-LOC (P 在) (NP (NR 北京))))'
+        WHEN 2 THEN '(IP (VP (VV 看)))' ELSE '(VV 去)' END || ')' || CASE supp % 2 WHEN 0 THEN ' (PU 。)' ELSE '' END || ')' AS tree FROM ({order_lines}) AS o""",
     # annotations as recognizers give them: a line of an order is an entity, a claim, an argument or a tag, as its digits say
     "entities": """SELECT doc_id, 'ent_' || lpad(CAST(line + 1 AS STRING), 3, '0') AS entity_id, text, category, CAST(line * 3 + supp % 3 AS INT) AS start, CAST(line * 3 + supp % 3 + length(text) AS INT) AS "end", source, confidence FROM (
         SELECT doc_id, line, supp, CASE part % 6 WHEN 0 THEN '北京大学' WHEN 1 THEN '碳钢' WHEN 2 THEN CAST(n AS STRING) WHEN 3 THEN '4.3.' || CAST(n AS STRING) WHEN 4 THEN 'GB5015' || CAST(n AS STRING) ELSE '第' || CAST(n AS STRING) || '章' END AS text,
@@ -100,7 +103,7 @@ TABLES: dict[str, str] = {
     "cup_entities": """SELECT t.doc_id, 'ent_' || lpad(CAST(t.tok_idx AS STRING), 3, '0') AS entity_id, t.text, 'PRODUCT' AS category, t.start, t."end", CASE o.supp % 2 WHEN 0 THEN 'ner' ELSE 'keyword' END AS source, CAST((o.n % 10) / 10.0 AS DOUBLE) AS confidence
         FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line WHERE t.tok_idx % 5 = 3 AND o.n % 2 = 0""",
     "discovered": """SELECT DISTINCT t.doc_id, t.text AS word, CAST(length(t.text) * 1.5 AS DOUBLE) AS score FROM ({clause_tokens}) AS t WHERE t.tok_idx % 4 = 0""",
-    "tags": f"""SELECT doc_id * 10 + line AS id, {sign('BIOSEULM', 'part % 8')} || '-PER ' || {sign('BIIEMMLL', 'supp % 8')} || '-PER O ' || {sign('BISE', 'n % 4')} || '-LOC ' || {sign('IIEB', 'part % 4')} || '-LOC' AS tags FROM ({{order_lines}}) AS o""",
+    "tags": f"""SELECT doc_id * 100 + line AS id, {sign('BIOSEULM', 'part % 8')} || '-PER ' || {sign('BIIEMMLL', 'supp % 8')} || '-PER O ' || {sign('BISE', 'n % 4')} || '-LOC ' || {sign('IIEB', 'part % 4')} || '-LOC' AS tags FROM ({{order_lines}}) AS o""",
     "dates": """SELECT id, CASE id % 8 WHEN 0 THEN y || '年' || m || '月' || d || '日' WHEN 1 THEN y || '年' || m || '月' WHEN 2 THEN y || '年' WHEN 3 THEN y || '/' || m || '/' || d WHEN 4 THEN y || m || d WHEN 5 THEN y || '.' || m || '.' || d WHEN 6 THEN d || m || y ELSE day || 'T00' END AS text
         FROM (SELECT o_orderkey AS id, day, substr(day, 1, 4) AS y, substr(day, 6, 2) AS m, substr(day, 9, 2) AS d FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM {orders}) AS a) AS b""",
     "texts": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '我们的公司在' || text || '发布了' || CAST(doc_id % 30 AS STRING) || '个产品，增长' || CAST(doc_id % 90 AS STRING) || '%。' WHEN 1 THEN 'The company was founded in California on ' || text || '. It has ' || CAST(doc_id % 50 AS STRING) || ' offices.'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom import derived
-from textloom.operators import classical, frame_events, gazetteer, mentions, relations
+from textloom.operators import batching, classical, frame_events, gazetteer, mentions, metrics, relations, trees
 from textloom.queries import docs, query, table
 
 
@@ -259,3 +259,48 @@ def gazetteer_pieces(spark, sf_dir):
     taken = gazetteer.leftmost_longest(gazetteer.matches(rows, names_in_talk(spark, sf_dir)))
     pieces = gazetteer.split(rows, taken).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("p"), F.count(F.lit(1)).alias("pieces"), F.count_if("known").alias("known"))
     return pieces.select("doc_id", "pieces", "known", F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "|")).alias("digest"))
+
+
+TREES = derived.with_tables("trees") + r""", signs AS (SELECT sent_id, tree, unnest(range(1, length(tree) + 1)) AS i FROM trees), open_close AS (SELECT sent_id, tree, i, tree[i] AS c, sum(CASE tree[i] WHEN '(' THEN 1 ELSE -1 END) OVER (PARTITION BY sent_id ORDER BY i) AS after FROM signs WHERE tree[i] IN ('(', ')')),
+opened AS (SELECT o.*, (SELECT min(c.i) FROM open_close c WHERE c.sent_id = o.sent_id AND c.i > o.i AND c.c = ')' AND c.after = o.after - 1) AS shut FROM open_close o WHERE o.c = '('),
+spans AS (SELECT sent_id, i, shut, CAST(after AS INTEGER) AS depth, regexp_extract(substr(tree, i), '^[(]([^\s()]*)', 1) AS label, CAST(len(regexp_extract_all(substr(tree, 1, i), '[(][^\s()]+ [^\s()]+[)]')) AS INTEGER) AS start, CAST(len(regexp_extract_all(substr(tree, 1, shut), '[(][^\s()]+ [^\s()]+[)]')) AS INTEGER) AS "end" FROM opened),
+nodes AS (SELECT s.*, (SELECT count(*) FROM spans p WHERE p.sent_id = s.sent_id AND p.i < s.i AND p.shut > s.shut) AS above, NOT EXISTS (SELECT 1 FROM spans c WHERE c.sent_id = s.sent_id AND c.i > s.i AND c.shut < s.shut) AND "end" - start = 1 AS tag,
+  (SELECT arg_max(p.label, p.i) FROM spans p WHERE p.sent_id = s.sent_id AND p.i < s.i AND p.shut > s.shut) AS parent_label FROM spans s)""".replace("\\\\", "\\")
+
+
+@query(TREES + """ SELECT sent_id, depth, label, start, "end", tag, parent_label FROM nodes""")
+def tree_nodes(spark, sf_dir):
+    found = trees.nodes(derived.frame(spark, sf_dir, "trees"))
+    parents = found.select("sent_id", F.col("node").alias("parent"), F.col("label").alias("parent_label"))
+    return found.join(parents, ["sent_id", "parent"], "left").select("sent_id", "depth", "label", "start", "end", "tag", "parent_label")
+
+
+@query(derived.with_tables("trees") + " SELECT sent_id, tree FROM trees")
+def trees_again(spark, sf_dir):
+    """Trees from their spans: the same text."""
+    rows = derived.frame(spark, sf_dir, "trees")
+    return trees.bracketed(trees.nodes(rows), trees.words(rows))
+
+
+@query(TREES + """, gold AS (SELECT sent_id, start, "end", regexp_replace(label, '^(.+?)-.*$', '\\1') AS label FROM nodes WHERE NOT tag AND start < "end"), found AS (SELECT * FROM gold WHERE "end" - start <> 2),
+n AS (SELECT sent_id, start, "end", label, count(*) AS n FROM gold GROUP BY ALL), m AS (SELECT sent_id, start, "end", label, count(*) AS n FROM found GROUP BY ALL)
+SELECT CAST(sum(least(coalesce(n.n, 0), coalesce(m.n, 0))) AS BIGINT) AS matches, CAST(sum(coalesce(n.n, 0)) AS BIGINT) AS gold, CAST(sum(coalesce(m.n, 0)) AS BIGINT) AS found FROM n FULL JOIN m USING (sent_id, start, "end", label)""")
+def tree_scores(spark, sf_dir):
+    """Constituents against those that are not of two words."""
+    gold = trees.constituents(trees.nodes(derived.frame(spark, sf_dir, "trees"), subcategories=False))
+    return metrics.bracket_scores(gold, gold.where("`end` - start <> 2")).where("kind = 'labelled'").select("matches", "gold", "found")
+
+
+BUCKETS = """WITH RECURSIVE h AS (SELECT length(text) AS length, count(*) AS n FROM documents GROUP BY 1), one AS (SELECT list(struct_pack(l := length, n := n) ORDER BY length) AS hs, min(length) AS low, max(length) AS high FROM h),
+r AS (SELECT 0 AS round, hs, list_transform(range(0, 8), lambda j: low + (j + 0.5) * (high - low) / 8) AS cs FROM one
+  UNION ALL SELECT round + 1, hs, list_filter(list_transform(range(1, len(cs) + 1), lambda j: list_sum(list_transform(list_filter(own, lambda o: o.i = j), lambda o: o.l * o.n)) / list_sum(list_transform(list_filter(own, lambda o: o.i = j), lambda o: o.n))), lambda c: c IS NOT NULL)
+  FROM (SELECT round, hs, cs, list_transform(hs, lambda x: struct_pack(l := x.l, n := x.n, i := list_position(list_transform(cs, lambda c: abs(x.l - c)), list_min(list_transform(cs, lambda c: abs(x.l - c)))))) AS own FROM r WHERE round < 32)),
+c AS (SELECT cs FROM r WHERE round = 32), b AS (SELECT doc_id, length(text) AS l, list_position(list_transform(cs, lambda c: abs(length(text) - c)), list_min(list_transform(cs, lambda c: abs(length(text) - c)))) AS j, cs FROM documents, c),
+m AS (SELECT j, any_value(cs)[j] AS centre, count(*) AS m, sum(l) AS tokens FROM b GROUP BY j)"""
+
+
+@query(BUCKETS + """ SELECT CAST(j - 1 AS INTEGER) AS bucket, m AS rows, CAST(tokens AS BIGINT) AS tokens, CAST(least(m, greatest(1, round(centre * m / 65536))) AS BIGINT) AS batches FROM m""")
+def length_buckets(spark, sf_dir):
+    """Buckets of documents by length: rows, tokens and batches of about 65,536 tokens."""
+    found = batching.batched(docs(spark, sf_dir).select("doc_id", F.length("text").alias("l")), "l", "doc_id", 1 << 16)
+    return found.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("l").alias("tokens"), (F.max("batch") + 1).cast("long").alias("batches"))
