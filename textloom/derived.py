@@ -69,6 +69,14 @@ TABLES: dict[str, str] = {
     # a bracketed tree for each line of an order
     "trees": """SELECT doc_id * 100 + line AS sent_id, '(IP (NP-SBJ (NR 京东)' || CASE n % 3 WHEN 0 THEN ' (ADJP (JJ 好))' WHEN 1 THEN ' (NN 集团)' ELSE '' END || ') (VP (VV 生产) ' || CASE part % 4 WHEN 0 THEN '(NP-OBJ (QP (CD ' || CAST(n AS STRING) || ')) (NN 钢材))' WHEN 1 THEN '(NP (NP (NN 公司)) (PP-LOC (P 在) (NP (NR 北京))))'
         WHEN 2 THEN '(IP (VP (VV 看)))' ELSE '(VV 去)' END || ')' || CASE supp % 2 WHEN 0 THEN ' (PU 。)' ELSE '' END || ')' AS tree FROM ({order_lines}) AS o""",
+    # names with properties: a clause begins with a name; what is said of it stands where its noun does
+    "owners": """SELECT doc_id, 'e' || CAST(tok_idx AS STRING) AS entity_id, text, CASE tok_idx % 3 WHEN 0 THEN 'PRODUCT' ELSE 'ORGANIZATION' END AS category, start, "end" FROM ({clause_tokens}) AS t WHERE tok_idx % 5 = 0
+        UNION ALL SELECT doc_id, 'p' || CAST(line AS STRING) AS entity_id, CASE part % 4 WHEN 0 THEN '高强度' WHEN 1 THEN '好韧性' WHEN 2 THEN '耐磨' ELSE '硬度' END AS text, CASE supp % 5 WHEN 0 THEN 'MATERIAL' ELSE 'PARAMETER' END AS category, CAST(line * 9 + 5 AS INT) AS start, CAST(line * 9 + 7 AS INT) AS "end" FROM ({order_lines}) AS o""",
+    "owner_frames": """SELECT doc_id, line AS frame_idx, CASE j WHEN 0 THEN name WHEN 1 THEN '具有' ELSE said END AS text, CASE j WHEN 0 THEN 'ARG0' WHEN 1 THEN 'PRED' ELSE 'ARG1' END AS role, CAST(line * 5 + j AS INT) AS start, CAST(line * 5 + j + 1 AS INT) AS "end" FROM (
+        SELECT t.doc_id, t.line, t.text AS name, CASE o.n % 4 WHEN 0 THEN '高强度和好韧性' WHEN 1 THEN '耐磨' WHEN 2 THEN '很高的硬度' ELSE '高强度' END AS said FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line WHERE t.tok_idx % 5 = 0 AND o.supp % 3 <> 0) AS f JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS v(j)) AS k ON k.j >= 0""",
+    "owner_arcs": """SELECT t.doc_id, t.tok_idx AS child, CAST(t.tok_idx - 1 AS INT) AS head, CASE (o.part + t.tok_idx) % 4 WHEN 0 THEN 'amod' WHEN 1 THEN 'RCMOD' WHEN 2 THEN 'assmod' ELSE 'dep' END AS rel FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line WHERE t.tok_idx % 5 IN (1, 4)""",
+    "owner_claims": """SELECT t.doc_id, 'r' || CAST(t.line AS STRING) AS rel_id, CASE o.supp % 3 WHEN 0 THEN 'it' ELSE t.text END AS subject, t.text AS subject_raw, CASE o.n % 3 WHEN 0 THEN 'IS_A' WHEN 1 THEN 'PROPERTY_OF' ELSE 'HAS_PROPERTY' END AS predicate, '有' AS predicate_verb, CASE o.part % 5 WHEN 0 THEN '高强度' WHEN 1 THEN '强度' WHEN 2 THEN '京东' WHEN 3 THEN '耐磨' ELSE '低温度' END AS object,
+        CASE o.part % 5 WHEN 0 THEN '很高强度' WHEN 1 THEN '强度' WHEN 2 THEN '京东' WHEN 3 THEN '' ELSE '低温度' END AS object_raw, CAST(0.7 AS DOUBLE) AS confidence FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line WHERE t.tok_idx % 5 = 0""",
     # annotations as recognizers give them: a line of an order is an entity, a claim, an argument or a tag, as its digits say
     "entities": """SELECT doc_id, 'ent_' || lpad(CAST(line + 1 AS STRING), 3, '0') AS entity_id, text, category, CAST(line * 3 + supp % 3 AS INT) AS start, CAST(line * 3 + supp % 3 + length(text) AS INT) AS "end", source, confidence FROM (
         SELECT doc_id, line, supp, CASE part % 6 WHEN 0 THEN '北京大学' WHEN 1 THEN '碳钢' WHEN 2 THEN CAST(n AS STRING) WHEN 3 THEN '4.3.' || CAST(n AS STRING) WHEN 4 THEN 'GB5015' || CAST(n AS STRING) ELSE '第' || CAST(n AS STRING) || '章' END AS text,

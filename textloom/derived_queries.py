@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom import derived
-from textloom.operators import batching, classical, frame_events, gazetteer, mentions, metrics, relations, trees
+from textloom.operators import attributes, batching, classical, frame_events, gazetteer, mentions, metrics, relations, trees
 from textloom.queries import docs, query, table
 
 
@@ -304,3 +304,23 @@ def length_buckets(spark, sf_dir):
     """Buckets of documents by length: rows, tokens and batches of about 65,536 tokens."""
     found = batching.batched(docs(spark, sf_dir).select("doc_id", F.length("text").alias("l")), "l", "doc_id", 1 << 16)
     return found.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("l").alias("tokens"), (F.max("batch") + 1).cast("long").alias("batches"))
+
+
+@query(derived.with_tables("owners", "owner_frames", "owner_arcs", "owner_claims", "clause_tokens") + """, last AS (SELECT doc_id, text, arg_max(struct_pack(id := entity_id, cat := category), struct_pack(s := start, e := "end", i := entity_id)) AS e FROM owners GROUP BY doc_id, text),
+fr AS (SELECT doc_id, frame_idx, max(text) FILTER (role = 'ARG0') AS owner, max(text) FILTER (role = 'ARG1') AS said, max(text) FILTER (role = 'PRED') AS verb FROM owner_frames GROUP BY doc_id, frame_idx),
+p AS (SELECT DISTINCT doc_id, text AS param FROM owners WHERE category = 'PARAMETER'),
+a AS (SELECT fr.doc_id, last.e.id AS entity_id, CASE WHEN ends_with(param, '强度') AND param <> '强度' THEN '强度' WHEN ends_with(param, '韧性') AND param <> '韧性' THEN '韧性' ELSE param END AS key,
+    CASE WHEN ends_with(param, '强度') AND param <> '强度' THEN param[1:length(param) - 2] WHEN ends_with(param, '韧性') AND param <> '韧性' THEN param[1:length(param) - 2] ELSE '' END AS value, verb AS predicate_verb, 0.85 AS confidence, 'frames' AS source, NULL AS source_relation_id, 0 AS s, frame_idx::BIGINT AS n, param AS t
+  FROM fr JOIN last ON last.doc_id = fr.doc_id AND last.text = owner JOIN p ON p.doc_id = fr.doc_id AND contains(said, param)),
+tok AS (SELECT t.doc_id, t.tok_idx, arg_max(struct_pack(id := entity_id, cat := category), struct_pack(s := e.start, e := e."end", i := entity_id)) AS e FROM clause_tokens t JOIN owners e ON e.doc_id = t.doc_id AND t.start < e."end" AND t."end" > e.start GROUP BY t.doc_id, t.tok_idx),
+b AS (SELECT d.doc_id, tok.e.id, CASE lower(rel) WHEN 'amod' THEN tok.e.cat WHEN 'rcmod' THEN 'description' ELSE 'association' END, c.text, '', CASE lower(rel) WHEN 'amod' THEN 0.75 WHEN 'rcmod' THEN 0.6 ELSE 0.65 END, 'arcs', NULL, 1, child::BIGINT, lower(rel)
+  FROM owner_arcs d JOIN tok ON tok.doc_id = d.doc_id AND tok.tok_idx = d.head JOIN clause_tokens c ON c.doc_id = d.doc_id AND c.tok_idx = d.child WHERE lower(rel) IN ('amod', 'rcmod', 'assmod')),
+c AS (SELECT r.doc_id, coalesce(x.e.id, y.e.id), CASE WHEN regexp_matches(said, '.(强度|韧性|硬度|温度|压力|浓度|速度|精度|密度)$') THEN right(said, 2) ELSE object END, CASE WHEN regexp_matches(said, '.(强度|韧性|硬度|温度|压力|浓度|速度|精度|密度)$') THEN said[1:length(said) - 2] ELSE '' END, predicate_verb, confidence, 'relations', rel_id, 2, length(rel_id)::BIGINT, rel_id
+  FROM (SELECT *, CASE WHEN object_raw = '' THEN object ELSE object_raw END AS said FROM owner_claims WHERE predicate IN ('HAS_PROPERTY', 'PROPERTY_OF')) r LEFT JOIN last x ON x.doc_id = r.doc_id AND x.text = r.subject LEFT JOIN last y ON y.doc_id = r.doc_id AND y.text = r.subject_raw LEFT JOIN last o ON o.doc_id = r.doc_id AND o.text = r.object
+  WHERE coalesce(x.e.id, y.e.id) IS NOT NULL AND (o.e IS NULL OR o.e.cat IN ('PARAMETER', 'NUMBER', 'DATE'))),
+every AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c),
+kept AS (SELECT * FROM every QUALIFY source = 'frames' OR row_number() OVER (PARTITION BY doc_id, entity_id, key, value ORDER BY s, n, t) = 1)
+SELECT doc_id, entity_id, CAST(row_number() OVER (PARTITION BY doc_id, entity_id ORDER BY s, n, t, key, value) AS INTEGER) AS nth, key, value, predicate_verb, CAST(confidence AS DOUBLE) AS confidence, source, source_relation_id FROM kept""")
+def entity_attributes(spark, sf_dir):
+    t = {n: derived.frame(spark, sf_dir, n) for n in ("owners", "owner_frames", "clause_tokens", "owner_arcs", "owner_claims")}
+    return attributes.attributes(t["owners"], t["owner_frames"], t["clause_tokens"], t["owner_arcs"], t["owner_claims"], known=["强度", "韧性"])
