@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom import derived
-from textloom.operators import attributes, batching, classical, frame_events, gazetteer, mentions, metrics, relations, trees
+from textloom.operators import attributes, batching, classical, frame_events, gazetteer, mentions, metrics, relations, similarity, trees
 from textloom.queries import docs, query, table
 
 
@@ -324,3 +324,17 @@ SELECT doc_id, entity_id, CAST(row_number() OVER (PARTITION BY doc_id, entity_id
 def entity_attributes(spark, sf_dir):
     t = {n: derived.frame(spark, sf_dir, n) for n in ("owners", "owner_frames", "clause_tokens", "owner_arcs", "owner_claims")}
     return attributes.attributes(t["owners"], t["owner_frames"], t["clause_tokens"], t["owner_arcs"], t["owner_claims"], known=["强度", "韧性"])
+
+
+WORD_VECTOR = "(ascii(keyword) * 7 + length(keyword)) % 400"
+
+
+@query(GAZETTEER + f""", v AS (SELECT keyword, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM dict JOIN embeddings ON vec_id = {WORD_VECTOR}),
+w AS (SELECT doc_id, substr(text, m.s + 1, m.e - m.s) AS keyword FROM walked JOIN documents USING (doc_id)), x AS (SELECT doc_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM w JOIN v USING (keyword)), mean AS (SELECT doc_id, i, avg(x) AS x, count(*) AS n FROM x GROUP BY doc_id, i)
+SELECT doc_id, max(n) AS words, CAST(round(sqrt(sum(x * x)), 5) AS DOUBLE) AS size FROM mean GROUP BY doc_id""")
+def phrase_sizes(spark, sf_dir):
+    """Lengths of the mean vectors of the documents, words of the conversations having vectors."""
+    words = names_in_talk(spark, sf_dir).withColumn("vec_id", F.expr(WORD_VECTOR))
+    vocabulary = words.join(table(spark, sf_dir, "embeddings"), "vec_id").select(F.col("keyword").alias("word"), F.col("embedding").alias("vector"))
+    found = similarity.phrase_vectors(docs(spark, sf_dir), vocabulary)
+    return found.select("doc_id", "words", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 5).alias("size"))
