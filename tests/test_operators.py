@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom import fixtures as fx
 from textloom.functions import language, spans, text
 from textloom.operators import discovery, entities, relations, sentences, summary, tags, titles
-from textloom.plans.analyze import analyze
+from textloom.plans.analyze import Options, analyze
 from textloom.sources import readers, writers
 from textloom.streaming.streams import busy_windows, by_batch
 
@@ -208,6 +208,38 @@ def test_analyze(spark):
     assert entities.invalid(got["entities"]).count() == 0
 
 
+def test_the_whole_analysis(spark):
+    text = "陈胜者，阳城人也，字涉。碳钢公司生产钢材。该公司具有高强度。"
+    words = "陈胜/NR 者/X ，/PU 阳城/NR 人也/X ，/PU 字涉/X 。/PU 碳钢/NN 公司/NN 生产/VV 钢材/NN 。/PU 该/DT 公司/NN 具有/VV 高强度/NN 。/PU".split()
+    rows, at = [], 0
+    for i, w in enumerate(words):
+        word, tag = w.split("/")
+        rows.append((1, i, word, tag, at, at + len(word)))
+        at += len(word)
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    tokens = spark.createDataFrame(rows, "doc_id int, tok_idx int, text string, pos string, start int, end int")
+    deps = spark.createDataFrame([(1, 9, 10, "nsubj"), (1, 8, 9, "nn"), (1, 10, -1, "root"), (1, 11, 10, "dobj"), (1, 14, 15, "nsubj"), (1, 15, 10, "conj"), (1, 16, 15, "dobj")], "doc_id int, child int, head int, rel string")
+    frames = spark.createDataFrame([(1, 0, "碳钢公司", "ARG0", 8, 10), (1, 0, "生产", "PRED", 10, 11), (1, 0, "钢材", "ARG1", 11, 12), (1, 1, "该公司", "ARG0", 13, 15), (1, 1, "具有", "PRED", 15, 16), (1, 1, "高强度", "ARG1", 16, 17)], "doc_id int, frame_idx int, text string, role string, start int, end int")
+    named = [("碳钢公司", "ORGANIZATION"), ("钢材", "PRODUCT"), ("陈胜", "PERSON"), ("阳城", "LOCATION"), ("高强度", "PARAMETER")]
+    recognized = spark.createDataFrame([(1, f"r{i}", t, k, text.find(t), text.find(t) + len(t), "ner", 0.9) for i, (t, k) in enumerate(named)], "doc_id int, entity_id string, text string, category string, start int, end int, source string, confidence double")
+    got = analyze(docs, tokens, deps, frames, recognized, options=Options(language="classical"))
+    triples = {(r["subject"], r["predicate_verb"], r["object"]) for r in got["relations"].collect()}
+    assert triples == {("碳钢公司", "生产", "钢材"), ("碳钢公司", "具有", "高强度")}  # 该公司 stands for the company
+    assert {(r["subject"], r["predicate"], r["object"]) for r in got["classical_relations"].collect()} >= {("陈胜", "LOCATED_AT", "阳城"), ("陈胜", "HAS_STYLE_NAME", "涉")}
+    assert {r["trigger"] for r in got["events"].collect()} == {"生产", "具有"}
+    assert ("碳钢公司", "该公司") in {tuple(sorted([r["text"] for r in got["mentions"].where(f"chain_id = '{c['chain_id']}'").collect()], key=len, reverse=True)) for c in got["chains"].collect()}
+    assert got["entity_titles"].count() == 1 and entities.invalid(got["entities"]).count() == 0
+    again = analyze(docs, tokens, deps, frames, recognized, options=Options(discover=True))
+    assert "new_words" in again and "events" not in again and again["tokens"].count() <= tokens.count()
+
+
+def test_numbers_leave_out_what_is_taken(spark):
+    docs = spark.createDataFrame([(1, "增长50%，共3个"), (2, "50%")], "doc_id int, text string")
+    taken = spark.createDataFrame([(1, 2, 5)], "doc_id int, start int, end int")
+    plain = {(r["doc_id"], r["text"]) for r in entities.numbers(docs).collect()}
+    assert {(r["doc_id"], r["text"]) for r in entities.numbers(docs, taken=taken).collect()} == plain - {(1, "50%")}
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(1, "A b. C d."), (2, "E.")], "doc_id long, text string")
     rows.write.parquet(str(tmp_path / "in"))

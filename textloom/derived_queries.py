@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom import derived
-from textloom.operators import attributes, batching, classical, frame_events, gazetteer, mentions, metrics, relations, similarity, trees
+from textloom.operators import attributes, batching, classical, dictionaries, entities, frame_events, gazetteer, mentions, metrics, relations, similarity, trees
+from textloom.plans.analyze import Options, analyze
 from textloom.queries import docs, query, table
 
 
@@ -338,3 +339,33 @@ def phrase_sizes(spark, sf_dir):
     vocabulary = words.join(table(spark, sf_dir, "embeddings"), "vec_id").select(F.col("keyword").alias("word"), F.col("embedding").alias("vector"))
     found = similarity.phrase_vectors(docs(spark, sf_dir), vocabulary)
     return found.select("doc_id", "words", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 5).alias("size"))
+
+
+@query(derived.with_tables("clause_tokens", "order_lines") + """, w AS (SELECT DISTINCT a.doc_id, a.text || b.text AS word FROM clause_tokens a JOIN clause_tokens b ON b.doc_id = a.doc_id AND b.tok_idx = a.tok_idx + 1 JOIN order_lines o ON o.doc_id = a.doc_id AND o.line = a.line WHERE a.tok_idx % 5 = 0 AND o.part % 3 = 0),
+n AS (SELECT t.*, lead(text) OVER o AS next, lag(text) OVER o AS prev FROM clause_tokens t WINDOW o AS (PARTITION BY doc_id ORDER BY tok_idx)),
+m AS (SELECT n.*, tok_idx % 5 = 0 AND (doc_id, text || next) IN (SELECT (doc_id, word) FROM w) AS begins, tok_idx % 5 = 1 AND (doc_id, prev || text) IN (SELECT (doc_id, word) FROM w) AS ends FROM n),
+k AS (SELECT doc_id, tok_idx, CASE WHEN begins THEN text || next ELSE text END AS text, start, CASE WHEN begins THEN "end" + 2 ELSE "end" END AS "end" FROM m WHERE NOT ends)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tok_idx) - 1 AS INTEGER) AS tok_idx, text, start, CAST("end" AS INTEGER) AS "end" FROM k""")
+def tokens_put_together(spark, sf_dir):
+    t, lines = derived.frame(spark, sf_dir, "clause_tokens"), derived.frame(spark, sf_dir, "order_lines")
+    after = t.select("doc_id", (F.col("tok_idx") - 1).alias("tok_idx"), F.col("text").alias("next"))
+    words = t.where("tok_idx % 5 = 0").join(after, ["doc_id", "tok_idx"]).join(lines.where("part % 3 = 0").select("doc_id", "line"), ["doc_id", "line"]).select("doc_id", F.concat("text", "next").alias("word"))
+    return dictionaries.put_together(t.drop("line"), words).drop("pos")
+
+
+@query(derived.with_tables("touching", "candidates") + """ SELECT t.doc_id, t.entity_id, t.start, t."end" FROM touching t WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.doc_id = t.doc_id AND c.start < t."end" AND c."end" > t.start)""")
+def entities_without_overlaps(spark, sf_dir):
+    return entities.without_overlaps(derived.frame(spark, sf_dir, "touching"), derived.frame(spark, sf_dir, "candidates")).select("doc_id", "entity_id", "start", "end")
+
+
+@query()
+def whole_analysis(spark, sf_dir):
+    """All findings of the analysis of the clauses, counted by document and table."""
+    t, texts, _ = clause_tables(spark, sf_dir)
+    given = derived.frame(spark, sf_dir, "clause_entities").withColumns({"source": F.lit("ner"), "confidence": F.lit(0.9)})
+    found = analyze(texts, t["clause_tokens"].drop("line"), t["clause_deps"], t["clause_frames"], given, options=Options(clean_html=False))
+    rows = None
+    for name in ("sentences", "entities", "relations", "events", "arguments", "chains", "attributes", "bridges", "noun_signals", "classical_relations", "entity_titles"):
+        one = found[name].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit(name).alias("table"), "n")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows

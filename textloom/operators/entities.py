@@ -96,10 +96,11 @@ def pattern_spans(c: Column, pattern: str) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
-def numbers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns: list[tuple[str, str]] | None = None) -> DataFrame:
+def numbers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns: list[tuple[str, str]] | None = None, taken: DataFrame | None = None) -> DataFrame:
     """Dates, amounts of money, percentages and quantities: rows (doc_id, text, start, end, source, normalized, category, confidence).
 
-    Patterns are tried in order; a match that overlaps an earlier one is left out. One fold over all matches of a text.
+    Patterns are tried in order; a match that overlaps an earlier one, or one of the spans ``taken`` (doc_id, start, end), is
+    left out. One fold over all matches of a text.
     """
     kind = "array<struct<text:string,start:int,end:int,source:string>>"
 
@@ -107,6 +108,10 @@ def numbers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         return F.transform(pattern_spans(F.col(text_col), pattern), lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), F.lit(source).alias("source")))
 
     every = F.concat(*[labelled(*p) for p in patterns or NUMBER_PATTERNS])
+    if taken is not None:
+        own = taken.groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_list(F.struct("start", "end")).alias("__taken"))
+        docs = docs.where(F.col(text_col).rlike(r"\d")).join(own, id_col, "left")
+        every = F.filter(every, lambda m: ~F.exists(F.coalesce("__taken", F.array().cast(own.schema["__taken"].dataType)), lambda o: (m["start"] < o["end"]) & (m["end"] > o["start"])))
     kept = F.aggregate(every, F.array().cast(kind), lambda acc, m: F.when(F.exists(acc, lambda o: (m["start"] < o["end"]) & (m["end"] > o["start"])), acc).otherwise(F.concat(acc, F.array(m))).cast(kind))
     found = docs.where(F.col(text_col).rlike(r"\d")).select(F.col(id_col).alias("doc_id"), F.explode(kept).alias("m")).select("doc_id", "m.text", "m.start", "m.end", "m.source")
     normal = F.when(F.col("source") == "numeric/date", text.normal_date(F.col("text"))).otherwise(F.col("text"))
@@ -308,6 +313,16 @@ def union_layers(*layers: DataFrame) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r", "__layer")
 
 
+def without_overlaps(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Rows of ``later`` (doc_id, start, end, ...) whose span overlaps none of ``earlier``: of what begins before such a span
+    ends, nothing may end after it begins; found by a running maximum, without pairs of rows."""
+    upto = Window.partitionBy("doc_id").orderBy("__at", F.col("__earlier").cast("int")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans_ = earlier.select("doc_id", "start", "end", F.col("start").alias("__at"), F.lit(True).alias("__earlier"))
+    both = later.withColumns({"__at": F.col("end"), "__earlier": F.lit(False)}).unionByName(spans_, allowMissingColumns=True)
+    reach = F.max(F.when(F.col("__earlier"), F.col("end"))).over(upto)
+    return both.withColumn("__reach", reach).where(~F.col("__earlier") & (F.col("__reach").isNull() | (F.col("__reach") <= F.col("start")))).select(later.columns)
+
+
 def with_ids(entities: DataFrame, prefix: str = "ent", key: str = "entity_id") -> DataFrame:
     """Ids by place, numbered through each document; of rows of equal text and span the first by category and then source, if
     there are such columns, stays."""
