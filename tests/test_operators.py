@@ -233,6 +233,17 @@ def test_the_whole_analysis(spark):
     assert "new_words" in again and "events" not in again and again["tokens"].count() <= tokens.count()
 
 
+def test_compounds_of_tokens(spark):
+    said = "石/NN 墨/NN 烯/NN 材/NN 料/NN 很/AD 好/VV 。/PU 石/NN 墨/JJ 的/DEG 石/NN 墨/VV 电池/NN 电池/VV".split()
+    tokens = spark.createDataFrame([(1, i, *w.split("/")) for i, w in enumerate(said)], "doc_id int, tok_idx int, text string, pos string")
+    text = "".join(w.split("/")[0] for w in said)
+    sents = spark.createDataFrame([(1, 0, text[:8]), (1, 1, text[8:])], "doc_id int, sent_idx int, text string")
+    got = {r["word"]: (r["frequency"], round(r["left_entropy"], 4), round(r["right_entropy"], 4), round(r["score"], 4)) for r in discovery.compounds(tokens, sents).collect()}
+    # five single signs are a run of four, and one that is alone; 石墨 stands at two beginnings of sentences
+    assert got == {"石墨烯材": (1, 0.0, 0.0, 6.0), "石墨": (3, 0.0, 1.585, 3.5), "电池": (2, 0.0, 0.0, 5.5)}
+    assert discovery.compounds(tokens.where("doc_id > 1"), sents).count() == 0
+
+
 def test_numbers_leave_out_what_is_taken(spark):
     docs = spark.createDataFrame([(1, "增长50%，共3个"), (2, "50%")], "doc_id int, text string")
     taken = spark.createDataFrame([(1, 2, 5)], "doc_id int, start int, end int")

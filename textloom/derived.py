@@ -77,6 +77,8 @@ TABLES: dict[str, str] = {
     "owner_arcs": """SELECT t.doc_id, t.tok_idx AS child, CAST(t.tok_idx - 1 AS INT) AS head, CASE (o.part + t.tok_idx) % 4 WHEN 0 THEN 'amod' WHEN 1 THEN 'RCMOD' WHEN 2 THEN 'assmod' ELSE 'dep' END AS rel FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line WHERE t.tok_idx % 5 IN (1, 4)""",
     "owner_claims": """SELECT t.doc_id, 'r' || CAST(t.line AS STRING) AS rel_id, CASE o.supp % 3 WHEN 0 THEN 'it' ELSE t.text END AS subject, t.text AS subject_raw, CASE o.n % 3 WHEN 0 THEN 'IS_A' WHEN 1 THEN 'PROPERTY_OF' ELSE 'HAS_PROPERTY' END AS predicate, '有' AS predicate_verb, CASE o.part % 5 WHEN 0 THEN '高强度' WHEN 1 THEN '强度' WHEN 2 THEN '京东' WHEN 3 THEN '耐磨' ELSE '低温度' END AS object,
         CASE o.part % 5 WHEN 0 THEN '很高强度' WHEN 1 THEN '强度' WHEN 2 THEN '京东' WHEN 3 THEN '' ELSE '低温度' END AS object_raw, CAST(0.7 AS DOUBLE) AS confidence FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line WHERE t.tok_idx % 5 = 0""",
+    # tokens of one sign, and now and then of two
+    "sign_tokens": f"""SELECT doc_id, line AS tok_idx, CASE n % 6 WHEN 0 THEN '钢材' WHEN 1 THEN '学院' ELSE {sign('石墨烯材石电的墨大组', 'part % 10')} END AS text, CASE supp % 5 WHEN 0 THEN 'AD' WHEN 1 THEN 'VV' WHEN 2 THEN 'JJ' ELSE 'NN' END AS pos FROM ({{order_lines}}) AS o""",
     # annotations as recognizers give them: a line of an order is an entity, a claim, an argument or a tag, as its digits say
     "entities": """SELECT doc_id, 'ent_' || lpad(CAST(line + 1 AS STRING), 3, '0') AS entity_id, text, category, CAST(line * 3 + supp % 3 AS INT) AS start, CAST(line * 3 + supp % 3 + length(text) AS INT) AS "end", source, confidence FROM (
         SELECT doc_id, line, supp, CASE part % 6 WHEN 0 THEN '北京大学' WHEN 1 THEN '碳钢' WHEN 2 THEN CAST(n AS STRING) WHEN 3 THEN '4.3.' || CAST(n AS STRING) WHEN 4 THEN 'GB5015' || CAST(n AS STRING) ELSE '第' || CAST(n AS STRING) || '章' END AS text,

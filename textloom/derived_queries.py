@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom import derived
-from textloom.operators import attributes, batching, classical, dictionaries, entities, frame_events, gazetteer, mentions, metrics, relations, similarity, trees
+from textloom.operators import attributes, batching, classical, dictionaries, discovery, entities, frame_events, gazetteer, mentions, metrics, relations, similarity, trees
 from textloom.plans.analyze import Options, analyze
 from textloom.queries import docs, query, table
 
@@ -369,3 +369,23 @@ def whole_analysis(spark, sf_dir):
         one = found[name].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit(name).alias("table"), "n")
         rows = one if rows is None else rows.unionByName(one)
     return rows
+
+
+COMMON = ", ".join(map(quoted, discovery.COMMON_SIGNS))
+
+
+@query(derived.with_tables("sign_tokens") + f""", texts AS (SELECT doc_id, string_agg(text, '' ORDER BY tok_idx) AS t FROM sign_tokens GROUP BY doc_id),
+parts AS (SELECT *, tok_idx - row_number() OVER (PARTITION BY doc_id ORDER BY tok_idx) AS run FROM sign_tokens WHERE length(text) = 1 AND pos IN ('NN', 'NR', 'JJ', 'NT', 'VV') AND text NOT IN ({COMMON})),
+cut AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY tok_idx) - 1) // 4 AS k FROM parts), made AS (SELECT DISTINCT doc_id, string_agg(text, '' ORDER BY tok_idx) AS word FROM cut GROUP BY doc_id, run, k HAVING count(*) >= 2),
+spots AS (SELECT doc_id, word, t, unnest(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, length(word)) = word)) AS i FROM made JOIN texts USING (doc_id)),
+sides AS (SELECT doc_id, word, 'l' AS side, substr(t, i - 1, 1) AS c FROM spots WHERE i > 1 UNION ALL SELECT doc_id, word, 'r', substr(t, i + length(word), 1) FROM spots WHERE i + length(word) <= length(t)),
+counts AS (SELECT doc_id, word, side, c, count(*) AS n FROM sides GROUP BY ALL), ent AS (SELECT doc_id, word, side, -sum(n / total * log2(n / total)) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, word, side) AS total FROM counts) GROUP BY ALL),
+every AS (SELECT m.doc_id, m.word, length(m.word) * 1.5 AS base, coalesce(l.e, 0) AS le, coalesce(r.e, 0) AS re FROM made m LEFT JOIN ent l ON l.doc_id = m.doc_id AND l.word = m.word AND l.side = 'l' LEFT JOIN ent r ON r.doc_id = m.doc_id AND r.word = m.word AND r.side = 'r'
+  UNION ALL SELECT DISTINCT doc_id, text, 5.0, 0, 0 FROM sign_tokens WHERE length(text) >= 2 AND pos IN ('NN', 'NR', 'JJ', 'NT')),
+f AS (SELECT e.*, CAST((length(t) - length(replace(t, word, ''))) / length(word) AS BIGINT) AS frequency FROM every e JOIN texts USING (doc_id))
+SELECT doc_id, word, CAST(round(max(base + least(le, re) + CASE WHEN frequency >= 2 THEN 0.5 ELSE 0 END), 5) AS DOUBLE) AS score, max(frequency) AS frequency, CAST(round(abs(max(le)), 5) AS DOUBLE) AS left_entropy, CAST(round(abs(max(re)), 5) AS DOUBLE) AS right_entropy FROM f GROUP BY doc_id, word""")
+def token_compounds(spark, sf_dir):
+    t = derived.frame(spark, sf_dir, "sign_tokens")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "text"))), lambda x: x["text"]), "")
+    found = discovery.compounds(t, t.groupBy("doc_id").agg(F.lit(0).alias("sent_idx"), whole.alias("text")))
+    return found.select("doc_id", "word", *[F.round(c, 5).alias(c) for c in ("score", "left_entropy", "right_entropy")], "frequency")
