@@ -60,3 +60,9 @@ def test_no_rules_and_no_rows(spark):
     frame = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
     assert [tuple(r) for r in judge(frame, []).collect()] == [(1, "http://a/b", "a", "/b", None, "allow")]
     assert judge(frame.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_allowed_with_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "http://a.com/x", 5, "u"), (2, "http://b.org/x", 6, "v"), (3, None, 7, "w")], "page_id int, url string, __blocked int, verdict string")
+    kept = allowed(frame, [Rule("block", "com", "/x")])
+    assert kept.columns == frame.columns and sorted(r["page_id"] for r in kept.collect()) == [2, 3]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_map
+from textloom.llm.common import arrow_map, free_name
 
 BLOCK_RULES = 200_000
 SPLIT = re.compile(r"[./]+")
@@ -142,7 +142,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
 
 
 def allowed(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", default: str = "allow") -> DataFrame:
-    """``pages`` without the rows whose url is blocked: the distinct urls are judged and joined back."""
+    """``pages`` without the rows whose url is blocked: the distinct urls are judged and joined back. Other columns may have
+    any names."""
     verdicts = judge(pages.select(F.col(url_col).alias("url")).distinct().withColumn("id", F.lit(0)), rules, "id", "url", default)
-    blocked = verdicts.where("verdict = 'block'").select(F.col("url").alias("__blocked"))
-    return pages.join(blocked, F.col(url_col).eqNullSafe(F.col("__blocked")), "left_anti")
+    name = free_name(pages, "__blocked")
+    blocked = verdicts.where("verdict = 'block'").select(F.col("url").alias(name))
+    return pages.join(blocked, F.col(url_col).eqNullSafe(F.col(name)), "left_anti")
