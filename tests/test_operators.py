@@ -244,6 +244,15 @@ def test_compounds_of_tokens(spark):
     assert discovery.compounds(tokens.where("doc_id > 1"), sents).count() == 0
 
 
+def test_engine_sentences(spark):
+    cases = {
+        "叶": ["叶"], "他说：“加油。”谢谢": ["他说：“加油。”", "谢谢"], "Go to example.com. Yes.": ["Go to example.com.", "Yes."], "Mr. Fox met Dr. Owl. They left": ["Mr. Fox met Dr. Owl.", "They left"],
+        "The U.S. army came. Ok": ["The U.S. army came.", "Ok"], "a\nb c": ["a", "b c"], "": [], "One!  Two? 3.5 three": ["One!", "Two?", "3.5 three"],
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", text.split_engine(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [r["s"] for r in rows] == list(cases.values())
+
+
 def test_numbers_leave_out_what_is_taken(spark):
     docs = spark.createDataFrame([(1, "增长50%，共3个"), (2, "50%")], "doc_id int, text string")
     taken = spark.createDataFrame([(1, 2, 5)], "doc_id int, start int, end int")

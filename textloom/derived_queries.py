@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom import derived
+from textloom.functions import text as text_functions
 from textloom.operators import attributes, batching, classical, dictionaries, discovery, entities, frame_events, gazetteer, mentions, metrics, relations, similarity, trees
 from textloom.plans.analyze import Options, analyze
 from textloom.queries import docs, query, table
@@ -389,3 +390,15 @@ def token_compounds(spark, sf_dir):
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "text"))), lambda x: x["text"]), "")
     found = discovery.compounds(t, t.groupBy("doc_id").agg(F.lit(0).alias("sent_idx"), whole.alias("text")))
     return found.select("doc_id", "word", *[F.round(c, 5).alias(c) for c in ("score", "left_entropy", "right_entropy")], "frequency")
+
+
+@query(r"""WITH cut AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([。！？?])([^”’])', '\1' || chr(10) || '\2', 'g'), '([.]{6})([^”’])', '\1' || chr(10) || '\2', 'g'), '(…{2})([^”’])', '\1' || chr(10) || '\2', 'g'), '([。！？?][”’])([^，。！？?])', '\1' || chr(10) || '\2', 'g') AS t FROM documents),
+pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS p FROM cut)),
+held AS (SELECT *, regexp_replace(regexp_replace(piece, '([A-Z][a-z]{1,2}[.])\s([\p{L}\p{N}_])', '\1@\2', 'g'), '([.][a-zA-Z][.])\s([\p{L}\p{N}_])', '\1@\2', 'g') AS h FROM pieces),
+sents AS (SELECT doc_id, i, piece, list_transform(regexp_extract_all(h, '\S.+?[.!?](?:\s+|$)|\S.+?$'), lambda x: rtrim(regexp_replace(regexp_replace(x, '([A-Z][a-z]{1,2}[.])@([\p{L}\p{N}_])', '\1 \2', 'g'), '([.][a-zA-Z][.])@([\p{L}\p{N}_])', '\1 \2', 'g'))) AS s FROM held),
+every AS (SELECT doc_id, i, CASE WHEN len(s) = 0 THEN [piece] ELSE s END AS s FROM sents)
+SELECT doc_id, CAST(sum(len(s)) AS BIGINT) AS sentences, md5(string_agg(array_to_string(s, '|'), '|' ORDER BY i)) AS digest FROM every GROUP BY doc_id""")
+def engine_sentences(spark, sf_dir):
+    s = text_functions.split_engine(F.col("text"))
+    rows = docs(spark, sf_dir).select("doc_id", s.alias("s")).where(F.size("s") > 0)
+    return rows.select("doc_id", F.size("s").cast("long").alias("sentences"), F.md5(F.array_join("s", "|")).alias("digest"))
