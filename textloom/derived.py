@@ -79,6 +79,10 @@ TABLES: dict[str, str] = {
         CASE o.part % 5 WHEN 0 THEN '很高强度' WHEN 1 THEN '强度' WHEN 2 THEN '京东' WHEN 3 THEN '' ELSE '低温度' END AS object_raw, CAST(0.7 AS DOUBLE) AS confidence FROM ({clause_tokens}) AS t JOIN ({order_lines}) AS o ON o.doc_id = t.doc_id AND o.line = t.line WHERE t.tok_idx % 5 = 0""",
     # tokens of one sign, and now and then of two
     "sign_tokens": f"""SELECT doc_id, line AS tok_idx, CASE n % 6 WHEN 0 THEN '钢材' WHEN 1 THEN '学院' ELSE {sign('石墨烯材石电的墨大组', 'part % 10')} END AS text, CASE supp % 5 WHEN 0 THEN 'AD' WHEN 1 THEN 'VV' WHEN 2 THEN 'JJ' ELSE 'NN' END AS pos FROM ({{order_lines}}) AS o""",
+    # classical tokens of one or two signs, a dictionary of some
+    "lzh_tokens": f"""SELECT doc_id, line AS tok_idx, {sign('北冥有鱼其名山水之大', 'part % 10')} AS text, CASE supp % 5 WHEN 0 THEN 'PROPN' WHEN 1 THEN 'NOUN' WHEN 2 THEN 'VERB' WHEN 3 THEN 'NR' ELSE 'NOUN' END AS pos,
+        CASE n % 7 WHEN 0 THEN '名詞,地名' WHEN 1 THEN '名詞,人名' WHEN 2 THEN '動詞' WHEN 3 THEN '名詞,助数詞' WHEN 4 THEN '' WHEN 5 THEN '名詞,官職名' ELSE '名詞,天文' END AS xpos, CAST(line AS INT) AS start, CAST(line + 1 AS INT) AS "end" FROM ({{order_lines}}) AS o""",
+    "lzh_words": """SELECT keyword, category FROM (VALUES ('北冥', 'LOCATION'), ('北', 'LOCATION'), ('鱼', 'PERSON'), ('山水', 'LOCATION'), ('其名', 'NOTHING'), ('名山', 'PRODUCT')) AS v(keyword, category)""",
     # annotations as recognizers give them: a line of an order is an entity, a claim, an argument or a tag, as its digits say
     "entities": """SELECT doc_id, 'ent_' || lpad(CAST(line + 1 AS STRING), 3, '0') AS entity_id, text, category, CAST(line * 3 + supp % 3 AS INT) AS start, CAST(line * 3 + supp % 3 + length(text) AS INT) AS "end", source, confidence FROM (
         SELECT doc_id, line, supp, CASE part % 6 WHEN 0 THEN '北京大学' WHEN 1 THEN '碳钢' WHEN 2 THEN CAST(n AS STRING) WHEN 3 THEN '4.3.' || CAST(n AS STRING) WHEN 4 THEN 'GB5015' || CAST(n AS STRING) ELSE '第' || CAST(n AS STRING) || '章' END AS text,

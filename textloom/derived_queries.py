@@ -402,3 +402,23 @@ def engine_sentences(spark, sf_dir):
     s = text_functions.split_engine(F.col("text"))
     rows = docs(spark, sf_dir).select("doc_id", s.alias("s")).where(F.size("s") > 0)
     return rows.select("doc_id", F.size("s").cast("long").alias("sentences"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
+FUNCTION = ", ".join(map(quoted, classical.FUNCTION_WORDS))
+
+
+@query(derived.with_tables("lzh_tokens", "lzh_words") + f""", texts AS (SELECT doc_id, string_agg(text, '' ORDER BY tok_idx) AS t FROM lzh_tokens GROUP BY doc_id),
+d AS (SELECT doc_id, keyword AS text, category, unnest(list_filter(range(0, length(t)), lambda i: substr(t, i + 1, length(keyword)) = keyword)) AS start FROM texts, lzh_words WHERE category <> 'NOTHING'),
+k AS (SELECT *, CASE xpos WHEN '名詞,地名' THEN 'LOCATION' WHEN '名詞,人名' THEN 'PERSON' WHEN '名詞,官職名' THEN 'TITLE' WHEN '名詞,天文' THEN 'ASTRONOMY' END AS kind FROM lzh_tokens WHERE text NOT IN ({FUNCTION})),
+every AS (SELECT doc_id, text, category, CAST(start AS INTEGER) AS start, CAST(start + length(text) AS INTEGER) AS "end", 'entity_dict' AS source, 0.95 AS confidence, 0 AS rank, -length(text) AS spot FROM d
+  UNION ALL SELECT doc_id, text, kind, start, "end", 'classical_xpos', 0.80, 1, tok_idx FROM k WHERE pos IN ('PROPN', 'NR') AND kind IS NOT NULL
+  UNION ALL SELECT doc_id, text, coalesce(kind, 'UNKNOWN'), start, "end", 'classical_xpos', 0.65, 2, tok_idx FROM k WHERE (pos NOT IN ('PROPN', 'NR') AND kind IS NOT NULL) OR (kind IS NULL AND pos = 'NOUN' AND xpos NOT IN ('', '名詞,助数詞'))),
+one AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY doc_id, start, "end" ORDER BY rank, spot) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, rank, spot, text) AS nth FROM one),
+j AS (SELECT *, CASE WHEN lag(category) OVER w = category AND lag("end") OVER w = start THEN 0 ELSE 1 END AS new FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY nth)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY nth) AS run FROM j)
+SELECT doc_id, 'ent_' || lpad(CAST(min(nth) AS VARCHAR), 3, '0') AS entity_id, string_agg(text, '' ORDER BY nth) AS text, any_value(category) AS category, min(start) AS start, max("end") AS "end", arg_min(source, nth) AS source, CAST(min(confidence) AS DOUBLE) AS confidence, count(*) AS parts FROM g GROUP BY doc_id, run""")
+def classical_entities(spark, sf_dir):
+    t, words = derived.frame(spark, sf_dir, "lzh_tokens"), derived.frame(spark, sf_dir, "lzh_words")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "text"))), lambda x: x["text"]), "")
+    return classical.classical_entities(t.groupBy("doc_id").agg(whole.alias("text")), t, words)

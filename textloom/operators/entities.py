@@ -239,15 +239,15 @@ def without_crossings(entities: DataFrame) -> DataFrame:
 MODIFIERS = ["nn", "compound", "nmod"]
 
 
-def merge_touching(entities: DataFrame, deps: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
+def merge_touching(entities: DataFrame, deps: DataFrame | None = None, tokens: DataFrame | None = None, by: tuple[str, ...] = ("start", "end", "entity_id")) -> DataFrame:
     """Neighbours of one category become one where the second begins just where the first ends and neither holds a sign that
     is no letter, number or space. With arcs (doc_id, child, head, rel) and tokens (doc_id, tok_idx, start, end) a token of
     the second must besides hang on one of the first, as nn, compound or nmod. The first gives id and source, and all
     other columns; the least confidence counts; ``parts`` tells how many there were.
 
-    Neighbours are such in the order of places. Runs of touching entities are short; within one, arcs are gone through in
+    Neighbours are such in the order ``by``. Runs of touching entities are short; within one, arcs are gone through in
     order, since what a later part may hang on is what has been joined before it."""
-    order = Window.partitionBy("doc_id").orderBy("start", "end", "entity_id")
+    order = Window.partitionBy("doc_id").orderBy(*by)
     plain = F.col("text").rlike(r"^[\p{L}\p{N}\s]*$")
     before = lambda c: F.lag(c).over(order)
     joins = F.coalesce((before("category") == F.col("category")) & (before("end") == F.col("start")) & plain & before(plain), F.lit(False))
