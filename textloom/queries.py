@@ -381,9 +381,15 @@ def negated_numbers(spark, sf_dir):
 # --- relations, events, graphs -----------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    derived.with_tables("frames")
+    + f""", pairs(n, a, b) AS (VALUES {", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(relations.ROLE_PAIRS))}),
+f AS (SELECT doc_id, frame_idx, lower(role) AS role, trim(text) AS text, start, "end" FROM frames QUALIFY row_number() OVER (PARTITION BY doc_id, frame_idx, lower(role) ORDER BY start, "end") = 1)
+SELECT s.doc_id, s.frame_idx, pairs.n AS pair, s.text AS subject, CASE WHEN v.text = '生产' THEN 'PRODUCES' WHEN o.role = 'argm-loc' THEN 'LOCATED_AT' WHEN o.role = 'argm-tmp' THEN 'TEMPORAL_AT' ELSE 'RELATES_TO' END AS predicate, coalesce(v.text, '') AS predicate_verb, o.text AS object, least(s.start, o.start) AS start, greatest(s."end", o."end") AS "end"
+FROM f s JOIN pairs ON pairs.a = s.role JOIN f o ON o.doc_id = s.doc_id AND o.frame_idx = s.frame_idx AND o.role = pairs.b LEFT JOIN f v ON v.doc_id = s.doc_id AND v.frame_idx = s.frame_idx AND v.role = 'pred'"""
+)
 def frame_relations(spark, sf_dir):
-    verbs = spark.createDataFrame([("发布", "PRODUCES", "create")], "verb string, predicate string, semantic_class string")
+    verbs = spark.createDataFrame([("生产", "PRODUCES", "create")], "verb string, predicate string, semantic_class string")
     roles = spark.createDataFrame([("argm-loc", "LOCATED_AT", "space"), ("argm-tmp", "TEMPORAL_AT", "time")], "role string, predicate string, semantic_class string")
     found = relations.with_predicates(relations.from_frames(derived.frame(spark, sf_dir, "frames")), verbs, roles)
     return found.select("doc_id", "frame_idx", "pair", "subject", "predicate", "predicate_verb", "object", "start", "end")
@@ -401,13 +407,29 @@ def event_clusters(spark, sf_dir):
     return found.select("doc_id", "sentence_index", "trigger", "agent", F.size("relation_ids").cast("long").alias("n"), F.array_join("relation_ids", ",").alias("relation_ids"), "event_id")
 
 
-@query()
+@query(
+    derived.with_tables("events", "arguments")
+    + """, a AS (SELECT doc_id, event_id, bool_or(role = 'Agent' AND length(text) > 0) AS ag, bool_or(role <> 'Agent' AND length(text) > 0) AS pa, max(length(text)) FILTER (role <> 'Agent') AS longest, bool_or(role <> 'Agent' AND regexp_matches(text, '[。！？]')) AS mark, bool_or(coalesce(disputed, FALSE)) AS d FROM arguments GROUP BY doc_id, event_id),
+s AS (SELECT e.*, greatest(0::DOUBLE, least(1::DOUBLE, 0.70::DOUBLE + CASE WHEN is_root THEN 0.15::DOUBLE ELSE 0::DOUBLE END + CASE WHEN ag THEN 0.10::DOUBLE ELSE 0::DOUBLE END + CASE WHEN pa THEN 0.10::DOUBLE ELSE 0::DOUBLE END - CASE WHEN longest > 15 THEN 0.15::DOUBLE ELSE 0::DOUBLE END
+  - CASE WHEN mark THEN 0.20::DOUBLE ELSE 0::DOUBLE END - CASE WHEN d THEN 0.10::DOUBLE ELSE 0::DOUBLE END - CASE WHEN predicate = 'RELATES_TO' AND semantic_class IS NULL THEN 0.10::DOUBLE ELSE 0::DOUBLE END)) AS confidence FROM events e LEFT JOIN a USING (doc_id, event_id)),
+one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, start, "end", coalesce(agent, ''), coalesce(patient, '') ORDER BY confidence DESC, event_id) = 1),
+m AS (SELECT *, CASE WHEN bool_or(has_agent) OVER w THEN has_agent ELSE row_number() OVER (PARTITION BY doc_id, sentence_index, trigger ORDER BY confidence DESC, event_id) = 1 END AS main FROM one WINDOW w AS (PARTITION BY doc_id, sentence_index, trigger)),
+g AS (SELECT doc_id, sentence_index, trigger, list(event_id ORDER BY event_id) FILTER (NOT main) AS subs FROM m GROUP BY doc_id, sentence_index, trigger)
+SELECT doc_id, event_id, round(confidence, 6) AS confidence, main AS is_main_event, CASE WHEN main THEN coalesce(subs, []) ELSE [] END AS sub_events FROM m JOIN g USING (doc_id, sentence_index, trigger)"""
+)
 def event_hierarchy(spark, sf_dir):
     e = relations.event_confidence(derived.frame(spark, sf_dir, "events"), derived.frame(spark, sf_dir, "arguments"))
     return relations.sub_events(relations.distinct_events(e)).select("doc_id", "event_id", F.round("confidence", 6).alias("confidence"), "is_main_event", "sub_events")
 
 
-@query()
+@query(
+    derived.with_tables("tokens", "deps").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, up AS (SELECT doc_id, child AS tok, head AS here FROM deps UNION ALL SELECT u.doc_id, u.tok, d.head FROM up u JOIN tokens t ON t.doc_id = u.doc_id AND t.tok_idx = u.here JOIN deps d ON d.doc_id = u.doc_id AND d.child = u.here WHERE NOT starts_with(t.pos, 'V')),
+verb AS (SELECT u.doc_id, u.tok AS tok_idx, t.text AS governing_verb FROM up u JOIN tokens t ON t.doc_id = u.doc_id AND t.tok_idx = u.here WHERE starts_with(t.pos, 'V')),
+n AS (SELECT t.*, d.rel AS head_rel, CASE lower(d.rel) WHEN 'nsubj' THEN 'Subject' WHEN 'dobj' THEN 'Object' WHEN 'nn' THEN 'Attributive' ELSE 'unknown' END AS syntactic_role FROM tokens t LEFT JOIN deps d ON d.doc_id = t.doc_id AND d.child = t.tok_idx WHERE pos IN ('NN', 'NR') AND length(text) >= 2),
+s AS (SELECT *, round(least(1, CASE pos WHEN 'NN' THEN 0.5 ELSE 0.4 END + CASE syntactic_role WHEN 'Subject' THEN 0.2 WHEN 'Object' THEN 0.2 WHEN 'Attributive' THEN 0.05 ELSE 0 END), 4) AS score FROM n)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start, tok_idx) AS INTEGER) AS rank, text, pos, syntactic_role, CAST(score AS DOUBLE) AS score, start, "end", head_rel, governing_verb FROM s LEFT JOIN verb USING (doc_id, tok_idx) QUALIFY rank <= 30"""
+)
 def noun_signals(spark, sf_dir):
     return relations.noun_signals(derived.frame(spark, sf_dir, "tokens"), derived.frame(spark, sf_dir, "deps"))
 
