@@ -249,7 +249,12 @@ def discovered_words(spark, sf_dir):
     return found.select("doc_id", "word", "frequency", *[F.round(c, 4).alias(c) for c in ("pmi", "llr", "left_entropy", "right_entropy", "cohesion", "score")])
 
 
-@query()
+@query(
+    DISCOVERED[: DISCOVERED.rindex("SELECT doc_id, word, frequency, round(pmi")]
+    + """, kept AS (SELECT * FROM fin WHERE score >= CASE WHEN total < 50 THEN 0.3 WHEN total < 100 THEN 0.3 ELSE 0.5 END),
+alone AS (SELECT * FROM kept f WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = f.doc_id AND length(k.word) > length(f.word) AND contains(k.word, f.word) AND round(k.score, 9) >= round(f.score, 9)))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, length(word) DESC, word) AS INTEGER) AS rank, word, frequency, round(score, 4) AS score FROM alone QUALIFY rank <= 50"""
+)
 def discovered_without_parts(spark, sf_dir):
     found = discovery.without_parts(discovery.discover(bench(spark, sf_dir), 2, 4, keep=LATIN))
     return found.select("doc_id", "rank", "word", "frequency", F.round("score", 4).alias("score"))
