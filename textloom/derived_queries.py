@@ -422,3 +422,26 @@ def classical_entities(spark, sf_dir):
     t, words = derived.frame(spark, sf_dir, "lzh_tokens"), derived.frame(spark, sf_dir, "lzh_words")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "text"))), lambda x: x["text"]), "")
     return classical.classical_entities(t.groupBy("doc_id").agg(whole.alias("text")), t, words)
+
+
+PLACED = "CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ev[1:k - 1], lambda x: length(x))), 0) AS INTEGER)"
+EIGHT_DIGITS = next(p for _, p in entities.NUMBER_PATTERNS if "(?<!" in p)  # where RE2 has no lookaround: runs of digits that are all of it
+WHOLE_RUN = EIGHT_DIGITS.removeprefix(r"(?<!\d)").removesuffix(r"(?!\d)")
+NUMBER_ROWS = ", ".join(f"({i}, {quoted(source)}, {quoted('[0-9]+' if p == EIGHT_DIGITS else p)}, {quoted(WHOLE_RUN if p == EIGHT_DIGITS else '.*')})" for i, (source, p) in enumerate(entities.NUMBER_PATTERNS))
+NEGATION = "|".join(sorted(entities.NEGATIONS, key=lambda w: -len(w)))
+
+
+@query(derived.with_tables("texts").replace("WITH ", "WITH RECURSIVE ", 1) + f""", pats(ord, source, pat, whole) AS (VALUES {NUMBER_ROWS}),
+found AS (SELECT doc_id, ord, source, whole, regexp_extract_all(text, pat) AS ev, string_split_regex(text, pat) AS gaps FROM texts, pats WHERE regexp_matches(text, pat)),
+one AS (SELECT *, unnest(range(1, len(ev) + 1)) AS k FROM found), spots AS (SELECT doc_id, ord, source, k, ev[k] AS text, {PLACED} AS start FROM one WHERE regexp_full_match(ev[k], whole)),
+m AS (SELECT *, CAST(start + length(text) AS INTEGER) AS "end", row_number() OVER (PARTITION BY doc_id ORDER BY ord, k) AS i FROM spots),
+steps AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, CAST([] AS STRUCT(i BIGINT, s INTEGER, e INTEGER)[]) AS got FROM m
+  UNION ALL SELECT s.doc_id, m.i, CASE WHEN len(list_filter(got, lambda g: m.start < g.e AND m."end" > g.s)) > 0 THEN got ELSE list_append(got, struct_pack(i := m.i, s := m.start, e := m."end")) END FROM steps s JOIN m ON m.doc_id = s.doc_id AND m.i = s.i + 1),
+kept AS (SELECT doc_id, unnest(got) AS g FROM (SELECT doc_id, arg_max(got, i) AS got FROM steps GROUP BY doc_id)),
+nf AS (SELECT doc_id, regexp_extract_all(text, '{NEGATION}') AS ev, string_split_regex(text, '{NEGATION}') AS gaps FROM texts WHERE regexp_matches(text, '{NEGATION}')), no AS (SELECT *, unnest(range(1, len(ev) + 1)) AS k FROM nf), ne AS (SELECT doc_id, {PLACED} + length(ev[k]) AS e FROM no)
+SELECT m.doc_id, m.text, m.start, m."end", m.source, EXISTS (SELECT 1 FROM ne WHERE ne.doc_id = m.doc_id AND m.start >= ne.e AND m.start - ne.e <= 20) AS is_negated, CAST(round(CASE WHEN EXISTS (SELECT 1 FROM ne WHERE ne.doc_id = m.doc_id AND m.start >= ne.e AND m.start - ne.e <= 20) THEN 0.75 * 0.7 ELSE 0.75 END, 6) AS DOUBLE) AS confidence
+FROM m JOIN kept ON kept.doc_id = m.doc_id AND kept.g.i = m.i""")
+def numbers_and_negation(spark, sf_dir):
+    t = derived.frame(spark, sf_dir, "texts")
+    found = entities.with_negation(entities.numbers(t), entities.negations(t))
+    return found.select("doc_id", "text", "start", "end", "source", "is_negated", F.round("confidence", 6).alias("confidence"))
