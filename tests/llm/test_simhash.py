@@ -81,3 +81,26 @@ def test_null_and_repeated_ids(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_what_grows_is_merged_not_broadcast(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(6 + i % 5))) for i in range(60)] + [(100 + i, "a b c") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = simhash.fingerprints(docs).select("fp").distinct()
+    for found in (simhash.links(prints, 1), simhash.links(prints)):
+        found.collect()
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {r.id: r.component for r in simhash.near_duplicates(docs).collect()}
+    assert len(want) == 65 and all(want[100 + i] == 100 for i in range(5))
+    for heavy in (0, 1, 4):
+        assert {r.id: r.component for r in simhash.near_duplicates(docs, heavy=heavy).collect()} == want
+
+
+def test_components_by_merges(spark, monkeypatch):
+    from textloom.llm import common
+
+    edges = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(40, 60)] + [(60, 29), (70, 71), (71, 70), (80, 80)], "a long, b long")
+    want = {r.node: r.component for r in common.components(edges).collect()}
+    for many in (0, 3, 256):
+        monkeypatch.setattr(common, "MANY", many)
+        assert {r.node: r.component for r in common.components(edges, merge=True).collect()} == want

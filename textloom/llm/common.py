@@ -129,22 +129,35 @@ def gapless(df: DataFrame, group: list[str], cell: str, order: list[Column], out
     )
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "stars") -> DataFrame:
+#: A node with more neighbours is told to all tasks, where joins are merges.
+MANY = 256
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "stars", merge: bool = False) -> DataFrame:
     """Connected components of an undirected graph: a row (node, component) for each node of an edge between two
     different nodes, component being the smallest node reachable.
 
     Alternating large-star and small-star steps; each step aggregates a minimum per node (combined before the
     shuffle) and joins it back, so no node's neighbours are gathered in one place. Every round is written to the
-    shared folder. Null ends and loops are ignored.
+    shared folder. Null ends and loops are ignored. With ``merge`` the tables of nodes are not collected by the driver to
+    be broadcast, but for the few nodes with many neighbours, whose rows would meet in one task.
     """
+
+    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        if not merge:
+            return rows.join(least.drop("n"), "u")
+        known = rows.join(F.broadcast(least.where(F.col("n") > MANY).select("u", F.col("m").alias("told"))), "u", "left")
+        rest = known.where("told is null").drop("told").join(least.where(F.col("n") <= MANY).drop("n").hint("merge"), "u")
+        return known.where("told is not null").withColumnRenamed("told", "m").unionByName(rest)
+
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = stash(pairs, name)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = with_least(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_least(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = stash(small.where("u <> v").distinct(), name)
         # done when every node that has a smaller one has just that one, which has none
         ends = now.selectExpr("u as node", "1 as up", "0 as down").unionByName(now.selectExpr("v as node", "0 as up", "1 as down"))

@@ -32,6 +32,8 @@ from textloom.llm.common import arrow_map, as_bytes, components, free_name, stas
 SEED, BLOCK = 42, 1 << 14
 #: A segment value that more fingerprints share is split by the other segment.
 HOT_BUCKET = 48
+#: A fingerprint that more rows share is told to all tasks, so that those rows meet in none.
+HEAVY = 4096
 
 
 def fingerprint(text: bytes | None, size: int = 3) -> int:
@@ -75,9 +77,10 @@ def links(distinct_fps: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
         """inline(concat(array(struct(0 as seg, h as key, 2 as left), struct(1 as seg, l as key, 2 as left)),
                   transform(filter(sequence(0, 31), i -> (shiftright(h, i) & 1) = 0), i -> struct(0 as seg, h | shiftleft(1, i) as key, 1 as left))))""",
     )
-    members, balls = (x.join(crowded, ["seg", "key"], "left") for x in (members, balls))
+    # merges throughout: what grows with the rows is not to be collected by the driver for a broadcast
+    members, balls = (x.join(crowded.hint("merge"), ["seg", "key"], "left") for x in (members, balls))
     far = "bit_count(p.fp ^ t.fp) <= 2 and (p.left = 1 or p.fp < t.fp)"
-    plain = balls.where("crowded is null").alias("p").join(members.where("crowded is null").alias("t"), F.expr(f"p.seg = t.seg and p.key = t.key and {far}"))
+    plain = balls.where("crowded is null").alias("p").join(members.where("crowded is null").hint("merge").alias("t"), F.expr(f"p.seg = t.seg and p.key = t.key and {far}"))
     other = f"case seg when 0 then {low} else {high} end"
     parts = f"({other} & 65535)", f"(shiftrightunsigned({other}, 16))"
     deep_members = members.where("crowded").selectExpr("fp", "seg", "key", f"inline(array(struct(0 as half, {parts[0]} as part), struct(1 as half, {parts[1]} as part)))")
@@ -90,19 +93,23 @@ def links(distinct_fps: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
                   if(left = 2, transform(filter(sequence(0, 15), i -> (shiftright(x, i) & 1) = 0), i -> struct(0 as half, x | shiftleft(1, i) as part, false as same)), array())))""",
     )
     far = "bit_count(p.fp ^ t.fp) <= 2 and (p.left = 1 or not p.same or p.fp < t.fp)"
-    deep = deep_balls.alias("p").join(deep_members.alias("t"), F.expr(f"p.seg = t.seg and p.key = t.key and p.half = t.half and p.part = t.part and {far}"))
+    deep = deep_balls.alias("p").join(deep_members.hint("merge").alias("t"), F.expr(f"p.seg = t.seg and p.key = t.key and p.half = t.half and p.part = t.part and {far}"))
     return plain.selectExpr("p.fp as a", "t.fp as b").unionByName(deep.selectExpr("p.fp as a", "t.fp as b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, hot: int = HOT_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, hot: int = HOT_BUCKET, heavy: int = HEAVY) -> DataFrame:
     """A row (id, fp, component) for each row of ``docs``: its fingerprint and the smallest id of its component."""
     prints = stash(fingerprints(docs, id_col, text_col, size), "fps")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    found = components(links(distinct, hot), name="simhash").selectExpr("node as fp", "component as root")
-    named = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    found = components(links(distinct, hot), name="simhash", merge=True).selectExpr("node as fp", "component as root")
+    named = distinct.join(found.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component"))
-    by_fp = named.join(lowest, "root").select("fp", "component")
-    return prints.join(by_fp, "fp").select("id", "fp", "component")
+    by_fp = stash(named.join(lowest.hint("merge"), "root").select("fp", "component", (F.col("n") > heavy).alias("heavy")), "components")
+    # at most one fingerprint in ``heavy`` rows is broadcast; the others are merged
+    few = by_fp.where("heavy").select("fp", F.struct("component").alias("told"))
+    rows = prints.join(F.broadcast(few), "fp", "left")
+    rest = rows.where("told is null").join(by_fp.where("not heavy").hint("merge"), "fp")
+    return rows.where("told is not null").select("id", "fp", "told.component").unionByName(rest.select("id", "fp", "component"))
 
 
 def hex16(fp: str) -> str:
@@ -126,11 +133,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     rows = stash(arrow_map(docs.toDF(*names[:-1]), batch, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))).toDF(*docs.columns, name), "prints")
     prints = rows.select(F.col(name).alias("fp"), F.col(id_col).alias("id"))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = components(links(distinct, hot), name="simhash").selectExpr("node as fp", "component as root")
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = components(links(distinct, hot), name="simhash", merge=True).selectExpr("node as fp", "component as root")
+    named = distinct.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     chosen = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("fp"))).alias("best"))
     chosen = chosen.select(F.col("best.fp").alias("__fp"), F.coalesce(F.col("best.first").cast("string"), F.lit("")).alias("__key"))
     key = free_name(rows, "id_key")
     rows = rows.withColumn(key, F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    kept = rows.join(chosen, (F.col(name) == F.col("__fp")) & (F.col(key) == F.col("__key")), "left_semi")
+    kept = rows.join(chosen.hint("merge"), (F.col(name) == F.col("__fp")) & (F.col(key) == F.col("__key")), "left_semi")
     return kept.dropDuplicates([name, key]).drop(name, key)
