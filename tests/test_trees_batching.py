@@ -76,3 +76,13 @@ def test_centres(spark, k):
     hist = spark.createDataFrame([(1, 10), (2, 10), (50, 5), (100, 1)], "length long, n long")
     found = batching.centres(hist, k)
     assert found == ([pytest.approx(380 / 26)] if k == 1 else [1.5, 50.0, 100.0])
+
+
+def test_trees_are_walked_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, "(S (NP-SBJ (NN a)) (VP b c))"), (2, ") (A (B x"), (3, None), (4, "(A (B x)) ) (C y)")], "sent_id long, tree string")
+    found = trees.nodes(rows, parent_labels=True)
+    for df in (found, trees.words(rows)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.sent_id, r.node, r.parent, r.depth, r.label, r.parent_label, r.start, r.end, r.tag) for r in found.where("sent_id = 1").collect())
+    assert got == [(1, 0, None, 1, "S", None, 0, 3, False), (1, 2, 0, 2, "NP-SBJ", "S", 0, 1, False), (1, 4, 2, 3, "NN", "NP-SBJ", 0, 1, True), (1, 9, 0, 2, "VP", "S", 1, 3, False)]
+    assert sorted((r.sent_id, r.label, r.depth, r.start, r.end) for r in found.where("sent_id <> 1").collect()) == [(4, "A", 1, 0, 1), (4, "B", 2, 0, 1), (4, "C", 0, 1, 2)]

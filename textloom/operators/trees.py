@@ -1,4 +1,4 @@
-"""Bracketed trees as tables of spans, and back, without a parser: depths are running sums over brackets.
+"""Bracketed trees as tables of spans, and back, without a parser: depths are counted over brackets, tree by tree.
 
 Tables: trees (sent_id, tree) with text such as ``(S (NP (NN rain)) (VP (VV falls)))``; nodes (sent_id, node, parent, depth,
 label, start, end, tag) with spans in words, where node is the place of the bracket; words (sent_id, idx, text).
@@ -6,47 +6,68 @@ label, start, end, tag) with spans in words, where node is the place of the brac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIGNS = r"\(|\)|[^\s()]+"
 
 
-def signs(trees: DataFrame) -> DataFrame:
-    """Brackets, labels and words in order: rows (sent_id, place, sign, depth, word, opens, words), depth of what a bracket opens
-    or closes, ``words`` the number of words before."""
-    rows = trees.select("sent_id", F.posexplode(F.regexp_extract_all("tree", F.lit(SIGNS), F.lit(0))).alias("place", "sign"))
-    order = Window.partitionBy("sent_id").orderBy("place")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opens, closes = F.col("sign") == "(", F.col("sign") == ")"
-    rows = rows.withColumns({"opens": opens, "word": ~opens & ~closes & (F.coalesce(F.lag("sign").over(order), F.lit("")) != "("), "next": F.lead("sign").over(order)})
-    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(upto) + F.when(closes, 1).otherwise(0)
-    return rows.withColumns({"depth": depth.cast("int"), "words": (F.sum(F.col("word").cast("int")).over(upto) - F.col("word").cast("int")).cast("int")})
+NODE = "node int, parent int, depth int, label string, parent_label string, start int, end int, childless boolean"
 
 
-def nodes(trees: DataFrame, subcategories: bool = True) -> DataFrame:
+def closed_brackets(signs: Column) -> Column:
+    """The nodes of each list of signs: within one depth brackets open and close in turn."""
+
+    @F.arrow_udf(f"array<struct<{', '.join(f.replace(' ', ':') for f in NODE.split(', '))}>>")
+    def run(lists: pa.Array) -> pa.Array:
+        out = []
+        for own in lists.to_pylist():
+            depth = seen = 0
+            last, opened, found = "", {}, []
+            for place, sign in enumerate(own or ()):
+                if sign == "(":
+                    depth += 1
+                    opened[depth] = place, seen
+                elif sign == ")":
+                    if depth in opened:
+                        begin, start = opened.pop(depth)
+                        label = own[begin + 1]
+                        found.append([begin, depth, "" if label in ("(", ")") else label, start, seen])
+                    depth -= 1
+                else:
+                    seen += last != "("
+                last = sign
+            found.sort()
+            above, parents, has = {}, [], set()
+            for node, depth, *_ in found:
+                parents.append(above.get(depth - 1))
+                has.add(parents[-1])
+                above[depth] = node
+            labels = {x[0]: x[2] for x in found}
+            out.append([{"node": n, "parent": p, "depth": d, "label": label, "parent_label": labels.get(p), "start": s, "end": e, "childless": n not in has} for (n, d, label, s, e), p in zip(found, parents, strict=True)])
+        return pa.array(out, pa.list_(pa.struct([(f.split()[0], {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[f.split()[1]]) for f in NODE.split(", ")])))
+
+    return run(signs)
+
+
+def nodes(trees: DataFrame, subcategories: bool = True, parent_labels: bool = False) -> DataFrame:
     """One row for each bracket. Within one depth brackets open and close in turn, and a node's parent is the last bracket
     opened one level up. ``tag``: it holds nothing but a word. Without ``subcategories`` labels end before a hyphen, but for
-    one at their beginning. A bracket that is never closed gives no node; one without a label has the empty label."""
-    rows = signs(trees).where(F.col("sign").isin("(", ")"))
-    level = Window.partitionBy("sent_id", "depth").orderBy("place")
-    after = lambda c: F.lead(c).over(level)
-    both = rows.withColumns({"closed": after("place"), "end": after("words"), "closes": after("sign")}).where("opens and closes = ')'")
-    label = F.when(F.col("next").isin("(", ")"), "").otherwise(F.col("next"))
-    label = label if subcategories else F.regexp_replace(label, "^(.+?)-.*$", "$1")
-    found = both.select("sent_id", F.col("place").alias("node"), "closed", "depth", label.alias("label"), F.col("words").alias("start"), "end")
-    asked = found.select("sent_id", (F.col("depth") - 1).alias("level"), "node", F.lit(None).cast("int").alias("above"))
-    above = found.select("sent_id", F.col("depth").alias("level"), "node", F.col("node").alias("above"))
-    before = Window.partitionBy("sent_id", "level").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parents = above.unionByName(asked).withColumns({"parent": F.last("above", ignorenulls=True).over(before), "asks": F.col("above").isNull()}).where("asks").select("sent_id", "node", "parent")
-    children = parents.where("parent is not null").select("sent_id", F.col("parent").alias("node"), F.lit(True).alias("has")).distinct()
-    out = found.join(parents, ["sent_id", "node"]).join(children, ["sent_id", "node"], "left")
-    return out.select("sent_id", "node", "parent", "depth", "label", "start", "end", (F.col("has").isNull() & (F.col("end") - F.col("start") == 1)).alias("tag"))
+    one at their beginning. A bracket that is never closed gives no node; one without a label has the empty label. A tree is
+    walked where it is, without a shuffle. With ``parent_labels`` the parent's label is told besides."""
+    rows = trees.select("sent_id", F.inline(closed_brackets(F.regexp_extract_all("tree", F.lit(SIGNS), F.lit(0)))))
+    short = lambda c: F.col(c) if subcategories else F.regexp_replace(c, "^(.+?)-.*$", "$1").alias(c)
+    tag = (F.col("childless") & (F.col("end") - F.col("start") == 1)).alias("tag")
+    return rows.select("sent_id", "node", "parent", "depth", short("label"), "start", "end", tag, *([short("parent_label")] if parent_labels else []))
 
 
 def words(trees: DataFrame) -> DataFrame:
     """Rows (sent_id, idx, text) of the words of the trees."""
-    return signs(trees).where("word").select("sent_id", F.col("words").alias("idx"), F.col("sign").alias("text"))
+    every = F.regexp_extract_all("tree", F.lit(SIGNS), F.lit(0))
+    rows = trees.select("sent_id", every.alias("s"))
+    own = F.filter("s", lambda x, i: ~x.isin("(", ")") & ((i == 0) | (F.get("s", i - 1) != "(")))
+    return rows.select("sent_id", F.posexplode(own).alias("idx", "text"))
 
 
 def constituents(rows: DataFrame) -> DataFrame:
