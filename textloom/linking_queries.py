@@ -104,7 +104,7 @@ kinds(category, rank, confidence) AS (VALUES ('ERA', 1, 0.95), ('TITLE', 2, 0.9)
 SELECT m.doc_id, m.text, k.category, CAST(k.confidence AS DOUBLE) AS confidence FROM made m JOIN register r ON r.text = m.text JOIN kinds k ON k.category = r.category QUALIFY row_number() OVER (PARTITION BY m.doc_id, m.text ORDER BY k.rank) = 1"""
 )
 def dictionary_names(spark, sf_dir):
-    return linking.dictionary_names(derived.frame(spark, sf_dir, "characters"), fx.frame(spark, "register"))
+    return linking.names_of(derived.gathered(spark, sf_dir, "characters").withColumnRenamed("characters", "tokens"), fx.frame(spark, "register"))
 
 
 @query(
