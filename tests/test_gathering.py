@@ -16,3 +16,9 @@ def test_words_of_touching_tokens_are_put_together(spark):
     words = spark.createDataFrame([(1, "abc"), (1, "abcd"), (1, "cd"), (1, None), (2, "xy"), (3, "z")], "doc_id int, word string")
     got = sorted(tuple(r) for r in dictionaries.put_together(rows, words).collect())
     assert got == [(1, 0, "abcd", "N", 0, 4), (1, 1, "ab", "N", 5, 7), (1, 2, "c", "N", 8, 9), (1, 3, "abc", "N", 9, 12), (2, 0, "xy", "N", 0, 2)]
+
+
+@pytest.mark.parametrize("name", ["document_mentions", "chain_members", "mention_chains"])
+def test_mentions_are_found_within_one_row_a_document(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") <= 1
