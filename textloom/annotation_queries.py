@@ -89,13 +89,13 @@ def rounded(found):
 def bracket_scores(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sent_id"), F.expr("l_linenumber div 2").alias("start"), F.col("l_linenumber").alias("end"), F.col("l_returnflag").alias("label"), "l_quantity")
     found = rows.where("l_quantity > 5").withColumn("label", F.when(F.col("l_quantity") > 40, "N").otherwise(F.col("label")))
-    return rounded(metrics.bracket_scores(rows, found))
+    return rounded(metrics.bracket_scores(rows, found, rows.count()))
 
 
 @query(both_scores("gold AS (SELECT l_orderkey AS sent_id, l_linenumber AS child, l_linenumber - 1 AS head, l_linestatus AS rel FROM lineitem), found AS (SELECT l_orderkey AS sent_id, l_linenumber AS child, CASE WHEN l_quantity < 10 THEN 0 ELSE l_linenumber - 1 END AS head, l_linestatus AS rel FROM lineitem)", "child, head, rel", "child, head"))
 def arc_scores(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sent_id"), F.col("l_linenumber").alias("child"), (F.col("l_linenumber") - 1).alias("head"), F.col("l_linestatus").alias("rel"), "l_quantity")
-    return rounded(metrics.arc_scores(rows, rows.withColumn("head", F.when(F.col("l_quantity") < 10, 0).otherwise(F.col("head")))))
+    return rounded(metrics.arc_scores(rows, rows.withColumn("head", F.when(F.col("l_quantity") < 10, 0).otherwise(F.col("head"))), rows.count()))
 
 
 @query(

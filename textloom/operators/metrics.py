@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,29 +68,43 @@ def vocabulary(tokens: DataFrame, token: str = "text", least: int = 1) -> DataFr
     return ranks(counts.withColumn("__minus", -F.col("freq").cast("double")), "__minus", "token", "__i").select("token", "freq", (F.col("__i") - 1).alias("idx"))
 
 
-def multiset_scores(gold: DataFrame, found: DataFrame, sentence: str, fields: list[str]) -> DataFrame:
-    """One row of matches, gold, found, precision, recall, f1 and complete (share of sentences without an error), repeats
-    counting as often as both sides have them."""
-    n = F.count(F.lit(1))
-    g = gold.groupBy(sentence, *fields).agg(n.alias("g"))
-    p = found.groupBy(sentence, *fields).agg(n.alias("p"))
-    both = g.join(p, [sentence, *fields], "full").select(sentence, F.coalesce("g", F.lit(0)).alias("g"), F.coalesce("p", F.lit(0)).alias("p"))
-    by_sentence = both.groupBy(sentence).agg(F.sum(F.least("g", "p")).alias("m"), F.sum("g").alias("g"), F.sum("p").alias("p"))
-    total = by_sentence.agg(F.sum("m").alias("matches"), F.sum("g").alias("gold"), F.sum("p").alias("found"), F.avg(((F.col("m") == F.col("g")) & (F.col("m") == F.col("p"))).cast("double")).alias("complete"))
+#: Rows of one task, where their number is known.
+SHARE = 500_000
+
+
+def multiset_scores(gold: DataFrame, found: DataFrame, sentence: str, kinds: dict[str, list[str]], rows: int | None = None) -> DataFrame:
+    """A row for each of ``kinds`` (its name and fields, the first those of all others and more) of matches, gold, found, precision,
+    recall, f1 and complete (share of sentences without an error), repeats counting as often as both sides have them.
+
+    Both sides are shuffled once, by sentence, for all kinds; with the number of ``rows`` of a side a task has about ``SHARE`` of them,
+    however many there are."""
+    fields = next(iter(kinds.values()))
+    side = lambda t, g: t.select(sentence, *fields, F.lit(g).alias("__g"))
+    both = side(gold, 1).unionByName(side(found, 0))
+    both = both.repartition(sentence) if rows is None else both.repartition(max(1, -(-rows // SHARE)), sentence)
+    sums = [F.sum("__g").alias("__g"), F.sum("__p").alias("__p")]
+    # what is null equals nothing
+    matched = lambda own: F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in (sentence, *own)]), F.least("__g", "__p")).otherwise(0)
+    counts, done = both.withColumn("__p", 1 - F.col("__g")), []
+    for kind, own in kinds.items():
+        counts = counts.groupBy(sentence, *own).agg(*sums, *[F.sum(c).alias(c) for c in done]).withColumn(kind, matched(own))
+        done.append(kind)
+    by_sentence = counts.groupBy(sentence).agg(*sums, *[F.sum(c).alias(c) for c in done])
+    right = lambda c: ((F.col(c) == F.col("__g")) & (F.col(c) == F.col("__p"))).cast("double")
+    total = by_sentence.agg(F.sum("__g").alias("gold"), F.sum("__p").alias("found"), *[F.struct(F.sum(c).alias("matches"), F.avg(right(c)).alias("complete")).alias(c) for c in done])
+    one = total.select("gold", "found", F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("s")) for c in done])).alias("k")).select(F.col("k.s.matches").alias("matches"), "gold", "found", F.col("k.s.complete").alias("complete"), F.col("k.kind").alias("kind"))
     share = lambda c: F.when(F.col(c) > 0, F.col("matches") / F.col(c)).otherwise(0.0)
-    return total.withColumn("precision", share("found")).withColumn("recall", share("gold")).withColumn("f1", F.when(F.col("matches") > 0, 2 * F.col("matches") / (F.col("gold") + F.col("found"))).otherwise(0.0))
+    return one.withColumn("precision", share("found")).withColumn("recall", share("gold")).withColumn("f1", F.when(F.col("matches") > 0, 2 * F.col("matches") / (F.col("gold") + F.col("found"))).otherwise(0.0))
 
 
-def bracket_scores(gold: DataFrame, found: DataFrame) -> DataFrame:
+def bracket_scores(gold: DataFrame, found: DataFrame, rows: int | None = None) -> DataFrame:
     """Labelled and unlabelled scores of constituents (sent_id, start, end, label): one row each."""
-    rows = [multiset_scores(gold, found, "sent_id", fields).withColumn("kind", F.lit(kind)) for kind, fields in (("labelled", ["start", "end", "label"]), ("unlabelled", ["start", "end"]))]
-    return rows[0].unionByName(rows[1])
+    return multiset_scores(gold, found, "sent_id", {"labelled": ["start", "end", "label"], "unlabelled": ["start", "end"]}, rows)
 
 
-def arc_scores(gold: DataFrame, found: DataFrame) -> DataFrame:
+def arc_scores(gold: DataFrame, found: DataFrame, rows: int | None = None) -> DataFrame:
     """Labelled and unlabelled scores of graphs of arcs (sent_id, child, head, rel): one row each."""
-    rows = [multiset_scores(gold, found, "sent_id", fields).withColumn("kind", F.lit(kind)) for kind, fields in (("labelled", ["child", "head", "rel"]), ("unlabelled", ["child", "head"]))]
-    return rows[0].unionByName(rows[1])
+    return multiset_scores(gold, found, "sent_id", {"labelled": ["child", "head", "rel"], "unlabelled": ["child", "head"]}, rows)
 
 
 def top_k_accuracy(rows: DataFrame, k: int = 1, gold: str = "gold", scores: str = "scores") -> DataFrame:
