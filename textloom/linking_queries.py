@@ -115,7 +115,9 @@ SELECT doc_id, text, category, start, "end", source, CAST(confidence AS DOUBLE)
 UNION ALL SELECT d.doc_id, string_agg(t.text, '' ORDER BY t.tok_idx), d.category, min(t.start), max(t."end"), d.source, CAST(d.confidence AS DOUBLE) FROM d JOIN cup_tokens t ON t.doc_id = d.doc_id AND t.tok_idx BETWEEN lo AND hi GROUP BY d.doc_id, d.entity_id, d.category, d.source, d.confidence"""
 )
 def entities_with_determiners(spark, sf_dir):
-    return entities.determiner_compounds(*[derived.frame(spark, sf_dir, n) for n in ("cup_entities", "cup_tokens", "cup_deps")]).drop("entity_id")
+    # cup_tokens and cup_deps are those of the clauses
+    docs = derived.gathered(spark, sf_dir, "cup_entities", "clause_tokens", "clause_deps")
+    return entities.determiners_of(docs.withColumnsRenamed({"cup_entities": "entities", "clause_tokens": "tokens", "clause_deps": "deps"})).drop("entity_id")
 
 
 @query(
