@@ -18,7 +18,7 @@ def test_words_of_touching_tokens_are_put_together(spark):
     assert got == [(1, 0, "abcd", "N", 0, 4), (1, 1, "ab", "N", 5, 7), (1, 2, "c", "N", 8, 9), (1, 3, "abc", "N", 9, 12), (2, 0, "xy", "N", 0, 2)]
 
 
-@pytest.mark.parametrize("name", ["document_mentions", "chain_members", "mention_chains", "entity_attributes", "noun_signals", "entities_with_determiners"])
+@pytest.mark.parametrize("name", ["document_mentions", "chain_members", "mention_chains", "entity_attributes", "noun_signals", "entities_with_determiners", "entity_merge_by_place"])
 def test_findings_are_made_within_one_row_a_document(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") <= 1
