@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom import fixtures as fx
+from textloom.derived_queries import clause_documents
 from textloom.functions import language, spans, text
-from textloom.operators import discovery, entities, relations, sentences, summary, tags, titles
-from textloom.plans.analyze import Options, analyze
+from textloom.operators import discovery, entities, frame_events, relations, sentences, summary, tags, titles
+from textloom.operators.gathering import gathered
+from textloom.plans.analyze import Options, analyze, by_document
 from textloom.sources import readers, writers
 from textloom.streaming.streams import busy_windows, by_batch
 
@@ -233,6 +235,19 @@ def test_the_whole_analysis(spark):
     assert "new_words" in again and "events" not in again and again["tokens"].count() <= tokens.count()
 
 
+def test_tables_by_document_stay_where_they_are(spark):
+    tokens, deps = by_document(fx.frame(spark, "tokens")), by_document(fx.frame(spark, "deps"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pairs = tokens.join(deps.withColumnRenamed("child", "tok_idx").hint("merge"), ["doc_id", "tok_idx"])
+    for df in (tokens.groupBy("doc_id", "pos").count(), gathered(tokens=tokens, deps=deps), pairs):
+        assert "Exchange" not in plan(df)
+    # events and arguments are made of rows that are written once
+    docs, seen = clause_documents(spark, "/root/testdata/sf0.001", "clause_frames"), []
+    frame_events.of_frames(docs, lambda df: seen.append(df) or df)
+    assert len(seen) == 1 and {"made", "doc_id"} <= set(seen[0].columns)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_compounds_of_tokens(spark):
     said = "石/NN 墨/NN 烯/NN 材/NN 料/NN 很/AD 好/VV 。/PU 石/NN 墨/JJ 的/DEG 石/NN 墨/VV 电池/NN 电池/VV".split()
     tokens = spark.createDataFrame([(1, i, *w.split("/")) for i, w in enumerate(said)], "doc_id int, tok_idx int, text string, pos string")
