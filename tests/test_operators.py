@@ -248,6 +248,18 @@ def test_tables_by_document_stay_where_they_are(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
 
 
+def test_similarities_by_pairs(monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 7 + k % 3}" for k in range(i % 9)) for i in range(60)] + ["", "!"]
+    words = [set(summary.WORD.findall(t)) for t in texts]
+    told = [[len(a & b) / len(a | b) if i != j and a | b else 0.0 for j, b in enumerate(words)] for i, a in enumerate(words)]
+    for pairs in (1, 40, 1 << 20):
+        monkeypatch.setattr(summary, "PAIRS", pairs)  # so many are counted at a time
+        monkeypatch.setattr(summary, "BLOCK_CELLS", 7 * len(texts))
+        blocks = list(summary.similarity_rows(texts))
+        assert [b.start for b, _ in blocks] == list(range(0, len(texts), 7))
+        assert [row for _, sim in blocks for row in sim.tolist()] == told
+
+
 def test_compounds_of_tokens(spark):
     said = "石/NN 墨/NN 烯/NN 材/NN 料/NN 很/AD 好/VV 。/PU 石/NN 墨/JJ 的/DEG 石/NN 墨/VV 电池/NN 电池/VV".split()
     tokens = spark.createDataFrame([(1, i, *w.split("/")) for i, w in enumerate(said)], "doc_id int, tok_idx int, text string, pos string")
