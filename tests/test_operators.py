@@ -260,6 +260,12 @@ def test_similarities_by_pairs(monkeypatch):
         assert [row for _, sim in blocks for row in sim.tolist()] == told
 
 
+def test_texts_are_ranked_by_many_tasks(spark):
+    docs = spark.createDataFrame([(i, f"One {i}. Two {i}. Three.") for i in range(40)], "doc_id long, text string").coalesce(1)
+    for rows in (summary.summarize_text(docs), summary.ranked(docs)):
+        assert rows.select("doc_id", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().count() > 1
+
+
 def test_compounds_of_tokens(spark):
     said = "石/NN 墨/NN 烯/NN 材/NN 料/NN 很/AD 好/VV 。/PU 石/NN 墨/JJ 的/DEG 石/NN 墨/VV 电池/NN 电池/VV".split()
     tokens = spark.createDataFrame([(1, i, *w.split("/")) for i, w in enumerate(said)], "doc_id int, tok_idx int, text string, pos string")
