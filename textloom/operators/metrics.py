@@ -102,6 +102,12 @@ def bracket_scores(gold: DataFrame, found: DataFrame, rows: int | None = None) -
     return multiset_scores(gold, found, "sent_id", {"labelled": ["start", "end", "label"], "unlabelled": ["start", "end"]}, rows)
 
 
+def bracket_scores_in(rows: DataFrame) -> DataFrame:
+    """Labelled matches of arrays ``gold`` and ``found`` (as of ``trees.constituents_in``), a row for each tree, and how many either has."""
+    size = lambda c: F.sum(F.size(c).cast("long"))
+    return rows.agg(size(F.array_intersect("gold", "found")).alias("matches"), size("gold").alias("gold"), size("found").alias("found"))
+
+
 def arc_scores(gold: DataFrame, found: DataFrame, rows: int | None = None) -> DataFrame:
     """Labelled and unlabelled scores of graphs of arcs (sent_id, child, head, rel): one row each."""
     return multiset_scores(gold, found, "sent_id", {"labelled": ["child", "head", "rel"], "unlabelled": ["child", "head"]}, rows)
