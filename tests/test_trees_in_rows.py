@@ -1,6 +1,7 @@
 """Trees are scored and written again within their rows, equal ones walked once."""
 
 import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -36,3 +37,7 @@ def test_scores_are_those_of_the_tables(spark):
 def test_scores_need_no_join_and_walk_trees_once(spark):
     scores = plan(QUERIES["tree_scores"](spark, SF))
     assert "Exchange hashpartitioning" not in scores and "Join" not in scores and scores.count("ArrowEvalPython") == 1
+
+
+def test_only_lines_are_shuffled_for_texts_of_trees(spark):
+    assert len(re.findall("Exchange hashpartitioning", plan(QUERIES["trees_again"](spark, SF)))) == 1
